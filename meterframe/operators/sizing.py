@@ -1,0 +1,25 @@
+"""Broadcast only behind a measured size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
+    return df.checkpoint(eager=True)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, *, already_small: bool = False) -> tuple[DataFrame, bool]:
+    """Materialise ``df``, count it, and mark it for broadcast when it fits.
+
+    Returns the frame to join with and whether it is broadcast.  Beyond the
+    bound the caller's join runs as a shuffle join.  ``already_small`` skips the
+    checkpoint for inputs that are local relations built on the driver.
+    """
+    mat = df if already_small else materialise(df)
+    n = mat.count()
+    if n <= max_rows:
+        return F.broadcast(mat), True
+    return mat, False
