@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.config import CONTRACT_TYPE_CODES, Settings
-from meterframe.operators.sizing import bounded_broadcast
+from meterframe.operators.sizing import bounded_broadcast, measured
 from meterframe.schemas import CONTRACT_ATTRS
 
+
 def _micro():
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
 
@@ -30,8 +31,9 @@ def segments(contracts: DataFrame) -> DataFrame:
     A sweep over start (+1) and exclusive-end (-1) boundaries gives the number
     of contracts covering each elementary piece; where it is one, the running
     sum of signed contract numbers is that contract's number.  The closed end
-    ``valid_to`` becomes the exclusive bound ``valid_to + 1 µs``.  Output:
-    ``side, seg_from, seg_to`` (NULL = open) and the contract attributes.
+    ``valid_to`` becomes the exclusive bound ``valid_to + 1 µs``.  A contract
+    without a parsable start matches nothing.  Output: ``side, seg_from,
+    seg_to`` (NULL = open), ``contract_no`` and the contract attributes.
     """
     c = numbered(contracts.where(F.col("valid_from").isNotNull()))
     c = c.withColumn("_to_excl", F.col("valid_to") + _micro())
@@ -51,6 +53,21 @@ def segments(contracts: DataFrame) -> DataFrame:
         .select("side", "seg_from", "seg_to", "contract_no", *CONTRACT_ATTRS)
 
 
+class ContractTable:
+    """Segments of a contract dimension, persisted and counted once.
+
+    The same small table serves the range join (narrow projection) and the
+    later attribute join on ``(side, seg_from)``.
+    """
+
+    def __init__(self, contracts: DataFrame):
+        self.segments, self.n = measured(segments(contracts))
+
+
+def as_table(contracts) -> ContractTable:
+    return contracts if isinstance(contracts, ContractTable) else ContractTable(contracts)
+
+
 def _month(ts):
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
@@ -60,25 +77,23 @@ def _range_condition(r: DataFrame, s: DataFrame, time_col: str):
             & (s["seg_to"].isNull() | (r[time_col] < s["seg_to"])))
 
 
-def attach_contract(readings: DataFrame, contracts: DataFrame, settings: Settings = Settings(),
+def attach_contract(readings: DataFrame, contracts, settings: Settings = Settings(),
                     how: str = "inner", time_col: str = "time", attrs: bool = True) -> DataFrame:
     """Range join of readings to the single contract valid at their time (J-1).
 
-    ``how='inner'`` keeps matched readings with contract attributes;
-    ``how='left_anti'`` returns readings with no or several contracts (O-11).
-    With ``attrs=False`` only ``contract_no`` and ``contract_type`` are added,
-    which keeps rows narrow for a following shuffle; ``contract_attributes``
-    adds the rest later.
-    The segment table is broadcast when its row count is within the bound;
-    otherwise both sides are keyed by (side, UTC month) and joined by hash.
+    ``how='inner'`` keeps matched readings with the contract attributes
+    (``attrs=False``: only ``contract_type``); ``how='left_anti'`` returns
+    readings with no or several contracts (O-11).  The segment table is
+    broadcast when its measured row count is within the bound; beyond it both
+    sides are keyed by (side, UTC month) and joined by hash.
     """
-    segs = segments(contracts)
+    table = as_table(contracts)
+    segs = table.segments
     if not attrs:
-        segs = segs.select("side", "seg_from", "seg_to", "contract_no", "contract_type")
-    segs, is_bcast = bounded_broadcast(segs, settings.max_broadcast_segments)
+        segs = segs.select("side", "seg_from", "seg_to", "contract_type")
+    segs, is_bcast = bounded_broadcast(segs, settings.max_broadcast_segments, table.n)
     if is_bcast:
-        cond = _range_condition(readings, segs, time_col)
-        out = readings.join(segs, cond, how)
+        out = readings.join(segs, _range_condition(readings, segs, time_col), how)
     else:
         far = F.make_timestamp_ntz(F.lit(2100), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
         months = F.sequence(_month(F.col("seg_from")),
@@ -87,20 +102,11 @@ def attach_contract(readings: DataFrame, contracts: DataFrame, settings: Setting
         keyed = segs.withColumn("_m", F.explode(months))
         r = readings.withColumn("_m", _month(F.col(time_col)))
         cond = _range_condition(r, keyed, time_col) & (r["_m"] == keyed["_m"])
-        out = r.join(keyed, cond, how).drop(keyed["_m"]).drop(r["_m"]) if how != "left_anti" \
-            else r.join(keyed, cond, how).drop("_m")
+        out = r.join(keyed, cond, how)
+        out = out.drop("_m") if how == "left_anti" else out.drop(keyed["_m"]).drop(r["_m"])
     if how == "left_anti":
         return out
-    return out.drop("side", "seg_from", "seg_to")
-
-
-def contract_attributes(rows: DataFrame, contracts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Join the remaining contract attributes by ``(measure_type, contract_no)``."""
-    c = numbered(contracts).select(F.col("side").alias("_side"), F.col("contract_no").alias("_cno"),
-                                   *[a for a in CONTRACT_ATTRS if a != "contract_type"])
-    c, _ = bounded_broadcast(c, settings.max_broadcast_segments)
-    cond = (rows["measure_type"] == c["_side"]) & (rows["contract_no"] == c["_cno"])
-    return rows.join(c, cond, "inner").drop("_side", "_cno")
+    return out.drop("side", "seg_from", "seg_to", "contract_no")
 
 
 def violations(contracts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from meterframe.config import (
 )
 from meterframe.functions import tariff
 from meterframe.functions.timeutil import hour_start, local_hour
-from meterframe.operators.contracts import attach_contract, contract_attributes
+from meterframe.operators.contracts import attach_contract
 from meterframe.operators.readings import accepted, last_write_wins
 from meterframe.operators.sizing import bounded_broadcast
 from meterframe.schemas import ENERGY_COLUMNS
@@ -89,19 +89,19 @@ def energy_rows(priced: DataFrame, settings: Settings = Settings()) -> DataFrame
     )
 
 
-def priceable(readings: DataFrame, contracts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Accepted readings with exactly one contract, last write per key.
+def priceable(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:
+    """Accepted readings, last write per key, with their single contract.
 
-    Consumption under contract type *none* is not priceable (D5) and left out.
-    The contract join only tags each reading with its segment's contract;
-    duplicates are then collapsed on the narrow rows.
+    The contract valid for a reading depends only on ``(measure_type, time)``,
+    both part of the key, so collapsing duplicates first is equivalent to the
+    reference's order and keeps the shuffled rows narrow.  Consumption under
+    contract type *none* is not priceable (D5) and left out.
     """
     ok = accepted(readings).select("time", "metering_point_code", "measure_type",
                                    "resolution_duration", "value", "measure_unit", "seq")
-    matched = attach_contract(ok, contracts, settings, attrs=False)
-    matched = matched.where(~((F.col("measure_type") == MEASURE_CONSUMPTION)
-                              & (F.col("contract_type") == tariff.NONE)))
-    return contract_attributes(last_write_wins(matched), contracts, settings)
+    matched = attach_contract(last_write_wins(ok), contracts, settings)
+    return matched.where(~((F.col("measure_type") == MEASURE_CONSUMPTION)
+                           & (F.col("contract_type") == tariff.NONE)))
 
 
 def build_energies(readings: DataFrame, contracts: DataFrame, prices: DataFrame,
@@ -128,8 +128,7 @@ def wide_points(readings: DataFrame, contracts: DataFrame, prices: DataFrame, si
         r = r.where(F.col("resolution_duration") != RESOLUTION_QUARTER)
     keep = ["time", "metering_point_code", "measure_type", "resolution_duration", "value",
             "measure_unit", "seq"] + (["raw_resolution"] if "raw_resolution" in r.columns else [])
-    matched = attach_contract(accepted(r).select(*keep), contracts, settings, attrs=False)
-    latest = contract_attributes(last_write_wins(matched), contracts, settings)
+    latest = attach_contract(last_write_wins(accepted(r).select(*keep)), contracts, settings)
     priced = attach_spot_price(latest, prices, hour_fallback=False)
     spot = F.coalesce(F.col("spot_eur_mwh"), F.lit(0.0))
     hour = local_hour("time", settings.tz)

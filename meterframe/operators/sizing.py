@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +12,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, *, already_small: bool = False) -> tuple[DataFrame, bool]:
-    """Materialise ``df``, count it, and mark it for broadcast when it fits.
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist a small derived table and count it in one job.
 
-    Returns the frame to join with and whether it is broadcast.  Beyond the
-    bound the caller's join runs as a shuffle join.  ``already_small`` skips the
-    checkpoint for inputs that are local relations built on the driver.
+    A lost cached block is recomputed from lineage, so this survives executor
+    loss.
     """
-    mat = df if already_small else materialise(df)
-    n = mat.count()
-    if n <= max_rows:
-        return F.broadcast(mat), True
-    return mat, False
+    mat = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return mat, mat.count()
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Mark ``df`` for broadcast when its row count is within ``max_rows``.
+
+    The count is measured unless the caller already holds a proven upper bound
+    (``known_rows``).  Beyond the bound the caller's join runs as a shuffle
+    join.  Returns the frame to join with and whether it is broadcast.
+    """
+    if known_rows is None:
+        df, known_rows = measured(df)
+    if known_rows <= max_rows:
+        return F.broadcast(df), True
+    return df, False

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meterframe.config import GRAINS, SIDES, Settings
 from meterframe.operators import rollups as R
+from meterframe.operators.contracts import ContractTable
 from meterframe.operators.pricing import build_energies
 from meterframe.operators.report import daily_report
 from meterframe.plans import oracles as O
@@ -37,10 +38,32 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.table(spark, sf_dir, "events")
 
 
+_CONTRACTS: dict[str, ContractTable] = {}
+
+
+def contract_table(spark: SparkSession) -> ContractTable:
+    """The contract dimension, segmented once per application.
+
+    It is configuration, not data: one small persisted table reused by every
+    query of the session.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _CONTRACTS:
+        _CONTRACTS.clear()
+        _CONTRACTS[app] = ContractTable(testdata.contracts(spark))
+    return _CONTRACTS[app]
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.readings(events(spark, sf_dir))
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.day_ahead_prices(events(spark, sf_dir))
+
+
 def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    return build_energies(testdata.readings(ev), testdata.contracts(spark),
-                          testdata.day_ahead_prices(ev), SETTINGS)
+    return build_energies(readings(spark, sf_dir), contract_table(spark), prices(spark, sf_dir), SETTINGS)
 
 
 @register("energies_build", O.with_base(f"SELECT {O.ENERGY_COLUMNS} FROM energies"))
