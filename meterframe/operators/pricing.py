@@ -12,7 +12,7 @@ from meterframe.functions import tariff
 from meterframe.functions.timeutil import hour_start, local_hour
 from meterframe.operators.contracts import attach_contract
 from meterframe.operators.readings import accepted, last_write_wins
-from meterframe.operators.sizing import bounded_broadcast
+from meterframe.operators.sizing import bounded_broadcast, measured
 from meterframe.schemas import ENERGY_COLUMNS
 
 # Day-ahead prices are one row per delivery interval, so the table grows with
@@ -21,9 +21,20 @@ from meterframe.schemas import ENERGY_COLUMNS
 MAX_BROADCAST_PRICES = 1_000_000
 
 
-def price_duplicates(prices: DataFrame) -> DataFrame:
-    """Times with more than one price row (J-4): a lookup there is ambiguous."""
-    return prices.groupBy("time").agg(F.count(F.lit(1)).alias("n_prices")).where(F.col("n_prices") > 1)
+def price_duplicates(prices: DataFrame, summary: bool = False) -> DataFrame:
+    """Times with more than one price row (J-4): a lookup there is ambiguous.
+
+    ``summary=True`` gives one row: price rows, distinct times, duplicated times.
+    """
+    per_time = prices.groupBy("time").agg(F.count(F.lit(1)).alias("n_prices"))
+    if summary:
+        return per_time.agg(F.sum("n_prices").alias("n_price_rows"), F.count(F.lit(1)).alias("n_times"),
+                            F.count_if(F.col("n_prices") > 1).alias("n_duplicate_times"))
+    return per_time.where(F.col("n_prices") > 1)
+
+
+class AmbiguousPriceError(ValueError):
+    """More than one day-ahead price for one time (the reference's scalar subquery fails)."""
 
 
 def _lookup(prices: DataFrame, name: str) -> DataFrame:
@@ -35,9 +46,15 @@ def attach_spot_price(df: DataFrame, prices: DataFrame, *, hour_fallback: bool =
     """Day-ahead price at the reading's time, else at its hour start (J-2, J-3).
 
     Two left equi-joins against the same bounded, broadcast price table; the
-    reading side is never shuffled for them.
+    reading side is never shuffled for them.  A time with two prices raises
+    (J-4) instead of silently duplicating readings.
     """
-    p, _ = bounded_broadcast(prices.select("time", "price"), MAX_BROADCAST_PRICES)
+    p, n = measured(prices.select("time", "price"))
+    if n <= MAX_BROADCAST_PRICES:
+        n_times = p.select("time").distinct().count()
+        if n_times != n:
+            raise AmbiguousPriceError(f"{n - n_times} duplicate price rows; see price_duplicates()")
+    p, _ = bounded_broadcast(p, MAX_BROADCAST_PRICES, n)
     exact = _lookup(p, "px")
     res = df.join(exact, F.col(time_col) == F.col("_px_t"), "left")
     price = F.col("_px_p")

@@ -8,31 +8,44 @@ Sums use DECIMAL(28,8) and half-even rounding, like the Spark side.
 from __future__ import annotations
 
 # Readings, prices, contracts and energies from ``events`` (FIXTURES §3).
-BASE = """
-b AS (SELECT event_id, user_id, event_type, value,
+CONTRACT_ROWS = """
+  (1, TIMESTAMP '2023-01-01 00:00:00', TIMESTAMP '2023-12-24 21:59:59', 2, 4.5E0, 2.23E0, 1.23E0, CAST(NULL AS DOUBLE), 13.5E0, 3.34E0, 2.34E0, 2.35972E0, 24.0E0),
+  (1, TIMESTAMP '2023-12-24 22:00:00', TIMESTAMP '2023-12-31 21:59:59', 4, 5.5E0, 3.23E0, 2.23E0, CAST(NULL AS DOUBLE), 14.5E0, 4.34E0, 3.34E0, 2.35972E0, 24.0E0),
+  (1, TIMESTAMP '2023-12-31 22:00:00', CAST(NULL AS TIMESTAMP), 3, 5.5E0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0.25E0, 14.5E0, 4.34E0, 3.34E0, 2.35972E0, 24.0E0),
+  (6, TIMESTAMP '2023-01-01 00:00:00', CAST(NULL AS TIMESTAMP), 3, 0.0E0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0.3E0, 0.0E0, 0.07E0, 0.07E0, 0.0E0, 24.0E0)
+"""
+CONTRACT_COLUMNS = ("side, valid_from, valid_to, contract_type, energy_basic_fee, day_fee, night_fee, energy_margin, "
+                    "transfer_basic_fee, transfer_day, transfer_night, transfer_tax_fee, tax_percentage")
+
+
+def contracts_cte(name: str = "contracts", rows: str = CONTRACT_ROWS) -> str:
+    return f"{name} AS (SELECT * FROM (VALUES {rows.strip()}) AS c({CONTRACT_COLUMNS}))"
+
+
+SHARED = """
+b AS (SELECT event_id, ts, user_id, event_type, value,
         time_bucket(INTERVAL '15 minutes', t) AS t15, date_trunc('hour', t) AS t60
       FROM (SELECT *, ts - INTERVAL 15 DAY AS t FROM events)),
-readings AS (SELECT event_id, 'mp-' || CAST(user_id AS VARCHAR) AS metering_point_code,
-        CAST(CASE WHEN event_type IN ('view','click','signup') THEN 1 ELSE 6 END AS INTEGER) AS measure_type,
-        CASE WHEN event_id % 3 = 0 THEN 'PT1H' ELSE 'PT15M' END AS resolution_duration,
-        CASE WHEN event_id % 3 = 0 THEN t60 ELSE t15 END AS time, t60 AS hour_start,
-        CASE WHEN event_id % 50 = 7 THEN NULL ELSE value / 100 END AS quantity FROM b),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY time, metering_point_code, measure_type,
-        resolution_duration ORDER BY event_id DESC) AS rn FROM readings WHERE quantity IS NOT NULL) WHERE rn = 1),
 day_ahead_prices AS (
   SELECT t60 AS time, round(avg(value) * 100) / 100 - 40 AS price FROM b
     WHERE EXTRACT(hour FROM t60) % 7 <> 3 GROUP BY t60
   UNION ALL
-  SELECT t15, max(value) - 60 FROM b WHERE event_id % 2 = 0 AND t15 <> t60 GROUP BY t15),
-contracts AS (SELECT * FROM (VALUES
-  (1, TIMESTAMP '2023-01-01 00:00:00', TIMESTAMP '2023-12-24 21:59:59', 2, 4.5E0, 2.23E0, 1.23E0, CAST(NULL AS DOUBLE), 13.5E0, 3.34E0, 2.34E0, 2.35972E0, 24.0E0),
-  (1, TIMESTAMP '2023-12-24 22:00:00', TIMESTAMP '2023-12-31 21:59:59', 4, 5.5E0, 3.23E0, 2.23E0, CAST(NULL AS DOUBLE), 14.5E0, 4.34E0, 3.34E0, 2.35972E0, 24.0E0),
-  (1, TIMESTAMP '2023-12-31 22:00:00', CAST(NULL AS TIMESTAMP), 3, 5.5E0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0.25E0, 14.5E0, 4.34E0, 3.34E0, 2.35972E0, 24.0E0),
-  (6, TIMESTAMP '2023-01-01 00:00:00', CAST(NULL AS TIMESTAMP), 3, 0.0E0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0.3E0, 0.0E0, 0.07E0, 0.07E0, 0.0E0, 24.0E0))
-  AS c(side, valid_from, valid_to, contract_type, energy_basic_fee, day_fee, night_fee, energy_margin,
-       transfer_basic_fee, transfer_day, transfer_night, transfer_tax_fee, tax_percentage)),
-h AS (SELECT *, EXTRACT(hour FROM time + INTERVAL 2 HOUR) AS lh FROM r),
-energies AS (SELECT h.time, h.metering_point_code, h.measure_type, CAST(c.contract_type AS SMALLINT) AS contract_type,
+  SELECT t15, max(value) - 60 FROM b WHERE event_id % 2 = 0 AND t15 <> t60 GROUP BY t15)
+"""
+
+
+def energies_ctes(p: str = "", where: str = "TRUE", contracts: str = "contracts") -> str:
+    """Readings ``{p}readings``, deduped ``{p}r``, local hour ``{p}h``, facts ``{p}energies``."""
+    return f"""
+{p}readings AS (SELECT event_id, 'mp-' || CAST(user_id AS VARCHAR) AS metering_point_code,
+        CAST(CASE WHEN event_type IN ('view','click','signup') THEN 1 ELSE 6 END AS INTEGER) AS measure_type,
+        CASE WHEN event_id % 3 = 0 THEN 'PT1H' ELSE 'PT15M' END AS resolution_duration,
+        CASE WHEN event_id % 3 = 0 THEN t60 ELSE t15 END AS time, t60 AS hour_start,
+        CASE WHEN event_id % 50 = 7 THEN NULL ELSE value / 100 END AS quantity FROM b WHERE {where}),
+{p}r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY time, metering_point_code, measure_type,
+        resolution_duration ORDER BY event_id DESC) AS rn FROM {p}readings WHERE quantity IS NOT NULL) WHERE rn = 1),
+{p}h AS (SELECT *, EXTRACT(hour FROM time + INTERVAL 2 HOUR) AS lh FROM {p}r),
+{p}energies AS (SELECT h.time, h.metering_point_code, h.measure_type, CAST(c.contract_type AS SMALLINT) AS contract_type,
   'meter' AS source, 'kWh' AS measure_unit, h.quantity AS value, c.energy_basic_fee,
   CASE WHEN c.contract_type IN (2,4) THEN CASE WHEN lh < 7 OR lh >= 22 THEN night_fee ELSE day_fee END END AS energy_fee,
   c.energy_margin, c.transfer_basic_fee,
@@ -40,13 +53,16 @@ energies AS (SELECT h.time, h.metering_point_code, h.measure_type, CAST(c.contra
   c.transfer_tax_fee, c.tax_percentage,
   CASE WHEN h.measure_type = 1 THEN (lh < 7 OR lh >= 22) ELSE FALSE END AS night,
   h.resolution_duration, COALESCE(p1.price, p2.price) / 10 AS spot_price
-  FROM h JOIN contracts c ON c.side = h.measure_type AND h.time >= c.valid_from
+  FROM {p}h h JOIN {contracts} c ON c.side = h.measure_type AND h.time >= c.valid_from
     AND (c.valid_to IS NULL OR h.time <= c.valid_to)
   LEFT JOIN day_ahead_prices p1 ON p1.time = h.time
   LEFT JOIN day_ahead_prices p2 ON p2.time = h.hour_start)
 """
 
 
+BASE = ",\n".join([SHARED.strip(), contracts_cte(), energies_ctes().strip()])
+
+
 def with_base(select: str, *extra_ctes: str) -> str:
     ctes = ",\n".join([BASE.strip(), *[c.strip() for c in extra_ctes]])
     return f"WITH {ctes}\n{select.strip()}"
