@@ -119,3 +119,4 @@ def q_cutover_filter(spark, sf_dir):
 # Registration side effects of the operator-level query modules.
 from meterframe.plans import operator_queries  # noqa: E402,F401
 from meterframe.plans import payload_queries  # noqa: E402,F401
+from meterframe.plans import store_queries  # noqa: E402,F401

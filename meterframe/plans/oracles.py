@@ -68,6 +68,7 @@ def with_base(select: str, *extra_ctes: str) -> str:
     return f"WITH {ctes}\n{select.strip()}"
 
 
+ENERGY_KEY_COLS = ("time", "metering_point_code", "measure_type", "resolution_duration")
 ENERGY_COLUMNS = ("time, metering_point_code, measure_type, contract_type, source, measure_unit, value, "
                   "energy_basic_fee, energy_fee, energy_margin, transfer_basic_fee, transfer_fee, "
                   "transfer_tax_fee, tax_percentage, night, resolution_duration, spot_price")

@@ -78,11 +78,21 @@ FIXTURE_CONTRACTS = [
 ]
 
 
-def contracts(spark: SparkSession) -> DataFrame:
+# A later configuration in which the hybrid period was re-priced as spot; used
+# to exercise column ownership when re-fetched readings change contract type.
+REPRICED_CONTRACTS = [
+    FIXTURE_CONTRACTS[0],
+    (1, _T(2023, 12, 24, 22, 0, 0), _T(2023, 12, 31, 21, 59, 59), 3, 5.5, None, None, 0.25, 14.5, 4.34, 3.34, 2.35972, 24.0),
+    FIXTURE_CONTRACTS[2],
+    FIXTURE_CONTRACTS[3],
+]
+
+
+def contracts(spark: SparkSession, rows_in=None) -> DataFrame:
     """The mapping's contract dimension in ``schemas.CONTRACTS`` layout."""
     rows = []
     for (side, lo, hi, ctype, e_basic, e_day, e_night, margin,
-         t_basic, t_day, t_night, t_tax, tax) in FIXTURE_CONTRACTS:
+         t_basic, t_day, t_night, t_tax, tax) in (rows_in or FIXTURE_CONTRACTS):
         rows.append((side, lo, hi, ctype, tax, None, None, e_basic, e_day, e_night, margin,
                      None, None, None, t_basic, t_day, t_night, t_tax))
     return spark.createDataFrame(rows, schemas.CONTRACTS)
