@@ -121,3 +121,4 @@ from meterframe.plans import operator_queries  # noqa: E402,F401
 from meterframe.plans import payload_queries  # noqa: E402,F401
 from meterframe.plans import store_queries  # noqa: E402,F401
 from meterframe.plans import wide_queries  # noqa: E402,F401
+from meterframe.plans import stream_queries  # noqa: E402,F401

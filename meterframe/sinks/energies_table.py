@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterframe.config import DEFAULT_TZ, MEASURE_CONSUMPTION
 from meterframe.functions import tariff
@@ -97,7 +98,8 @@ class EnergiesTable:
         return self
 
     def read(self, with_partition: bool = False) -> DataFrame:
-        df = self.spark.read.parquet(self.path)
+        schema = T.StructType(ENERGIES.fields + [T.StructField(PARTITION, T.StringType())])
+        df = self.spark.read.schema(schema).parquet(self.path)
         return df if with_partition else df.select(*ENERGY_COLUMNS)
 
     def merge(self, batch: DataFrame) -> None:
