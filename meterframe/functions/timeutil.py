@@ -16,6 +16,16 @@ from meterframe.functions._col import col, lit
 
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a ``datetime`` or text.
+
+    ``F.lit(datetime)`` would make a session-zone TIMESTAMP; going through text
+    keeps the wall-clock value whatever the session zone is.
+    """
+    text = value.strftime("%Y-%m-%d %H:%M:%S.%f") if hasattr(value, "strftime") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def parse_local(text) -> Column:
     """Strict ``YYYY-MM-DDTHH:MM:SS`` parse into a local TIMESTAMP_NTZ (O-5).
 

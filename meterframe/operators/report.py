@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterframe.functions.timeutil import ntz_lit
+
 
 def daily_report(day_rollup: DataFrame, date_from=None, date_to=None,
                  metering_point_code: str | None = None) -> DataFrame:
@@ -16,9 +18,9 @@ def daily_report(day_rollup: DataFrame, date_from=None, date_to=None,
     if metering_point_code is not None:
         d = d.where(F.col("metering_point_code") == metering_point_code)
     if date_from is not None:
-        d = d.where(F.col("time") >= F.lit(date_from))
+        d = d.where(F.col("time") >= ntz_lit(date_from))
     if date_to is not None:
-        d = d.where(F.col("time") <= F.lit(date_to))
+        d = d.where(F.col("time") <= ntz_lit(date_to))
     spot_avg = F.when(F.col("energy_consumption") != 0,
                       F.col("energy_fee_spot_no_margin") / F.col("energy_consumption"))
     return d.select(

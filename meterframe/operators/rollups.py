@@ -19,7 +19,7 @@ from meterframe.config import (
 from meterframe.functions.numeric import exact_avg, exact_sum, r5, safe_ratio
 from meterframe.functions.tariff import FIXED_LIKE, SPOT
 from meterframe.functions.timeutil import (
-    hour_start, local_day_start, local_month_start, local_year_start, quarter_start,
+    hour_start, ntz_lit, local_day_start, local_month_start, local_year_start, quarter_start,
 )
 
 SIX_KEYS = ("metering_point_code", "measure_type", "contract_type", "source", "measure_unit")
@@ -42,8 +42,8 @@ def cutover_filter(cutover: _dt.datetime) -> Column:
     """Hourly history before the cut-over, quarter-hours from it on (O-26)."""
     t = F.col("time")
     res = F.col("resolution_duration")
-    return (((res == RESOLUTION_HOUR) & (t < F.lit(cutover)))
-            | ((res == RESOLUTION_QUARTER) & (t >= F.lit(cutover))))
+    return (((res == RESOLUTION_HOUR) & (t < ntz_lit(cutover)))
+            | ((res == RESOLUTION_QUARTER) & (t >= ntz_lit(cutover))))
 
 
 def derive_cutover(energies: DataFrame) -> DataFrame:

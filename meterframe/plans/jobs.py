@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterframe.config import GRAINS, LOCAL_TEXT_FORMAT, SIDES, Settings
 from meterframe.functions.tariff import normalise_resolution
-from meterframe.functions.timeutil import local_to_utc, parse_local, utc_to_local
+from meterframe.functions.timeutil import local_to_utc, ntz_lit, parse_local, utc_to_local
 from meterframe.operators.pricing import build_energies
 from meterframe.operators.rollups import rollup
 from meterframe.sources import payloads as P
@@ -32,7 +32,7 @@ def documents_in_range(docs: DataFrame, start_local: str, stop_local: str,
     s, e = parse_local(F.col(f"{_TS}.start")), parse_local(F.col(f"{_TS}.stop"))
     lo = _dt.datetime.strptime(start_local, "%Y-%m-%dT%H:%M:%S")
     hi = _dt.datetime.strptime(stop_local, "%Y-%m-%dT%H:%M:%S")
-    return docs.where((s >= F.lit(lo)) & (e <= F.lit(hi))
+    return docs.where((s >= ntz_lit(lo)) & (e <= ntz_lit(hi))
                       & (normalise_resolution(F.col(f"{_TS}.resolution")) == F.lit(resolution)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterframe.functions.timeutil import local_to_utc, utc_to_local
+from meterframe.functions.timeutil import local_to_utc, ntz_lit, utc_to_local
 from meterframe.operators.contracts import ContractTable
 from meterframe.operators.pricing import build_energies
 from meterframe.plans import jobs
@@ -62,9 +62,9 @@ def _merge_sql() -> str:
 def q_energies_upsert(spark, sf_dir):
     ev = events(spark, sf_dir)
     p = prices(spark, sf_dir)
-    first = build_energies(testdata.readings(ev.where(F.col("ts") < F.lit(FIRST_LOAD_BEFORE).cast("timestamp_ntz"))),
+    first = build_energies(testdata.readings(ev.where(F.col("ts") < ntz_lit(FIRST_LOAD_BEFORE))),
                            contract_table(spark), p, SETTINGS)
-    second = build_energies(testdata.readings(ev.where(F.col("ts") >= F.lit(SECOND_LOAD_FROM).cast("timestamp_ntz"))),
+    second = build_energies(testdata.readings(ev.where(F.col("ts") >= ntz_lit(SECOND_LOAD_FROM))),
                             repriced_table(spark), p, SETTINGS)
     table = EnergiesTable(spark, work_path(spark, "energies"), SETTINGS.tz).create(first)
     table.merge(second)
