@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from meterframe.functions import tariff
 from meterframe.functions.timeutil import hour_start, local_hour
 from meterframe.operators.contracts import attach_contract
 from meterframe.operators.readings import accepted, last_write_wins
-from meterframe.operators.sizing import bounded_broadcast, measured
+from meterframe.operators.sizing import bounded_broadcast
 from meterframe.schemas import ENERGY_COLUMNS
 
 # Day-ahead prices are one row per delivery interval, so the table grows with
@@ -49,11 +50,11 @@ def attach_spot_price(df: DataFrame, prices: DataFrame, *, hour_fallback: bool =
     reading side is never shuffled for them.  A time with two prices raises
     (J-4) instead of silently duplicating readings.
     """
-    p, n = measured(prices.select("time", "price"))
-    if n <= MAX_BROADCAST_PRICES:
-        n_times = p.select("time").distinct().count()
-        if n_times != n:
-            raise AmbiguousPriceError(f"{n - n_times} duplicate price rows; see price_duplicates()")
+    p = prices.select("time", "price").persist(StorageLevel.MEMORY_AND_DISK)
+    # One job fills the cache, sizes the table and checks J-4.
+    n, n_times = p.agg(F.count(F.lit(1)), F.count_distinct("time")).first()
+    if n_times != n:
+        raise AmbiguousPriceError(f"{n - n_times} duplicate price rows; see price_duplicates()")
     p, _ = bounded_broadcast(p, MAX_BROADCAST_PRICES, n)
     exact = _lookup(p, "px")
     res = df.join(exact, F.col(time_col) == F.col("_px_t"), "left")

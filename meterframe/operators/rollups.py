@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meterframe.config import (
     GRAINS, MEASURE_CONSUMPTION, RESOLUTION_HOUR, RESOLUTION_QUARTER, SIDES, Settings,
 )
-from meterframe.functions.numeric import exact_avg, exact_sum, r5, safe_ratio
+from meterframe.functions.numeric import EXACT, r5, safe_ratio
 from meterframe.functions.tariff import FIXED_LIKE, SPOT
 from meterframe.functions.timeutil import (
     hour_start, ntz_lit, local_day_start, local_month_start, local_year_start, quarter_start,
@@ -79,6 +79,13 @@ def _terms(side: str) -> dict[str, Column]:
             "transfer_tax_fee": tx, "price": total, "spot_total": spot_total}
 
 
+def _side_terms() -> dict[str, Column]:
+    """Terms of both sides in one projection, chosen by ``measure_type``."""
+    c, p = _terms("consumption"), _terms("production")
+    is_c = F.col("measure_type") == MEASURE_CONSUMPTION
+    return {k: F.when(is_c, c[k]).otherwise(p[k]) for k in c}
+
+
 def _z_split(side: str, grain: str) -> bool:
     """Whether ``*_night`` / ``*_day`` become 0 instead of NULL."""
     return side == "production" or grain == "day"
@@ -89,70 +96,179 @@ def _z_avg(side: str, grain: str) -> bool:
     return side == "consumption" and grain in ("15min", "hour")
 
 
-def rollup(energies: DataFrame, side: str, grain: str, settings: Settings = Settings()) -> DataFrame:
-    """One roll-up of ``energies``."""
-    if side not in SIDES or grain not in GRAINS:
-        raise ValueError(f"unknown roll-up {side}/{grain}")
-    rows = energies.where(F.col("measure_type") == SIDES[side])
-    if grain == "15min":
-        rows = rows.where(F.col("resolution_duration") == RESOLUTION_QUARTER)
-    else:
-        rows = rows.where(cutover_filter(settings.cutover))
-    terms = _terms(side)
+# ---------------------------------------------------------------------------
+# Mergeable state: exact DECIMAL sums, counts and an OR.  Summing states of
+# finer buckets gives exactly the state of the coarser bucket, so every grain
+# can be finished from the state below it.
+# ---------------------------------------------------------------------------
+
+def _prepare(energies: DataFrame, bucket_col: Column) -> DataFrame:
+    t = _side_terms()
     v = F.col("value")
-    weighted = {m: terms[m] * v for m in MEASURES}
-    proj = rows.select(
-        bucket(grain, settings.tz).alias("bucket"), *SIX_KEYS, "tax_percentage", "night",
+    return energies.select(
+        bucket_col.alias("bucket"), *SIX_KEYS, "resolution_duration", "tax_percentage", "night",
         "spot_price", "energy_basic_fee", "transfer_basic_fee", "value",
         (F.col("spot_price") * (F.col("tax_percentage") / 100.0)).alias("_spot_tax"),
-        terms["spot"].alias("_spot"),
-        (terms["spot"] * v).alias("_spot_v"),
-        (terms["spot_total"] * v).alias("_spot_total_v"),
-        *[weighted[m].alias(f"_w_{m}") for m in MEASURES],
+        t["spot"].alias("_spot"),
+        (t["spot"] * v).alias("_spot_v"),
+        (t["spot_total"] * v).alias("_spot_total_v"),
+        *[(t[m] * v).alias(f"_w_{m}") for m in MEASURES],
     )
+
+
+def _state_aggs() -> list[Column]:
+    def s(x: Column, name: str) -> Column:
+        return F.sum(x.cast(EXACT)).alias(name)
+
     night = F.col("night") == F.lit(True)
     day = F.col("night") == F.lit(False)
+    aggs = [F.bool_or("night").alias("night_any")]
+    for src, name in (("tax_percentage", "tax"), ("spot_price", "spot"), ("_spot_tax", "spot_tax"),
+                      ("_spot", "spot_wt"), ("energy_basic_fee", "ebf"), ("transfer_basic_fee", "tbf"),
+                      ("value", "v")):
+        aggs += [F.count(src).alias(f"n_{name}"), s(F.col(src), f"s_{name}")]
+    for src, name in [("value", "v")] + [(f"_w_{m}", m) for m in MEASURES]:
+        x = F.col(src)
+        aggs += [s(F.when(night, x), f"s_{name}_n"), s(F.when(day, x), f"s_{name}_d")]
+    for m in MEASURES:
+        aggs.append(s(F.col(f"_w_{m}"), f"s_{m}"))
+    aggs += [s(F.col("_spot_v"), "s_spot_v"), s(F.col("_spot_total_v"), "s_spot_total_v")]
+    return aggs
+
+
+def _coarsen_aggs(state_cols: list[str]) -> list[Column]:
+    out = []
+    for c in state_cols:
+        if c == "night_any":
+            out.append(F.bool_or(c).alias(c))
+        else:
+            out.append(F.sum(c).alias(c))
+    return out
+
+
+STATE_KEYS = ("bucket",) + SIX_KEYS
+
+
+def states(prepared: DataFrame, keys=SIX_KEYS) -> DataFrame:
+    """Exact state per ``(bucket, *keys)`` from prepared fact rows."""
+    return prepared.groupBy("bucket", *keys).agg(*_state_aggs())
+
+
+def coarsen(state: DataFrame, bucket_fn, keys) -> DataFrame:
+    """State of coarser buckets: ``bucket_fn(bucket)`` and a subset of keys."""
+    cols = [c for c in state.columns if c not in ("bucket", "resolution_duration") + SIX_KEYS]
+    return state.groupBy(bucket_fn(F.col("bucket")).alias("bucket"), *keys).agg(*_coarsen_aggs(cols))
+
+
+def finish(state: DataFrame, side: str, grain: str) -> DataFrame:
+    """The 39 output columns of one roll-up from its state."""
+    d = lambda c: F.col(c).cast("double")
     zero = F.lit(0.0)
-    split_z = _z_split(side, grain)
-    avg_z = _z_avg(side, grain)
 
-    def split(x: Column, name: str) -> list[Column]:
-        n = r5(exact_sum(F.when(night, x)))
-        d = r5(exact_sum(F.when(day, x)))
-        if split_z:
-            n, d = F.coalesce(n, zero), F.coalesce(d, zero)
-        return [n.alias(f"{name}_night"), d.alias(f"{name}_day")]
+    def avg(name: str) -> Column:
+        return F.when(F.col(f"n_{name}") > 0, d(f"s_{name}") / F.col(f"n_{name}"))
+
+    def split(name: str, out: str) -> list[Column]:
+        n, dd = r5(d(f"s_{name}_n")), r5(d(f"s_{name}_d"))
+        if _z_split(side, grain):
+            n, dd = F.coalesce(n, zero), F.coalesce(dd, zero)
+        return [n.alias(f"{out}_night"), dd.alias(f"{out}_day")]
 
-    sum_v = exact_sum(v)
     e = "energy_consumption" if side == "consumption" else "energy_production"
-    aggs = [
-        exact_avg("tax_percentage").alias("tax_percentage"),
-        F.bool_or("night").alias("night"),
-        r5(exact_avg("spot_price")).alias("spot_price"),
-        r5(exact_avg("_spot_tax")).alias("spot_price_tax"),
-        r5(exact_avg("_spot")).alias("spot_price_with_tax"),
-        r5(exact_avg("energy_basic_fee")).alias("energy_basic_fee"),
-        r5(exact_avg("transfer_basic_fee")).alias("transfer_basic_fee"),
-        r5(sum_v).alias(e), *split(v, e), r5(exact_avg(v)).alias(f"{e}_avg"),
+    sum_v = d("s_v")
+    cols = [
+        avg("tax").alias("tax_percentage"), F.col("night_any").alias("night"),
+        r5(avg("spot")).alias("spot_price"), r5(avg("spot_tax")).alias("spot_price_tax"),
+        r5(avg("spot_wt")).alias("spot_price_with_tax"),
+        r5(avg("ebf")).alias("energy_basic_fee"), r5(avg("tbf")).alias("transfer_basic_fee"),
+        r5(sum_v).alias(e), *split("v", e), r5(avg("v")).alias(f"{e}_avg"),
     ]
     for m in MEASURES:
-        w = F.col(f"_w_{m}")
-        avg = r5(safe_ratio(exact_sum(w), sum_v))
-        if avg_z:
-            avg = F.coalesce(avg, zero)
-        aggs += [r5(exact_sum(w)).alias(m), *split(w, m), avg.alias(f"{m}_avg")]
-    aggs += [r5(exact_sum("_spot_v")).alias("energy_fee_spot_no_margin"),
-             r5(exact_sum("_spot_total_v")).alias("price_spot_no_margin")]
-
+        a = r5(safe_ratio(d(f"s_{m}"), sum_v))
+        if _z_avg(side, grain):
+            a = F.coalesce(a, zero)
+        cols += [r5(d(f"s_{m}")).alias(m), *split(m, m), a.alias(f"{m}_avg")]
+    cols += [r5(d("s_spot_v")).alias("energy_fee_spot_no_margin"),
+             r5(d("s_spot_total_v")).alias("price_spot_no_margin")]
+    st = state.where(F.col("measure_type") == SIDES[side])
     if grain in ("month", "year"):
-        out = proj.groupBy("bucket", *THREE_KEYS).agg(*aggs).select(
-            F.col("bucket").alias("time"), *THREE_KEYS,
-            F.lit(None).cast("short").alias("contract_type"),
-            F.lit(None).cast("string").alias("source"),
-            F.lit(None).cast("string").alias("measure_unit"), "*")
+        keys = [F.col("bucket").alias("time"), *THREE_KEYS,
+                F.lit(None).cast("short").alias("contract_type"),
+                F.lit(None).cast("string").alias("source"),
+                F.lit(None).cast("string").alias("measure_unit")]
+    else:
+        keys = [F.col("bucket").alias("time"), *SIX_KEYS]
+    return st.select(*keys, *cols).select(*rollup_columns(side))
+
+
+def rollup(energies: DataFrame, side: str, grain: str, settings: Settings = Settings()) -> DataFrame:
+    """One roll-up of ``energies``, a single aggregate."""
+    if side not in SIDES or grain not in GRAINS:
+        raise ValueError(f"unknown roll-up {side}/{grain}")
+    rows = energies.where(F.col("measure_type") == SIDES[side])
+    if grain == "15min":
+        rows = rows.where(F.col("resolution_duration") == RESOLUTION_QUARTER)
     else:
-        out = proj.groupBy("bucket", *SIX_KEYS).agg(*aggs).withColumnRenamed("bucket", "time")
-    return out.select(*rollup_columns(side))
+        rows = rows.where(cutover_filter(settings.cutover))
+    keys = THREE_KEYS if grain in ("month", "year") else SIX_KEYS
+    return finish(states(_prepare(rows, bucket(grain, settings.tz)), keys), side, grain)
+
+
+def _whole_hour_zone(tz: str) -> bool:
+    """Whether every UTC offset of ``tz`` is a whole hour (checked on the driver)."""
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+    z = ZoneInfo(tz)
+    for year in range(1970, 2040):
+        for month in (1, 4, 7, 10):
+            off = dt.datetime(year, month, 1, tzinfo=z).utcoffset()
+            if off.total_seconds() % 3600:
+                return False
+    return True
+
+
+def fine_states(energies: DataFrame, settings: Settings = Settings(), keep=None) -> dict[str, DataFrame]:
+    """Quarter-hour, hour and day states from facts: one scan, one large shuffle.
+
+    Quarter-hour states are keyed by resolution too: the 15-minute roll-up
+    takes the quarter-hour rows, the coarser ones the rows inside the
+    cut-over.  ``keep`` (e.g. a persist) is applied to levels with two
+    consumers.
+    """
+    keep = keep or (lambda df: df)
+    quarter = keep(states(_prepare(energies, quarter_start(F.col("time"))),
+                          SIX_KEYS + ("resolution_duration",)))
+    q15 = quarter.where(F.col("resolution_duration") == RESOLUTION_QUARTER)
+    cut = (quarter.withColumnRenamed("bucket", "time").where(cutover_filter(settings.cutover))
+           .withColumnRenamed("time", "bucket"))
+    hour = keep(coarsen(cut, hour_start, SIX_KEYS))
+    day_src = hour if _whole_hour_zone(settings.tz) else cut
+    day = coarsen(day_src, lambda b: local_day_start(b, settings.tz), SIX_KEYS)
+    return {"15min": q15, "hour": hour, "day": day}
+
+
+def coarse_states(day: DataFrame, settings: Settings = Settings(), keep=None) -> dict[str, DataFrame]:
+    """Month and year states from day states."""
+    keep = keep or (lambda df: df)
+    month = keep(coarsen(day, lambda b: local_month_start(b, settings.tz), THREE_KEYS))
+    year = coarsen(month, lambda b: local_year_start(b, settings.tz), THREE_KEYS)
+    return {"month": month, "year": year}
+
+
+def finish_all(levels: dict[str, DataFrame], sides=tuple(SIDES)) -> dict[str, DataFrame]:
+    return {f"{side}_{grain}": finish(st, side, grain) for side in sides for grain, st in levels.items()}
+
+
+def chained_rollups(energies: DataFrame, settings: Settings = Settings(), keep=None) -> dict[str, DataFrame]:
+    """All ten roll-ups from one scan and one large shuffle (ST-1, ST-2).
+
+    Each grain is finished from the state of the grain below it; exact sums
+    make this identical to aggregating the facts directly.
+    """
+    keep_ = keep or (lambda df: df)
+    fine = fine_states(energies, settings, keep_)
+    day = keep_(fine["day"])
+    return finish_all({**fine, "day": day, **coarse_states(day, settings, keep_)})
 
 
 def all_rollups(energies: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:

@@ -1,27 +1,32 @@
-"""Materialised roll-ups: ten Parquet tables partitioned by period (SNK-15, ST-1, ST-2, ST-6).
+"""Materialised roll-ups: ten Parquet tables plus the day state (SNK-15, ST-1, ST-2, ST-6).
 
 15-minute, hour and day roll-ups are partitioned by the local month of the
-bucket, month and year roll-ups by its local year.  A full refresh rewrites
-everything; an incremental refresh recomputes only the periods a batch
-touched, from the fact rows of those periods, and overwrites just those
-partitions, so it equals a full refresh by construction.
+bucket, month and year roll-ups by its local year.  Next to them the store
+keeps the exact day-level state (DECIMAL sums and counts, partitioned by
+month): month and year roll-ups are finished from it, so a batch that touches
+one day recomputes only that month's fine grains from the facts and re-sums
+the stored day states of the touched years.  Results equal a full refresh by
+construction (exact sums), which a test checks.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.config import GRAINS, SIDES, Settings
 from meterframe.functions.timeutil import utc_to_local
-from meterframe.operators.rollups import rollup, rollup_columns
+from meterframe.operators.rollups import coarse_states, finish_all, fine_states, rollup_columns
 from meterframe.operators.sizing import materialise
 
 PERIOD = "period"
+_FINE = ("15min", "hour", "day")
+_COARSE = ("month", "year")
 
 
 def period_of(grain: str, time_col: str, tz: str):
-    fmt = "yyyy" if grain in ("month", "year") else "yyyy-MM"
+    fmt = "yyyy" if grain in _COARSE else "yyyy-MM"
     return F.date_format(utc_to_local(F.col(time_col), tz), fmt)
 
 
@@ -32,35 +37,60 @@ class RollupStore:
     def path(self, side: str, grain: str) -> str:
         return f"{self.root}/{side}_{grain}"
 
+    @property
+    def state_path(self) -> str:
+        return f"{self.root}/_day_state"
+
     def read(self, side: str, grain: str) -> DataFrame:
         return self.spark.read.parquet(self.path(side, grain)).select(*rollup_columns(side))
 
-    def _write(self, df: DataFrame, side: str, grain: str, dynamic: bool) -> None:
-        out = df.withColumn(PERIOD, period_of(grain, "time", self.settings.tz))
+    def _write(self, df: DataFrame, path: str, grain: str, time_col: str, dynamic: bool) -> None:
+        out = df.withColumn(PERIOD, period_of(grain, time_col, self.settings.tz))
         w = out.write.mode("overwrite")
         if dynamic:
             w = w.option("partitionOverwriteMode", "dynamic")
-        w.partitionBy(PERIOD).parquet(self.path(side, grain))
+        w.partitionBy(PERIOD).parquet(path)
+
+    def _refresh(self, facts: DataFrame, touched_years: DataFrame | None, sides) -> None:
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return kept[-1]
+
+        dynamic = touched_years is not None
+        try:
+            fine = fine_states(facts, self.settings, keep)
+            day = keep(fine["day"])
+            self._write(day, self.state_path, "day", "bucket", dynamic)
+            for name, df in finish_all(fine | {"day": day}, sides).items():
+                side, grain = name.split("_")
+                self._write(df, self.path(side, grain), grain, "time", dynamic)
+            days = self.spark.read.parquet(self.state_path).drop(PERIOD)
+            if dynamic:
+                year = F.substring(period_of("day", "bucket", self.settings.tz), 1, 4)
+                days = days.withColumn("_y", year).join(F.broadcast(touched_years), "_y", "left_semi").drop("_y")
+            for name, df in finish_all(coarse_states(days, self.settings, keep), sides).items():
+                side, grain = name.split("_")
+                self._write(df, self.path(side, grain), grain, "time", dynamic)
+        finally:
+            for df in kept:
+                df.unpersist()
 
     def refresh_full(self, energies: DataFrame, sides=tuple(SIDES)) -> None:
-        """Drop and rebuild every roll-up of the given sides (SNK-15, ST-1/2)."""
-        for side in sides:
-            for grain in GRAINS:
-                self._write(rollup(energies, side, grain, self.settings), side, grain, dynamic=False)
+        """Drop and rebuild every roll-up and the day state (SNK-15, ST-1/2)."""
+        self._refresh(energies, None, sides)
 
     def refresh_months(self, energies_with_month: DataFrame, months: DataFrame, sides=tuple(SIDES)) -> None:
-        """Recompute the periods covering ``months`` (``month`` = local ``yyyy-MM``) (ST-6).
+        """Recompute the periods a batch touched (ST-6).
 
-        ``energies_with_month`` is the fact table with its ``month`` partition
-        column; semi joins on it prune the scan to the touched partitions.
+        ``months`` holds local ``yyyy-MM`` values in column ``month``; a semi
+        join on the fact table's ``month`` partition column prunes the scan.
         """
-        touched_months = months.select("month").distinct()
-        touched_years = touched_months.select(F.substring("month", 1, 4).alias("year")).distinct()
-        by_month = energies_with_month.join(F.broadcast(touched_months), "month", "left_semi")
-        by_year = (energies_with_month.withColumn("year", F.substring("month", 1, 4))
-                   .join(F.broadcast(touched_years), "year", "left_semi").drop("year"))
-        by_month, by_year = materialise(by_month), materialise(by_year)
-        for side in sides:
-            for grain in GRAINS:
-                src = by_year if grain in ("month", "year") else by_month
-                self._write(rollup(src, side, grain, self.settings), side, grain, dynamic=True)
+        touched = months.select("month").distinct()
+        facts = energies_with_month.join(F.broadcast(touched), "month", "left_semi")
+        years = touched.select(F.substring("month", 1, 4).alias("_y")).distinct()
+        self._refresh(materialise(facts), years, sides)
+
+
+__all__ = ["GRAINS", "RollupStore", "period_of"]

@@ -58,3 +58,11 @@ def test_incremental_refresh_equals_full(spark, energies):
     for side in ("consumption", "production"):
         for grain in ("15min", "hour", "day", "month", "year"):
             assert _rows(inc.read(side, grain)) == _rows(full.read(side, grain)), (side, grain)
+
+
+def test_chained_equals_direct(spark, energies):
+    from meterframe.operators.rollups import chained_rollups
+    chained = chained_rollups(energies)  # no persistence: plain lazy frames
+    for side in ("consumption", "production"):
+        for grain in ("15min", "hour", "day", "month", "year"):
+            assert _rows(chained[f"{side}_{grain}"]) == _rows(rollup(energies, side, grain)), (side, grain)
