@@ -82,7 +82,8 @@ def attach_contract(readings: DataFrame, contracts, settings: Settings = Setting
     """Range join of readings to the single contract valid at their time (J-1).
 
     ``how='inner'`` keeps matched readings with the contract attributes
-    (``attrs=False``: only ``contract_type``); ``how='left_anti'`` returns
+    (``attrs=False``: only ``contract_type``); ``how='left'`` keeps unmatched
+    readings with NULL attributes; ``how='left_anti'`` returns
     readings with no or several contracts (O-11).  The segment table is
     broadcast when its measured row count is within the bound; beyond it both
     sides are keyed by (side, UTC month) and joined by hash.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterframe.config import MEASURE_UNIT_MAX, RESOLUTION_HOUR, RESOLUTION_MAX, TAX_PERCENTAGE, Settings
 from meterframe.operators.contracts import attach_contract
-from meterframe.operators.readings import REASON_NO_CONTRACT, accepted, reject_reason
+from meterframe.operators.readings import REASON_NO_CONTRACT, reject_reason
 from meterframe.schemas import ENERGY_KEY
 
 NOT_NULL = ("time", "metering_point_code", "measure_type", "contract_type", "measure_unit",
@@ -43,16 +43,18 @@ def apply_defaults(energies: DataFrame) -> DataFrame:
 
 
 def rejects(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:
-    """Rejected readings with their reason (O-9, O-10, O-11).
+    """Rejected readings with their reason (O-9, O-10, O-11), in one scan.
 
-    Time and quantity checks come first, as in the reference; readings that
-    pass them but match no single contract are found with an anti join.
+    Time and quantity checks come first, as in the reference.  A left range
+    join against the single-cover segments finds readings with no or several
+    contracts; a reading matches at most one segment, so nothing fans out.
     """
-    reason = reject_reason(readings)
-    early = readings.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    late = (attach_contract(accepted(readings), contracts, settings, how="left_anti")
-            .withColumn("reason", F.lit(REASON_NO_CONTRACT)))
-    return early.unionByName(late, allowMissingColumns=True)
+    early = reject_reason(readings)
+    tagged = readings.withColumn("_early", early)
+    joined = attach_contract(tagged, contracts, settings, how="left", attrs=False)
+    reason = F.coalesce(F.col("_early"), F.when(F.col("contract_type").isNull(), F.lit(REASON_NO_CONTRACT)))
+    return (joined.withColumn("reason", reason).where(F.col("reason").isNotNull())
+            .drop("_early", "contract_type"))
 
 
 def rejects_by_reason(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:

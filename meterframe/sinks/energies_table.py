@@ -1,14 +1,15 @@
 """The ``energies`` fact table: partitioned Parquet with a keyed merge (SNK-1..SNK-6, SNK-10, SNK-14).
 
 Layout: one folder per local month (``month=yyyy-MM``), so a load touches one
-or two partitions.  A merge reads only the touched partitions (dynamic
-partition pruning through a semi join on ``month``), combines them with the
-batch in a full outer join on the key, materialises the result in the shared
-checkpoint folder and then overwrites exactly those partitions.
+or two partitions.  A merge reads only the touched partitions (partition
+pruning on ``month``), combines them with the batch in a full outer join on
+the key, materialises the result in the shared checkpoint folder and then
+overwrites exactly those partitions.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,14 +104,23 @@ class EnergiesTable:
         return df if with_partition else df.select(*ENERGY_COLUMNS)
 
     def merge(self, batch: DataFrame) -> None:
-        """Upsert one batch; only the partitions it touches are rewritten."""
-        b = self._with_partition(batch.select(*ENERGY_COLUMNS))
-        touched = b.select(PARTITION).distinct()
-        current = self.read(with_partition=True)
-        slice_ = current.join(F.broadcast(touched), PARTITION, "left_semi")
-        merged = materialise(self._with_partition(merge_rows(slice_.select(*ENERGY_COLUMNS), b)))
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(PARTITION).parquet(self.path))
+        """Upsert one batch; only the partitions it touches are read and rewritten.
+
+        The batch is persisted once; its months (a handful of values, bounded
+        by the batch's time span) become a static partition filter on the
+        table scan.
+        """
+        b = self._with_partition(batch.select(*ENERGY_COLUMNS)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            months = [r[0] for r in b.select(PARTITION).distinct().collect()]
+            if not months:
+                return
+            slice_ = self.read(with_partition=True).where(F.col(PARTITION).isin(months))
+            merged = materialise(self._with_partition(merge_rows(slice_.select(*ENERGY_COLUMNS), b)))
+            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(PARTITION).parquet(self.path))
+        finally:
+            b.unpersist()
 
     def backfill_resolution(self) -> None:
         """Rewrite rows without a resolution as hourly (SNK-11)."""

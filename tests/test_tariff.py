@@ -103,3 +103,15 @@ def test_large_contract_tables_use_month_keys(spark, contracts):
     a = sorted((r.time, r.contract_type) for r in C.attach_contract(_readings(spark, times), contracts, small).collect())
     b = sorted((r.time, r.contract_type) for r in C.attach_contract(_readings(spark, times), contracts).collect())
     assert a == b == [(times[0], 2), (times[1], 3)]
+
+
+def test_rejects_one_scan(spark, contracts):
+    from meterframe.operators.quality import rejects_by_reason
+    rows = [(dt.datetime(2013, 8, 1), "mp", 1, "PT1H", 1.0, "kWh", 1),     # before the first contract
+            (dt.datetime(2014, 5, 1), "mp", 1, "PT1H", None, "kWh", 2),    # no quantity
+            (None, "mp", 1, "PT1H", 1.0, "kWh", 3),                         # no time
+            (dt.datetime(2014, 5, 1), "mp", 1, "PT1H", 2.0, "kWh", 4)]      # accepted
+    df = spark.createDataFrame(rows, "time timestamp_ntz, metering_point_code string, measure_type int, "
+                                     "resolution_duration string, value double, measure_unit string, seq long")
+    got = sorted((r.reason, r.n_rows) for r in rejects_by_reason(df, contracts).collect())
+    assert got == [("no_quantity", 1), ("no_single_contract", 1), ("no_time", 1)]
