@@ -114,11 +114,3 @@ def q_cutover_filter(spark, sf_dir):
             .groupBy("measure_type", "resolution_duration")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min("time").alias("first_time"),
                  F.max("time").alias("last_time")))
-
-
-# Registration side effects of the operator-level query modules.
-from meterframe.plans import operator_queries  # noqa: E402,F401
-from meterframe.plans import payload_queries  # noqa: E402,F401
-from meterframe.plans import store_queries  # noqa: E402,F401
-from meterframe.plans import wide_queries  # noqa: E402,F401
-from meterframe.plans import stream_queries  # noqa: E402,F401

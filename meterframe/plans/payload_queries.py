@@ -7,6 +7,7 @@ JSON source, the strict check and the position-based explode.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +37,21 @@ def landed(spark: SparkSession, sf_dir: str) -> str:
     docs = P.documents_from_readings(last_write_wins(ok), SETTINGS.tz, prices(spark, sf_dir))
     local_dow = F.dayofweek(F.col("getconsumptionsresult.consumptiondata.timeseries.start").try_cast("timestamp_ntz"))
     sunday, saturday = local_dow == 1, local_dow == 7
-    no_unit = F.col("getconsumptionsresult").withField("consumptiondata.sum.unit", F.lit(None).cast("string"))
-    docs = docs.withColumn("getconsumptionsresult",
-                           F.when(sunday, no_unit).otherwise(F.col("getconsumptionsresult")))
-    bad_type = (F.col("measure_type") == MEASURE_PRODUCTION) & saturday
-    P.write_documents(docs.where(~bad_type), root)
-    text_qty = docs.where(bad_type).withColumn(
-        "getconsumptionsresult",
-        F.col("getconsumptionsresult").withField(
-            "consumptiondata.sum.quantity",
-            F.format_number(F.col("getconsumptionsresult.consumptiondata.sum.quantity"), 3)))
-    P.write_documents(text_qty, root, mode="append")
+    unit = F.col("getconsumptionsresult.consumptiondata.sum.unit")
+    docs = docs.withColumn("getconsumptionsresult", F.col("getconsumptionsresult").withField(
+        "consumptiondata.sum.unit", F.when(~sunday, unit)))
+    docs = docs.withColumn("_text_qty", (F.col("measure_type") == MEASURE_PRODUCTION) & saturday)
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        P.write_documents(docs.where(~F.col("_text_qty")).drop("_text_qty"), root)
+        text_qty = docs.where(F.col("_text_qty")).drop("_text_qty").withColumn(
+            "getconsumptionsresult",
+            F.col("getconsumptionsresult").withField(
+                "consumptiondata.sum.quantity",
+                F.format_number(F.col("getconsumptionsresult.consumptiondata.sum.quantity"), 3)))
+        P.write_documents(text_qty, root, mode="append")
+    finally:
+        docs.unpersist()
     _LANDED.clear()
     _LANDED[key] = root
     return root
