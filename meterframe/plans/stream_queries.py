@@ -10,12 +10,14 @@ from meterframe.plans.payload_queries import _DOCS, landed
 from meterframe.session import work_path
 from meterframe.sinks.energies_table import EnergiesTable
 from meterframe.sinks.rollup_store import RollupStore
+from meterframe.config import MEASURE_PRODUCTION
+from meterframe.plans.wide_queries import _wide_sql
 from meterframe.streaming.ingest import run_ingest
 
-_RUNS: dict[tuple[str, str], tuple[EnergiesTable, RollupStore]] = {}
+_RUNS: dict[tuple[str, str], tuple[EnergiesTable, RollupStore, str]] = {}
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> tuple[EnergiesTable, RollupStore]:
+def streamed(spark: SparkSession, sf_dir: str) -> tuple[EnergiesTable, RollupStore, str]:
     """Run the ingest stream over the landed documents once per application.
 
     Eight files per trigger give several micro-batches, so the roll-ups are
@@ -26,11 +28,16 @@ def streamed(spark: SparkSession, sf_dir: str) -> tuple[EnergiesTable, RollupSto
         root = landed(spark, sf_dir)
         table = EnergiesTable(spark, work_path(spark, "stream-energies"), SETTINGS.tz).create()
         rollups = RollupStore(spark, work_path(spark, "stream-rollups"), SETTINGS)
-        run_ingest(spark, root, table, rollups, contract_table(spark), prices(spark, sf_dir),
-                   work_path(spark, "stream-checkpoint"), work_path(spark, "stream-rejects"),
-                   SETTINGS, max_files_per_trigger=8)
+        wide = work_path(spark, "stream-wide")
+        report = run_ingest(spark, root, table, rollups, contract_table(spark), prices(spark, sf_dir),
+                            work_path(spark, "stream-checkpoint"), work_path(spark, "stream-rejects"),
+                            SETTINGS, max_files_per_trigger=8, wide_path=wide)
+        if report.batches < 2:
+            raise RuntimeError("expected several micro-batches")
+        if report.errors:
+            raise RuntimeError(f"wide sink errors: {report.errors}")
         _RUNS.clear()
-        _RUNS[key] = (table, rollups)
+        _RUNS[key] = (table, rollups, wide)
     return _RUNS[key]
 
 
@@ -58,3 +65,11 @@ def q_stream_incremental_refresh(spark, sf_dir):
     O.rollup_sql("production", "month", source="penergies"), _DOCS, _PENERGIES))
 def q_stream_incremental_refresh_production_month(spark, sf_dir):
     return streamed(spark, sf_dir)[1].read("production", "month")
+
+
+@register("stream_wide_productions", _wide_sql(MEASURE_PRODUCTION, landed_only=True))
+def q_stream_wide_productions(spark, sf_dir):
+    from meterframe.schemas import WIDE
+    from meterframe.sinks.wide_table import WideTable
+    wide = WideTable(spark, streamed(spark, sf_dir)[2])
+    return wide.read("productions").select(*[f.name for f in WIDE.fields])

@@ -103,22 +103,23 @@ class EnergiesTable:
         df = self.spark.read.schema(schema).parquet(self.path)
         return df if with_partition else df.select(*ENERGY_COLUMNS)
 
-    def merge(self, batch: DataFrame) -> None:
+    def merge(self, batch: DataFrame) -> list[str]:
         """Upsert one batch; only the partitions it touches are read and rewritten.
 
         The batch is persisted once; its months (a handful of values, bounded
         by the batch's time span) become a static partition filter on the
-        table scan.
+        table scan.  Returns the touched months for the roll-up refresh.
         """
         b = self._with_partition(batch.select(*ENERGY_COLUMNS)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             months = [r[0] for r in b.select(PARTITION).distinct().collect()]
             if not months:
-                return
+                return []
             slice_ = self.read(with_partition=True).where(F.col(PARTITION).isin(months))
             merged = materialise(self._with_partition(merge_rows(slice_.select(*ENERGY_COLUMNS), b)))
             (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(PARTITION).parquet(self.path))
+            return sorted(months)
         finally:
             b.unpersist()
 

@@ -51,7 +51,7 @@ class RollupStore:
             w = w.option("partitionOverwriteMode", "dynamic")
         w.partitionBy(PERIOD).parquet(path)
 
-    def _refresh(self, facts: DataFrame, touched_years: DataFrame | None, sides) -> None:
+    def _refresh(self, facts: DataFrame, touched_years: list[str] | None, sides) -> None:
         kept: list[DataFrame] = []
 
         def keep(df: DataFrame) -> DataFrame:
@@ -66,10 +66,11 @@ class RollupStore:
             for name, df in finish_all(fine | {"day": day}, sides).items():
                 side, grain = name.split("_")
                 self._write(df, self.path(side, grain), grain, "time", dynamic)
-            days = self.spark.read.parquet(self.state_path).drop(PERIOD)
+            days = self.spark.read.parquet(self.state_path)
             if dynamic:
-                year = F.substring(period_of("day", "bucket", self.settings.tz), 1, 4)
-                days = days.withColumn("_y", year).join(F.broadcast(touched_years), "_y", "left_semi").drop("_y")
+                # A filter on the partition column: only the touched years are listed and read.
+                days = days.where(F.substring(F.col(PERIOD), 1, 4).isin(touched_years))
+            days = days.drop(PERIOD)
             for name, df in finish_all(coarse_states(days, self.settings, keep), sides).items():
                 side, grain = name.split("_")
                 self._write(df, self.path(side, grain), grain, "time", dynamic)
@@ -81,15 +82,16 @@ class RollupStore:
         """Drop and rebuild every roll-up and the day state (SNK-15, ST-1/2)."""
         self._refresh(energies, None, sides)
 
-    def refresh_months(self, energies_with_month: DataFrame, months: DataFrame, sides=tuple(SIDES)) -> None:
+    def refresh_months(self, energies_with_month: DataFrame, months: list[str], sides=tuple(SIDES)) -> None:
         """Recompute the periods a batch touched (ST-6).
 
-        ``months`` holds local ``yyyy-MM`` values in column ``month``; a semi
-        join on the fact table's ``month`` partition column prunes the scan.
+        ``months`` are local ``yyyy-MM`` values (as returned by
+        ``EnergiesTable.merge``); they prune the fact scan to those partitions.
         """
-        touched = months.select("month").distinct()
-        facts = energies_with_month.join(F.broadcast(touched), "month", "left_semi")
-        years = touched.select(F.substring("month", 1, 4).alias("_y")).distinct()
+        if not months:
+            return
+        facts = energies_with_month.where(F.col("month").isin(list(months)))
+        years = sorted({m[:4] for m in months})
         self._refresh(materialise(facts), years, sides)
 
 

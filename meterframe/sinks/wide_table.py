@@ -1,26 +1,60 @@
-"""Denormalised priced points, one folder per kind (SNK-7, SNK-8, SNK-9)."""
+"""Denormalised priced points, partitioned by kind and UTC day (SNK-7, SNK-8, SNK-9).
+
+A point is identified by its time and tags; writing it again replaces it, as
+in a time-series store.  ``upsert`` reads only the (kind, day) partitions a
+batch touches, keeps the stored points the batch does not replace (anti join
+on time and tags), materialises the result in the shared checkpoint folder
+and overwrites just those partitions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION, Settings
 from meterframe.operators.pricing import wide_points
+from meterframe.operators.sizing import materialise
+from meterframe.schemas import WIDE
 
 KINDS = {MEASURE_CONSUMPTION: "consumptions", MEASURE_PRODUCTION: "productions"}
 TAG_KEY = ["time", "meteringpointcode_tag", "measurementtype_tag", "resolution_duration_tag"]
+_COLUMNS = [f.name for f in WIDE.fields]
+_SCHEMA = T.StructType(WIDE.fields + [T.StructField("kind", T.StringType()), T.StructField("day", T.DateType())])
 
 
-def write_points(points: DataFrame, path: str, kind: str) -> None:
-    """Upsert points by (time, tags): a later write of the same point replaces it.
+class WideTable:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-    Points of one batch are already one per key; the folder of the kind is
-    replaced as a whole per batch window through dynamic partition overwrite.
-    """
-    (points.withColumn("kind", F.lit(kind)).withColumn("day", F.to_date("time"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("kind", "day").parquet(path))
+    def read(self, kind: str | None = None) -> DataFrame:
+        try:
+            df = self.spark.read.schema(_SCHEMA).parquet(self.path)
+        except AnalysisException:
+            df = self.spark.createDataFrame([], _SCHEMA)
+        if kind is not None:
+            df = df.where(F.col("kind") == kind)
+        return df
+
+    def upsert(self, points: DataFrame, kind: str) -> None:
+        new = (points.select(*_COLUMNS).withColumn("kind", F.lit(kind)).withColumn("day", F.to_date("time"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            days = [r[0] for r in new.select("day").distinct().collect()]  # bounded by the batch span
+            if not days:
+                return
+            old = self.read(kind).where(F.col("day").isin(days))
+            # Tags may be NULL (hourly resolution tag): compare null-safely.
+            cond = [old[k].eqNullSafe(new[k]) for k in TAG_KEY]
+            kept = old.join(new.select(*TAG_KEY), cond, "left_anti")
+            out = materialise(kept.unionByName(new))
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("kind", "day").parquet(self.path))
+        finally:
+            new.unpersist()
 
 
 def write_both(readings: DataFrame, contracts, prices: DataFrame, path: str,
@@ -29,11 +63,12 @@ def write_both(readings: DataFrame, contracts, prices: DataFrame, path: str,
 
     Returns an error report per kind (None when the write succeeded).
     """
+    table = WideTable(readings.sparkSession, path)
     report: dict[str, str | None] = {}
     for side, kind in KINDS.items():
         try:
             pts = wide_points(readings, contracts, prices, side, skip_quarter=skip_quarter, settings=settings)
-            write_points(pts, path, kind)
+            table.upsert(pts, kind)
             report[kind] = None
         except Exception as exc:  # noqa: BLE001 - reported, as the reference logs and continues
             report[kind] = f"{type(exc).__name__}: {exc}"

@@ -63,6 +63,31 @@ def day_ahead_prices(events: DataFrame) -> DataFrame:
     return hourly.unionByName(quarterly)
 
 
+def price_points(events: DataFrame) -> DataFrame:
+    """Point-form prices (``schemas.PRICE_POINTS``) derived from the same events.
+
+    Every price appears as an A44 point; hourly prices are repeated as a
+    later-stamped A44 correction and as another document type, so the A44
+    filter and the first-row rule both have work.
+    """
+    p = day_ahead_prices(events)
+    stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def points(type_tag, ts, price):
+        return p.select(
+            "time", F.lit(type_tag).alias("type_tag"), F.lit("10YFI-1--------U").alias("in_domain_tag"),
+            F.lit("10YFI-1--------U").alias("out_domain_tag"), F.lit(type_tag).alias("document_type"),
+            F.lit("10YFI-1--------U").alias("in_domain"), F.lit("10YFI-1--------U").alias("out_domain"),
+            F.lit("EUR").alias("currency"), F.lit("MWH").alias("price_measure"), F.lit("A01").alias("curve_type"),
+            ts.alias("timestamp"), price.alias("price"), F.lit(None).cast("int").alias("dirty"))
+
+    hourly = F.minute("time") == 0
+    first = points("A44", stamp, F.col("price"))
+    later = points("A44", F.concat(stamp, F.lit("+1")), F.col("price") + 1).where(hourly)
+    other = points("A65", stamp, F.col("price") + 100).where(hourly)
+    return first.unionByName(later).unionByName(other)
+
+
 # ---------------------------------------------------------------------------
 # The contract table of the mapping, bounds already in UTC.
 # (side, valid_from, valid_to, contract_type, energy_basic_fee, day_fee,

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION, Settings
 from meterframe.operators.pricing import build_energies
-from meterframe.sinks.energies_table import PARTITION, EnergiesTable, month_of
+from meterframe.sinks.energies_table import EnergiesTable
+from meterframe.sinks.wide_table import write_both
 from meterframe.sinks.rollup_store import RollupStore
 from meterframe.sources import payloads as P
 
@@ -45,18 +46,24 @@ class IngestReport:
 
 
 def make_batch_handler(table: EnergiesTable, rollups: RollupStore, contracts, prices: DataFrame,
-                       rejects_path: str, settings: Settings, report: IngestReport):
+                       rejects_path: str, settings: Settings, report: IngestReport,
+                       wide_path: str | None = None):
     def handle(batch: DataFrame, epoch_id: int) -> None:
         docs = batch.persist()
         try:
             good, rejected = P.split_documents(docs)
             rejected.select("measure_type", "_file", "reason", P.CORRUPT).withColumn(
                 "epoch", F.lit(epoch_id)).write.mode("append").parquet(rejects_path)
-            rows = build_energies(P.explode_readings(good, settings.tz), contracts, prices, settings)
-            # Load step (ST-3): merge, then refresh regardless of later sink errors.
-            table.merge(rows)
-            touched = rows.select(month_of(F.col("time"), settings.tz).alias(PARTITION))
-            rollups.refresh_months(table.read(with_partition=True), touched)
+            readings = P.explode_readings(good, settings.tz)
+            # Both sinks run; a failing wide sink is reported and does not stop
+            # the fact sink or the refresh (SNK-9, ST-3).
+            if wide_path is not None:
+                for kind, err in write_both(readings, contracts, prices, wide_path, settings).items():
+                    if err:
+                        report.errors.append((epoch_id, kind, err))
+            months = table.merge(build_energies(readings, contracts, prices, settings))
+            rollups.refresh_months(table.read(with_partition=True), months)
+            report.rejected_documents += rejected.count()
             report.batches += 1
         finally:
             docs.unpersist()
@@ -65,10 +72,11 @@ def make_batch_handler(table: EnergiesTable, rollups: RollupStore, contracts, pr
 
 def run_ingest(spark: SparkSession, landing_root: str, table: EnergiesTable, rollups: RollupStore,
                contracts, prices: DataFrame, checkpoint: str, rejects_path: str,
-               settings: Settings = Settings(), max_files_per_trigger: int | None = None) -> IngestReport:
+               settings: Settings = Settings(), max_files_per_trigger: int | None = None,
+               wide_path: str | None = None) -> IngestReport:
     """Process everything landed so far and stop (``availableNow``)."""
     report = IngestReport()
-    handler = make_batch_handler(table, rollups, contracts, prices, rejects_path, settings, report)
+    handler = make_batch_handler(table, rollups, contracts, prices, rejects_path, settings, report, wide_path)
     q = (payload_stream(spark, landing_root, max_files_per_trigger).writeStream
          .foreachBatch(handler).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

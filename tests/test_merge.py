@@ -54,3 +54,19 @@ def test_merge_is_idempotent(spark):
     assert sorted(tuple(r) for r in table.read().collect()) == once
     months = {r.month for r in table.read(with_partition=True).collect()}
     assert months == {"2023-12", "2024-02"}
+
+
+def test_wide_upsert_replaces_by_time_and_tags(spark):
+    from meterframe.schemas import WIDE
+    from meterframe.sinks.wide_table import WideTable
+
+    def pt(t, point, value, tag=None):
+        return (t, point, "1", tag, point, "1", tag, "kWh", t.isoformat(), value, 0.05,
+                14.5, 4.34, 2.36, 5.5, 1.0, 3, 0.25, 24.0)
+
+    table = WideTable(spark, work_path(spark, "test-wide"))
+    table.upsert(spark.createDataFrame([pt(T0, "a", 1.0), pt(T0, "b", 2.0)], WIDE), "consumptions")
+    table.upsert(spark.createDataFrame([pt(T0, "a", 9.0), pt(T0, "a", 3.0, "PT15M")], WIDE), "consumptions")
+    got = sorted((r.meteringpointcode, r.resolution_duration_tag or "", r.value)
+                 for r in table.read("consumptions").collect())
+    assert got == [("a", "", 9.0), ("a", "PT15M", 3.0), ("b", "", 2.0)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from meterframe.operators.rollups import rollup, rollup_columns
 from meterframe.plans import catalog
 from meterframe.session import work_path
-from meterframe.sinks.energies_table import EnergiesTable, month_of
+from meterframe.sinks.energies_table import EnergiesTable
 from meterframe.sinks.rollup_store import RollupStore
 
 
@@ -50,9 +50,9 @@ def test_incremental_refresh_equals_full(spark, energies):
     table.create(first)
     inc = RollupStore(spark, work_path(spark, "test-inc-rollups"))
     inc.refresh_full(table.read())
-    table.merge(second)
-    touched = second.select(month_of(F.col("time")).alias("month"))
-    inc.refresh_months(table.read(with_partition=True), touched)
+    months = table.merge(second)
+    assert months == ["2024-01"]
+    inc.refresh_months(table.read(with_partition=True), months)
     full = RollupStore(spark, work_path(spark, "test-full-rollups"))
     full.refresh_full(table.read())
     for side in ("consumption", "production"):
