@@ -68,8 +68,8 @@ def as_table(contracts) -> ContractTable:
     return contracts if isinstance(contracts, ContractTable) else ContractTable(contracts)
 
 
-def _month(ts):
-    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+def _day(ts):
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.lit(0), F.lit(0), F.lit(0))
 
 
 def _range_condition(r: DataFrame, s: DataFrame, time_col: str):
@@ -96,15 +96,20 @@ def attach_contract(readings: DataFrame, contracts, settings: Settings = Setting
     if is_bcast:
         out = readings.join(segs, _range_condition(readings, segs, time_col), how)
     else:
-        far = F.make_timestamp_ntz(F.lit(2100), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        months = F.sequence(_month(F.col("seg_from")),
-                            _month(F.coalesce(F.col("seg_to") - _micro(), far)),
-                            F.make_ym_interval(F.lit(0), F.lit(1)))
-        keyed = segs.withColumn("_m", F.explode(months))
-        r = readings.withColumn("_m", _month(F.col(time_col)))
-        cond = _range_condition(r, keyed, time_col) & (r["_m"] == keyed["_m"])
+        # Many segments (e.g. contracts per meter): key both sides by (side, UTC
+        # day) so the join hashes on a key with as many values as there are
+        # days; open ends are clamped to the last reading.  AQE splits any day
+        # that is still too large.
+        last = readings.agg(F.max(time_col)).first()[0]
+        text = last.strftime("%Y-%m-%d %H:%M:%S.%f") if last is not None else "1970-01-01 00:00:00"
+        clamp = F.lit(text).cast("timestamp_ntz")
+        hi = F.least(F.coalesce(F.col("seg_to") - _micro(), clamp), clamp)
+        days = F.sequence(_day(F.col("seg_from")), _day(hi), F.make_dt_interval(F.lit(1)))
+        keyed = segs.where(F.col("seg_from") <= clamp).withColumn("_d", F.explode(days))
+        r = readings.withColumn("_d", _day(F.col(time_col)))
+        cond = _range_condition(r, keyed, time_col) & (r["_d"] == keyed["_d"])
         out = r.join(keyed, cond, how)
-        out = out.drop("_m") if how == "left_anti" else out.drop(keyed["_m"]).drop(r["_m"])
+        out = out.drop("_d") if how == "left_anti" else out.drop(keyed["_d"]).drop(r["_d"])
     if how == "left_anti":
         return out
     return out.drop("side", "seg_from", "seg_to", "contract_no")

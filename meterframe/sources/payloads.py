@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 from meterframe import schemas
 from meterframe.config import DEFAULT_TZ, RESOLUTION_QUARTER
 from meterframe.functions.tariff import normalise_resolution, resolution_minutes
+from meterframe.operators.sizing import bounded_broadcast
 from meterframe.functions.timeutil import (
     add_steps, dst_gap, dst_overlap, local_day_start, local_to_utc, parse_local, utc_to_local,
 )
 
 CORRUPT = "_corrupt_record"
+MAX_BROADCAST_DAYS = 200_000
 PAYLOAD_READ = T.StructType(schemas.PAYLOAD.fields + [T.StructField(CORRUPT, T.StringType())])
 
 REQUIRED = {
@@ -192,6 +194,9 @@ def _with_spot(docs: DataFrame, prices: DataFrame, tz: str):
     hourly = hourly.withColumn("slot", (_minutes_between(F.col("pday"), F.col("time")) / 60).cast("int"))
     per_day = hourly.groupBy("pday").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", F.col("price").cast("float")))).alias("pq"))
+    # One row per day with at most 25 prices: bounded by the time span, so it
+    # is broadcast (after counting) and documents are never shuffled by day.
+    per_day, _ = bounded_broadcast(per_day, MAX_BROADCAST_DAYS)
     d = docs.join(per_day, docs["day"] == per_day["pday"], "left")
     n_hours = (_minutes_between(F.col("day"), F.col("next_day")) / 60).cast("int")
 

@@ -97,7 +97,7 @@ def test_contract_type_codes(spark):
     assert tuple(row) == (4, "spot", None)
 
 
-def test_large_contract_tables_use_month_keys(spark, contracts):
+def test_large_contract_tables_use_day_keys(spark, contracts):
     times = [dt.datetime(2014, 5, 31, 22), dt.datetime(2019, 12, 31, 22), dt.datetime(2013, 8, 1)]
     small = Settings(max_broadcast_segments=1)
     a = sorted((r.time, r.contract_type) for r in C.attach_contract(_readings(spark, times), contracts, small).collect())
