@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterframe.sources import payloads as P
 
@@ -116,3 +117,31 @@ def test_dst_start_rejected(spark, tmp_path):
     rows, _ = _readings(spark, _land(tmp_path, [_doc("1", "PT1H", tsv)]))
     from meterframe.operators.readings import REASON_DST, reject_reason
     assert rows.select(reject_reason(rows).alias("r")).first().r == REASON_DST
+
+
+def test_dst_day_document_roundtrip(spark, tmp_path):
+    # 2023-10-29 has 25 local hours in Helsinki; 2023-03-26 has 23.
+    rows = []
+    for start, hours in ((dt.datetime(2023, 10, 28, 21), 25), (dt.datetime(2023, 3, 25, 22), 23)):
+        rows += [(start + dt.timedelta(hours=h), "mp-1", 1, "PT1H", float(h), "kWh", h) for h in range(hours)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, metering_point_code string, measure_type int, "
+                                     "resolution_duration string, value double, measure_unit string, seq long")
+    root = str(tmp_path / "landing")
+    P.write_documents(P.documents_from_readings(df), root)
+    docs = P.read_payloads(spark, P.side_path(root, 1), 1)
+    sizes = sorted(len(r.tsv) for r in docs.select(
+        F.col("getconsumptionsresult.consumptiondata.timeseries.values.tsv").alias("tsv")).collect())
+    assert sizes == [23, 25]
+    from meterframe.operators.readings import accepted
+    back = sorted((r.time, r.value) for r in accepted(P.explode_readings(P.split_documents(docs)[0])).collect())
+    assert back == sorted((r[0], r[4]) for r in rows)
+
+
+def test_multiline_document(spark, tmp_path):
+    tsv = [_tsv(0.5, "2024-01-01T00:00:00", start="2024-01-01T00:00:00")]
+    p = tmp_path / "ml"
+    p.mkdir()
+    (p / "doc.json").write_text(json.dumps(_doc("42", "PT1H", tsv), indent=2))
+    rows, rejected = P.explode_readings(P.read_payloads(spark, str(p), 6, multi_line=True)), None
+    got = rows.collect()
+    assert [(r.metering_point_code, r.measure_type, r.time) for r in got] == [("42", 6, dt.datetime(2023, 12, 31, 22))]
