@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
+    from meterframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -20,8 +20,10 @@ from meterframe.functions.timeutil import utc_to_local
 from meterframe.operators.readings import last_write_wins
 from meterframe.operators.sizing import materialise
 from meterframe.schemas import ENERGIES, ENERGY_COLUMNS, ENERGY_KEY
+from meterframe.sinks.layout import for_write
 
 PARTITION = "month"
+_SORT = ["metering_point_code", "time"]
 _VALUES = [c for c in ENERGY_COLUMNS if c not in ENERGY_KEY]
 
 
@@ -94,8 +96,8 @@ class EnergiesTable:
     def create(self, rows: DataFrame | None = None) -> "EnergiesTable":
         """Create (or replace) the table, optionally with initial rows (SNK-10)."""
         df = rows if rows is not None else self.spark.createDataFrame([], ENERGIES)
-        (self._with_partition(df.select(*ENERGY_COLUMNS)).write.mode("overwrite")
-         .partitionBy(PARTITION).parquet(self.path))
+        (for_write(self._with_partition(df.select(*ENERGY_COLUMNS)), [PARTITION], _SORT).write
+         .mode("overwrite").partitionBy(PARTITION).parquet(self.path))
         return self
 
     def read(self, with_partition: bool = False) -> DataFrame:
@@ -117,8 +119,8 @@ class EnergiesTable:
                 return []
             slice_ = self.read(with_partition=True).where(F.col(PARTITION).isin(months))
             merged = materialise(self._with_partition(merge_rows(slice_.select(*ENERGY_COLUMNS), b)))
-            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(PARTITION).parquet(self.path))
+            (for_write(merged, [PARTITION], _SORT).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(self.path))
             return sorted(months)
         finally:
             b.unpersist()
@@ -127,5 +129,5 @@ class EnergiesTable:
         """Rewrite rows without a resolution as hourly (SNK-11)."""
         from meterframe.operators.quality import backfill_resolution
         fixed = materialise(self._with_partition(backfill_resolution(self.read())))
-        fixed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(PARTITION).parquet(self.path)
+        for_write(fixed, [PARTITION], _SORT).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(self.path)

@@ -19,6 +19,7 @@ from meterframe.config import GRAINS, SIDES, Settings
 from meterframe.functions.timeutil import utc_to_local
 from meterframe.operators.rollups import coarse_states, finish_all, fine_states, rollup_columns
 from meterframe.operators.sizing import materialise
+from meterframe.sinks.layout import for_write
 
 PERIOD = "period"
 _FINE = ("15min", "hour", "day")
@@ -46,6 +47,7 @@ class RollupStore:
 
     def _write(self, df: DataFrame, path: str, grain: str, time_col: str, dynamic: bool) -> None:
         out = df.withColumn(PERIOD, period_of(grain, time_col, self.settings.tz))
+        out = for_write(out, [PERIOD], ["metering_point_code", time_col])
         w = out.write.mode("overwrite")
         if dynamic:
             w = w.option("partitionOverwriteMode", "dynamic")

@@ -19,6 +19,7 @@ from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION, Settings
 from meterframe.operators.pricing import wide_points
 from meterframe.operators.sizing import materialise
 from meterframe.schemas import WIDE
+from meterframe.sinks.layout import for_write
 
 KINDS = {MEASURE_CONSUMPTION: "consumptions", MEASURE_PRODUCTION: "productions"}
 TAG_KEY = ["time", "meteringpointcode_tag", "measurementtype_tag", "resolution_duration_tag"]
@@ -51,8 +52,8 @@ class WideTable:
             cond = [old[k].eqNullSafe(new[k]) for k in TAG_KEY]
             kept = old.join(new.select(*TAG_KEY), cond, "left_anti")
             out = materialise(kept.unionByName(new))
-            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("kind", "day").parquet(self.path))
+            (for_write(out, ["kind", "day"], ["meteringpointcode_tag", "time"]).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("kind", "day").parquet(self.path))
         finally:
             new.unpersist()
 
