@@ -1,8 +1,12 @@
 """Exact sums and rounding.
 
-Sums run over DECIMAL(28,8) so their value does not depend on the order in
-which partitions are combined; the result goes back to DOUBLE before the one
-division and the five-decimal rounding.
+Each term is fixed to 8 decimals as a whole number of 1e-8 units
+(``rint(x * 1e8)``) and summed as DECIMAL(20,0).  Spark keeps such decimals
+in a long while they fit and moves to an arbitrary-precision value only
+beyond, so sums are exact, independent of the order in which partial
+aggregates are combined, cannot overflow, and avoid the double→decimal text
+conversion.  The sum goes back to DOUBLE before the one division and the
+five-decimal rounding.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from pyspark.sql import functions as F
 
 from meterframe.functions._col import col
 
-EXACT = "decimal(28,8)"
+SCALE = 100_000_000.0
+FIXED = "decimal(20,0)"
 
 
 def r5(x) -> Column:
@@ -20,8 +25,18 @@ def r5(x) -> Column:
     return F.rint(col(x) * 100000.0) / 100000.0
 
 
+def fixed(x) -> Column:
+    """A term as an integer count of 1e-8 units (fails loudly beyond ±9.2e10)."""
+    return F.rint(col(x) * SCALE).cast("long").cast(FIXED)
+
+
+def unfix(total) -> Column:
+    """An exact sum of ``fixed`` terms back to DOUBLE."""
+    return col(total).cast("double") / SCALE
+
+
 def exact_sum(x) -> Column:
-    return F.sum(col(x).cast(EXACT)).cast("double")
+    return unfix(F.sum(fixed(x)))
 
 
 def exact_avg(x) -> Column:

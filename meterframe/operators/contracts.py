@@ -56,6 +56,9 @@ def segments(contracts: DataFrame) -> DataFrame:
 class ContractTable:
     """Segments of a contract dimension, persisted and counted once.
 
+    The dimension is configuration (a contract history per side, as in the
+    reference), so the sweep's windows run per side.
+
     The same small table serves the range join (narrow projection) and the
     later attribute join on ``(side, seg_from)``.
     """
@@ -96,10 +99,10 @@ def attach_contract(readings: DataFrame, contracts, settings: Settings = Setting
     if is_bcast:
         out = readings.join(segs, _range_condition(readings, segs, time_col), how)
     else:
-        # Many segments (e.g. contracts per meter): key both sides by (side, UTC
-        # day) so the join hashes on a key with as many values as there are
-        # days; open ends are clamped to the last reading.  AQE splits any day
-        # that is still too large.
+        # A long contract history: key both sides by (side, UTC day) so the
+        # join hashes on a key with as many values as there are days; open
+        # ends are clamped to the last reading.  AQE splits any day that is
+        # still too large.
         last = readings.agg(F.max(time_col)).first()[0]
         text = last.strftime("%Y-%m-%d %H:%M:%S.%f") if last is not None else "1970-01-01 00:00:00"
         clamp = F.lit(text).cast("timestamp_ntz")

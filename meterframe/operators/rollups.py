@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meterframe.config import (
     GRAINS, MEASURE_CONSUMPTION, RESOLUTION_HOUR, RESOLUTION_QUARTER, SIDES, Settings,
 )
-from meterframe.functions.numeric import EXACT, r5, safe_ratio
+from meterframe.functions.numeric import fixed, r5, safe_ratio, unfix
 from meterframe.functions.tariff import FIXED_LIKE, SPOT
 from meterframe.functions.timeutil import (
     hour_start, ntz_lit, local_day_start, local_month_start, local_year_start, quarter_start,
@@ -118,7 +118,7 @@ def _prepare(energies: DataFrame, bucket_col: Column) -> DataFrame:
 
 def _state_aggs() -> list[Column]:
     def s(x: Column, name: str) -> Column:
-        return F.sum(x.cast(EXACT)).alias(name)
+        return F.sum(fixed(x)).alias(name)
 
     night = F.col("night") == F.lit(True)
     day = F.col("night") == F.lit(False)
@@ -161,44 +161,41 @@ def coarsen(state: DataFrame, bucket_fn, keys) -> DataFrame:
 
 
 def finish(state: DataFrame, side: str, grain: str) -> DataFrame:
-    """The 39 output columns of one roll-up from its state."""
-    d = lambda c: F.col(c).cast("double")
+    """The 39 output columns of one roll-up from its state, in one projection."""
+    d = unfix
     zero = F.lit(0.0)
 
     def avg(name: str) -> Column:
         return F.when(F.col(f"n_{name}") > 0, d(f"s_{name}") / F.col(f"n_{name}"))
 
-    def split(name: str, out: str) -> list[Column]:
+    def split(name: str, out: str) -> dict[str, Column]:
         n, dd = r5(d(f"s_{name}_n")), r5(d(f"s_{name}_d"))
         if _z_split(side, grain):
             n, dd = F.coalesce(n, zero), F.coalesce(dd, zero)
-        return [n.alias(f"{out}_night"), dd.alias(f"{out}_day")]
+        return {f"{out}_night": n, f"{out}_day": dd}
 
     e = "energy_consumption" if side == "consumption" else "energy_production"
     sum_v = d("s_v")
-    cols = [
-        avg("tax").alias("tax_percentage"), F.col("night_any").alias("night"),
-        r5(avg("spot")).alias("spot_price"), r5(avg("spot_tax")).alias("spot_price_tax"),
-        r5(avg("spot_wt")).alias("spot_price_with_tax"),
-        r5(avg("ebf")).alias("energy_basic_fee"), r5(avg("tbf")).alias("transfer_basic_fee"),
-        r5(sum_v).alias(e), *split("v", e), r5(avg("v")).alias(f"{e}_avg"),
-    ]
+    cols: dict[str, Column] = {
+        "time": F.col("bucket"),
+        "tax_percentage": avg("tax"), "night": F.col("night_any"),
+        "spot_price": r5(avg("spot")), "spot_price_tax": r5(avg("spot_tax")),
+        "spot_price_with_tax": r5(avg("spot_wt")),
+        "energy_basic_fee": r5(avg("ebf")), "transfer_basic_fee": r5(avg("tbf")),
+        e: r5(sum_v), **split("v", e), f"{e}_avg": r5(avg("v")),
+    }
     for m in MEASURES:
         a = r5(safe_ratio(d(f"s_{m}"), sum_v))
         if _z_avg(side, grain):
             a = F.coalesce(a, zero)
-        cols += [r5(d(f"s_{m}")).alias(m), *split(m, m), a.alias(f"{m}_avg")]
-    cols += [r5(d("s_spot_v")).alias("energy_fee_spot_no_margin"),
-             r5(d("s_spot_total_v")).alias("price_spot_no_margin")]
-    st = state.where(F.col("measure_type") == SIDES[side])
+        cols.update({m: r5(d(f"s_{m}")), **split(m, m), f"{m}_avg": a})
+    cols["energy_fee_spot_no_margin"] = r5(d("s_spot_v"))
+    cols["price_spot_no_margin"] = r5(d("s_spot_total_v"))
     if grain in ("month", "year"):
-        keys = [F.col("bucket").alias("time"), *THREE_KEYS,
-                F.lit(None).cast("short").alias("contract_type"),
-                F.lit(None).cast("string").alias("source"),
-                F.lit(None).cast("string").alias("measure_unit")]
-    else:
-        keys = [F.col("bucket").alias("time"), *SIX_KEYS]
-    return st.select(*keys, *cols).select(*rollup_columns(side))
+        cols.update({"contract_type": F.lit(None).cast("short"), "source": F.lit(None).cast("string"),
+                     "measure_unit": F.lit(None).cast("string")})
+    st = state.where(F.col("measure_type") == SIDES[side])
+    return st.select(*[(cols[c].alias(c) if c in cols else F.col(c)) for c in rollup_columns(side)])
 
 
 def rollup(energies: DataFrame, side: str, grain: str, settings: Settings = Settings()) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The tables ``events`` … are views in the checker's DuckDB session.  Helsinki
 is UTC+2 over the whole test span, so local time is ``time + INTERVAL 2 HOUR``.
-Sums use DECIMAL(28,8) and half-even rounding, like the Spark side.
+Sums are exact over terms fixed to 1e-8 units, with half-even rounding, like
+the Spark side.
 """
 
 from __future__ import annotations
@@ -91,11 +92,12 @@ def _r5(x: str) -> str:
 
 
 def _sum(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(28,8))) AS DOUBLE)"
+    """Exact sum of terms fixed to 1e-8 units, back to DOUBLE."""
+    return f"CAST(SUM(CAST(round_even(CAST({x} AS DOUBLE) * 100000000, 0) AS BIGINT)) AS DOUBLE) / 100000000"
 
 
 def _avg(x: str) -> str:
-    return f"CASE WHEN COUNT({x}) > 0 THEN {_sum(x)} / COUNT({x}) END"
+    return f"CASE WHEN COUNT({x}) > 0 THEN ({_sum(x)}) / COUNT({x}) END"
 
 
 def rollup_sql(side: str, grain: str, source: str = "energies") -> str:
@@ -141,7 +143,7 @@ def rollup_sql(side: str, grain: str, source: str = "energies") -> str:
     ]
     for m, x in measures.items():
         w = f"({x}) * value"
-        avg = f"CASE WHEN SUM(CAST(value AS DECIMAL(28,8))) <> 0 THEN {_r5(f'{_sum(w)} / {_sum('value')}')} END"
+        avg = f"CASE WHEN {_sum('value')} <> 0 THEN {_r5(f'({_sum(w)}) / ({_sum('value')})')} END"
         if avg_z:
             avg = f"COALESCE({avg}, 0)"
         cols += [f"{_r5(_sum(w))} AS {m}", *split(w, m), f"{avg} AS {m}_avg"]
