@@ -1,12 +1,13 @@
 """Exact sums and rounding.
 
 Each term is fixed to 8 decimals as a whole number of 1e-8 units
-(``rint(x * 1e8)``) and summed as DECIMAL(20,0).  Spark keeps such decimals
-in a long while they fit and moves to an arbitrary-precision value only
-beyond, so sums are exact, independent of the order in which partial
-aggregates are combined, cannot overflow, and avoid the double→decimal text
-conversion.  The sum goes back to DOUBLE before the one division and the
-five-decimal rounding.
+(``rint(x * 1e8)`` as BIGINT), so sums are exact integers: independent of the
+order in which partial aggregates are combined, and free of the double→decimal
+text conversion.  Groups with a bounded number of rows (a quarter-hour, hour
+or day of one meter holds at most one fact per slot and resolution) sum in
+BIGINT; wide groups (month, year) sum in DECIMAL(38,0), which cannot
+overflow.  Any overflow raises under ANSI mode instead of wrapping.  The sum
+goes back to DOUBLE before the one division and the five-decimal rounding.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from meterframe.functions._col import col
 
 SCALE = 100_000_000.0
-FIXED = "decimal(20,0)"
+WIDE = "decimal(38,0)"
 
 
 def r5(x) -> Column:
@@ -27,7 +28,12 @@ def r5(x) -> Column:
 
 def fixed(x) -> Column:
     """A term as an integer count of 1e-8 units (fails loudly beyond ±9.2e10)."""
-    return F.rint(col(x) * SCALE).cast("long").cast(FIXED)
+    return F.rint(col(x) * SCALE).cast("long")
+
+
+def widen(total) -> Column:
+    """A BIGINT partial sum as DECIMAL(38,0) before summing many of them."""
+    return col(total).cast(WIDE)
 
 
 def unfix(total) -> Column:
@@ -36,7 +42,7 @@ def unfix(total) -> Column:
 
 
 def exact_sum(x) -> Column:
-    return unfix(F.sum(fixed(x)))
+    return unfix(F.sum(widen(fixed(x))))
 
 
 def exact_avg(x) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meterframe.config import (
     GRAINS, MEASURE_CONSUMPTION, RESOLUTION_HOUR, RESOLUTION_QUARTER, SIDES, Settings,
 )
-from meterframe.functions.numeric import fixed, r5, safe_ratio, unfix
+from meterframe.functions.numeric import fixed, r5, safe_ratio, unfix, widen
 from meterframe.functions.tariff import FIXED_LIKE, SPOT
 from meterframe.functions.timeutil import (
     hour_start, ntz_lit, local_day_start, local_month_start, local_year_start, quarter_start,
@@ -116,9 +116,10 @@ def _prepare(energies: DataFrame, bucket_col: Column) -> DataFrame:
     )
 
 
-def _state_aggs() -> list[Column]:
+def _state_aggs(wide: bool = False) -> list[Column]:
     def s(x: Column, name: str) -> Column:
-        return F.sum(fixed(x)).alias(name)
+        term = widen(fixed(x)) if wide else fixed(x)
+        return F.sum(term).alias(name)
 
     night = F.col("night") == F.lit(True)
     day = F.col("night") == F.lit(False)
@@ -136,11 +137,13 @@ def _state_aggs() -> list[Column]:
     return aggs
 
 
-def _coarsen_aggs(state_cols: list[str]) -> list[Column]:
+def _coarsen_aggs(state_cols: list[str], wide: bool) -> list[Column]:
     out = []
     for c in state_cols:
         if c == "night_any":
             out.append(F.bool_or(c).alias(c))
+        elif c.startswith("s_") and wide:
+            out.append(F.sum(widen(c)).alias(c))
         else:
             out.append(F.sum(c).alias(c))
     return out
@@ -149,15 +152,18 @@ def _coarsen_aggs(state_cols: list[str]) -> list[Column]:
 STATE_KEYS = ("bucket",) + SIX_KEYS
 
 
-def states(prepared: DataFrame, keys=SIX_KEYS) -> DataFrame:
-    """Exact state per ``(bucket, *keys)`` from prepared fact rows."""
-    return prepared.groupBy("bucket", *keys).agg(*_state_aggs())
+def states(prepared: DataFrame, keys=SIX_KEYS, wide: bool = False) -> DataFrame:
+    """Exact state per ``(bucket, *keys)`` from prepared fact rows.
+
+    ``wide`` sums in DECIMAL(38,0) for buckets of a month or more.
+    """
+    return prepared.groupBy("bucket", *keys).agg(*_state_aggs(wide))
 
 
-def coarsen(state: DataFrame, bucket_fn, keys) -> DataFrame:
+def coarsen(state: DataFrame, bucket_fn, keys, wide: bool = False) -> DataFrame:
     """State of coarser buckets: ``bucket_fn(bucket)`` and a subset of keys."""
     cols = [c for c in state.columns if c not in ("bucket", "resolution_duration") + SIX_KEYS]
-    return state.groupBy(bucket_fn(F.col("bucket")).alias("bucket"), *keys).agg(*_coarsen_aggs(cols))
+    return state.groupBy(bucket_fn(F.col("bucket")).alias("bucket"), *keys).agg(*_coarsen_aggs(cols, wide))
 
 
 def finish(state: DataFrame, side: str, grain: str) -> DataFrame:
@@ -207,8 +213,9 @@ def rollup(energies: DataFrame, side: str, grain: str, settings: Settings = Sett
         rows = rows.where(F.col("resolution_duration") == RESOLUTION_QUARTER)
     else:
         rows = rows.where(cutover_filter(settings.cutover))
-    keys = THREE_KEYS if grain in ("month", "year") else SIX_KEYS
-    return finish(states(_prepare(rows, bucket(grain, settings.tz)), keys), side, grain)
+    wide = grain in ("month", "year")
+    keys = THREE_KEYS if wide else SIX_KEYS
+    return finish(states(_prepare(rows, bucket(grain, settings.tz)), keys, wide), side, grain)
 
 
 def _whole_hour_zone(tz: str) -> bool:
@@ -247,8 +254,8 @@ def fine_states(energies: DataFrame, settings: Settings = Settings(), keep=None)
 def coarse_states(day: DataFrame, settings: Settings = Settings(), keep=None) -> dict[str, DataFrame]:
     """Month and year states from day states."""
     keep = keep or (lambda df: df)
-    month = keep(coarsen(day, lambda b: local_month_start(b, settings.tz), THREE_KEYS))
-    year = coarsen(month, lambda b: local_year_start(b, settings.tz), THREE_KEYS)
+    month = keep(coarsen(day, lambda b: local_month_start(b, settings.tz), THREE_KEYS, wide=True))
+    year = coarsen(month, lambda b: local_year_start(b, settings.tz), THREE_KEYS, wide=True)
     return {"month": month, "year": year}
 
 

@@ -24,12 +24,18 @@ def build_session(master: str | None = None, app: str = "meterframe",
     conf = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Small shuffles feed CPU-heavy projections and aggregates: do not
+        # coalesce them below ~256 KB per task (large shuffles are unaffected).
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Times are TIMESTAMP_NTZ holding UTC; the session zone never enters
         # a computation, UTC keeps printed values readable.
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+        # Plans here are built from many column expressions; capturing the
+        # Python call site for every API call costs JVM round trips each.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
