@@ -87,9 +87,10 @@ def main(argv=None) -> None:
             P.read_payloads(spark, P.side_path(a.landing, 6), 6))
         rows = jobs.backfill(docs, a.start, a.stop, _contracts(spark, a.contracts, a.tz),
                              read_day_ahead_prices(spark, a.prices), a.resolution, settings)
-        months = table.merge(rows)
-        rollups.refresh_months(table.read(with_partition=True), months)
-        print(json.dumps({"months": months}))
+        days = table.merge(rows)
+        rollups.refresh_days(table.read(with_partition=True), days)
+        print(json.dumps({"days": len(days), "first": days[0] if days else None,
+                          "last": days[-1] if days else None}))
     elif a.command == "refresh":
         rollups.refresh_full(EnergiesTable(spark, f"{root}/energies", a.tz).read())
     else:

@@ -23,7 +23,8 @@ from meterframe.schemas import ENERGIES, ENERGY_COLUMNS, ENERGY_KEY
 from meterframe.sinks.layout import for_write
 
 PARTITION = "month"
-_SORT = ["metering_point_code", "time"]
+# Time first: a day's rows share row groups, so time-range filters prune them.
+_SORT = ["time", "metering_point_code"]
 _VALUES = [c for c in ENERGY_COLUMNS if c not in ENERGY_KEY]
 
 
@@ -110,18 +111,21 @@ class EnergiesTable:
 
         The batch is persisted once; its months (a handful of values, bounded
         by the batch's time span) become a static partition filter on the
-        table scan.  Returns the touched months for the roll-up refresh.
+        table scan.  Returns the touched local days (``yyyy-MM-dd``) for the
+        roll-up refresh.
         """
         b = self._with_partition(batch.select(*ENERGY_COLUMNS)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            months = [r[0] for r in b.select(PARTITION).distinct().collect()]
+            touched = b.select(PARTITION, F.date_format(utc_to_local(F.col("time"), self.tz), "yyyy-MM-dd")
+                               .alias("day")).distinct().collect()  # bounded by the batch span
+            months = sorted({r[0] for r in touched})
             if not months:
                 return []
             slice_ = self.read(with_partition=True).where(F.col(PARTITION).isin(months))
             merged = materialise(self._with_partition(merge_rows(slice_.select(*ENERGY_COLUMNS), b)))
             (for_write(merged, [PARTITION], _SORT).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(self.path))
-            return sorted(months)
+            return sorted({r[1] for r in touched})
         finally:
             b.unpersist()
 

@@ -1,34 +1,43 @@
-"""Materialised roll-ups: ten Parquet tables plus the day state (SNK-15, ST-1, ST-2, ST-6).
-
-15-minute, hour and day roll-ups are partitioned by the local month of the
-bucket, month and year roll-ups by its local year.  Next to them the store
-keeps the exact day-level state (DECIMAL sums and counts, partitioned by
-month): month and year roll-ups are finished from it, so a batch that touches
-one day recomputes only that month's fine grains from the facts and re-sums
-the stored day states of the touched years.  Results equal a full refresh by
-construction (exact sums), which a test checks.
+"""Materialised roll-ups and their exact states (SNK-15, ST-1, ST-2, ST-6).
+
+Tables below ``root``:
+
+* ``{side}_{15min,hour,day}`` — partitioned by the local day of the bucket;
+* ``{side}_month`` — by local month; ``{side}_year`` — by local year;
+* ``_day_state`` (by day) and ``_month_state`` (by month) — exact sums and
+  counts from which coarser grains are finished.
+
+A batch recomputes the fine grains of the days it touched from the facts of
+those days only, re-sums at most 31 day states per touched month and at most
+12 month states per touched year, and overwrites just the touched partitions.
+Exact sums make every step equal to aggregating the facts directly, so the
+result equals a full refresh (tested).
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.config import GRAINS, SIDES, Settings
-from meterframe.functions.timeutil import utc_to_local
-from meterframe.operators.rollups import coarse_states, finish_all, fine_states, rollup_columns
+from meterframe.functions.timeutil import local_to_utc, ntz_lit, utc_to_local
+from meterframe.operators.rollups import (
+    THREE_KEYS, coarsen, fine_states, finish_all, local_month_start, local_year_start, rollup_columns,
+)
 from meterframe.operators.sizing import materialise
 from meterframe.sinks.layout import for_write
 
 PERIOD = "period"
-_FINE = ("15min", "hour", "day")
-_COARSE = ("month", "year")
+_FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
+_GRAIN_PERIOD = {"15min": "day", "hour": "day", "day": "day", "month": "month", "year": "year"}
 
 
-def period_of(grain: str, time_col: str, tz: str):
-    fmt = "yyyy" if grain in _COARSE else "yyyy-MM"
-    return F.date_format(utc_to_local(F.col(time_col), tz), fmt)
+def period_of(kind: str, time_col: str, tz: str):
+    return F.date_format(utc_to_local(F.col(time_col), tz), _FORMATS[kind])
 
 
 class RollupStore:
@@ -38,63 +47,79 @@ class RollupStore:
     def path(self, side: str, grain: str) -> str:
         return f"{self.root}/{side}_{grain}"
 
-    @property
-    def state_path(self) -> str:
-        return f"{self.root}/_day_state"
-
     def read(self, side: str, grain: str) -> DataFrame:
         return self.spark.read.parquet(self.path(side, grain)).select(*rollup_columns(side))
 
-    def _write(self, df: DataFrame, path: str, grain: str, time_col: str, dynamic: bool) -> None:
-        out = df.withColumn(PERIOD, period_of(grain, time_col, self.settings.tz))
-        out = for_write(out, [PERIOD], ["metering_point_code", time_col])
+    def _write(self, df: DataFrame, path: str, kind: str, time_col: str, dynamic: bool) -> None:
+        out = df.withColumn(PERIOD, period_of(kind, time_col, self.settings.tz))
+        out = for_write(out, [PERIOD], [time_col, "metering_point_code"])
         w = out.write.mode("overwrite")
         if dynamic:
             w = w.option("partitionOverwriteMode", "dynamic")
         w.partitionBy(PERIOD).parquet(path)
 
-    def _refresh(self, facts: DataFrame, touched_years: list[str] | None, sides) -> None:
+    def _read_state(self, name: str, prefixes: list[str] | None) -> DataFrame:
+        df = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        # Partition values are kept as text (``2024-01`` would otherwise be read as a date).
+        if prefixes is not None:
+            n = len(prefixes[0]) if prefixes else 0
+            df = df.where(F.substring(F.col(PERIOD).cast("string"), 1, n).isin(prefixes))
+        return df.drop(PERIOD)
+
+    def _refresh(self, facts: DataFrame, days: list[str] | None, sides) -> None:
         kept: list[DataFrame] = []
 
         def keep(df: DataFrame) -> DataFrame:
             kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
             return kept[-1]
 
-        dynamic = touched_years is not None
+        dynamic = days is not None
+        s = self.settings
         try:
-            fine = fine_states(facts, self.settings, keep)
+            fine = fine_states(facts, s, keep)
             day = keep(fine["day"])
-            self._write(day, self.state_path, "day", "bucket", dynamic)
+            self._write(day, f"{self.root}/_day_state", "day", "bucket", dynamic)
             for name, df in finish_all(fine | {"day": day}, sides).items():
                 side, grain = name.split("_")
-                self._write(df, self.path(side, grain), grain, "time", dynamic)
-            days = self.spark.read.parquet(self.state_path)
-            if dynamic:
-                # A filter on the partition column: only the touched years are listed and read.
-                days = days.where(F.substring(F.col(PERIOD), 1, 4).isin(touched_years))
-            days = days.drop(PERIOD)
-            for name, df in finish_all(coarse_states(days, self.settings, keep), sides).items():
+                self._write(df, self.path(side, grain), "day", "time", dynamic)
+            months = sorted({d[:7] for d in days}) if dynamic else None
+            month = keep(coarsen(self._read_state("_day_state", months),
+                                 lambda b: local_month_start(b, s.tz), THREE_KEYS, wide=True))
+            self._write(month, f"{self.root}/_month_state", "month", "bucket", dynamic)
+            years = sorted({m[:4] for m in months}) if dynamic else None
+            year = coarsen(self._read_state("_month_state", years),
+                           lambda b: local_year_start(b, s.tz), THREE_KEYS, wide=True)
+            for name, df in finish_all({"month": month}, sides).items():
+                side, grain = name.split("_")
+                self._write(df, self.path(side, grain), "month", "time", dynamic)
+            for name, df in finish_all({"year": year}, sides).items():
                 side, grain = name.split("_")
-                self._write(df, self.path(side, grain), grain, "time", dynamic)
+                self._write(df, self.path(side, grain), "year", "time", dynamic)
         finally:
             for df in kept:
                 df.unpersist()
 
     def refresh_full(self, energies: DataFrame, sides=tuple(SIDES)) -> None:
-        """Drop and rebuild every roll-up and the day state (SNK-15, ST-1/2)."""
+        """Drop and rebuild every roll-up and state (SNK-15, ST-1/2)."""
         self._refresh(energies, None, sides)
 
-    def refresh_months(self, energies_with_month: DataFrame, months: list[str], sides=tuple(SIDES)) -> None:
-        """Recompute the periods a batch touched (ST-6).
+    def refresh_days(self, energies_with_month: DataFrame, days: list[str], sides=tuple(SIDES)) -> None:
+        """Recompute what the local ``days`` (``yyyy-MM-dd``) touched (ST-6).
 
-        ``months`` are local ``yyyy-MM`` values (as returned by
-        ``EnergiesTable.merge``); they prune the fact scan to those partitions.
+        The fact scan is pruned to the days' month partitions and to the UTC
+        span of the days (row-group statistics on ``time``); the exact local
+        day filter follows.
         """
-        if not months:
+        if not days:
             return
-        facts = energies_with_month.where(F.col("month").isin(list(months)))
-        years = sorted({m[:4] for m in months})
-        self._refresh(materialise(facts), years, sides)
+        tz = self.settings.tz
+        first = dt.datetime.strptime(min(days), "%Y-%m-%d")
+        last = dt.datetime.strptime(max(days), "%Y-%m-%d") + dt.timedelta(days=1)
+        lo, hi = local_to_utc(ntz_lit(first), tz), local_to_utc(ntz_lit(last), tz)
+        facts = (energies_with_month.where(F.col("month").isin(sorted({d[:7] for d in days})))
+                 .where((F.col("time") >= lo) & (F.col("time") < hi))
+                 .where(period_of("day", "time", tz).isin(list(days))))
+        self._refresh(materialise(facts), sorted(days), sides)
 
 
 __all__ = ["GRAINS", "RollupStore", "period_of"]

@@ -61,8 +61,8 @@ def make_batch_handler(table: EnergiesTable, rollups: RollupStore, contracts, pr
                 for kind, err in write_both(readings, contracts, prices, wide_path, settings).items():
                     if err:
                         report.errors.append((epoch_id, kind, err))
-            months = table.merge(build_energies(readings, contracts, prices, settings))
-            rollups.refresh_months(table.read(with_partition=True), months)
+            days = table.merge(build_energies(readings, contracts, prices, settings))
+            rollups.refresh_days(table.read(with_partition=True), days)
             report.rejected_documents += rejected.count()
             report.batches += 1
         finally:

@@ -50,9 +50,9 @@ def test_incremental_refresh_equals_full(spark, energies):
     table.create(first)
     inc = RollupStore(spark, work_path(spark, "test-inc-rollups"))
     inc.refresh_full(table.read())
-    months = table.merge(second)
-    assert months == ["2024-01"]
-    inc.refresh_months(table.read(with_partition=True), months)
+    days = table.merge(second)
+    assert days[0].startswith("2024-01") and len(days) > 1
+    inc.refresh_days(table.read(with_partition=True), days)
     full = RollupStore(spark, work_path(spark, "test-full-rollups"))
     full.refresh_full(table.read())
     for side in ("consumption", "production"):
