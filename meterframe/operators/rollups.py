@@ -273,8 +273,3 @@ def chained_rollups(energies: DataFrame, settings: Settings = Settings(), keep=N
     fine = fine_states(energies, settings, keep_)
     day = keep_(fine["day"])
     return finish_all({**fine, "day": day, **coarse_states(day, settings, keep_)})
-
-
-def all_rollups(energies: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    return {f"{side}_{grain}": rollup(energies, side, grain, settings)
-            for side in SIDES for grain in GRAINS}

@@ -36,6 +36,9 @@ def build_session(master: str | None = None, app: str = "meterframe",
         # Plans here are built from many column expressions; capturing the
         # Python call site for every API call costs JVM round trips each.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Merges and refreshes checkpoint their staged results; drop those
+        # files once the DataFrames are gone (long-running streams).
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -96,7 +96,8 @@ class EnergiesTable:
 
     def create(self, rows: DataFrame | None = None) -> "EnergiesTable":
         """Create (or replace) the table, optionally with initial rows (SNK-10)."""
-        df = rows if rows is not None else self.spark.createDataFrame([], ENERGIES)
+        from meterframe.operators.quality import apply_defaults
+        df = apply_defaults(rows) if rows is not None else self.spark.createDataFrame([], ENERGIES)
         (for_write(self._with_partition(df.select(*ENERGY_COLUMNS)), [PARTITION], _SORT).write
          .mode("overwrite").partitionBy(PARTITION).parquet(self.path))
         return self
