@@ -1,10 +1,10 @@
 """The ``energies`` fact table: partitioned Parquet with a keyed merge (SNK-1..SNK-6, SNK-10, SNK-14).
 
-Layout: one folder per local month (``month=yyyy-MM``), so a load touches one
-or two partitions.  A merge reads only the touched partitions (partition
-pruning on ``month``), combines them with the batch in a full outer join on
-the key, materialises the result in the shared checkpoint folder and then
-overwrites exactly those partitions.
+Layout: one folder per local day (``day=yyyy-MM-dd``), so the scheduled load
+touches one partition and a backfill the days it covers.  A merge reads only
+the touched partitions (partition pruning on ``day``), combines them with the
+batch in a full outer join on the key, materialises the result in the shared
+checkpoint folder and then overwrites exactly those partitions.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from meterframe.operators.sizing import materialise
 from meterframe.schemas import ENERGIES, ENERGY_COLUMNS, ENERGY_KEY
 from meterframe.sinks.layout import for_write
 
-PARTITION = "month"
+PARTITION = "day"
 # Time first: a day's rows share row groups, so time-range filters prune them.
 _SORT = ["time", "metering_point_code"]
 _VALUES = [c for c in ENERGY_COLUMNS if c not in ENERGY_KEY]
 
 
-def month_of(time: Column, tz: str = DEFAULT_TZ) -> Column:
-    return F.date_format(utc_to_local(time, tz), "yyyy-MM")
+def day_of(time: Column, tz: str = DEFAULT_TZ) -> Column:
+    """Local calendar day as ``yyyy-MM-dd`` text (the partition value)."""
+    return F.date_format(utc_to_local(time, tz), "yyyy-MM-dd")
 
 
 def ownership(measure_type: Column, contract_type: Column) -> dict[str, Column]:
@@ -92,7 +93,7 @@ class EnergiesTable:
         self.spark, self.path, self.tz = spark, path.rstrip("/"), tz
 
     def _with_partition(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(PARTITION, month_of(F.col("time"), self.tz))
+        return df.withColumn(PARTITION, day_of(F.col("time"), self.tz))
 
     def create(self, rows: DataFrame | None = None) -> "EnergiesTable":
         """Create (or replace) the table, optionally with initial rows (SNK-10)."""
@@ -110,23 +111,20 @@ class EnergiesTable:
     def merge(self, batch: DataFrame) -> list[str]:
         """Upsert one batch; only the partitions it touches are read and rewritten.
 
-        The batch is persisted once; its months (a handful of values, bounded
-        by the batch's time span) become a static partition filter on the
-        table scan.  Returns the touched local days (``yyyy-MM-dd``) for the
-        roll-up refresh.
+        The batch is persisted once; its local days (bounded by the batch's
+        time span) become a static partition filter on the table scan.
+        Returns those days (``yyyy-MM-dd``) for the roll-up refresh.
         """
         b = self._with_partition(batch.select(*ENERGY_COLUMNS)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            touched = b.select(PARTITION, F.date_format(utc_to_local(F.col("time"), self.tz), "yyyy-MM-dd")
-                               .alias("day")).distinct().collect()  # bounded by the batch span
-            months = sorted({r[0] for r in touched})
-            if not months:
+            days = sorted(r[0] for r in b.select(PARTITION).distinct().collect())  # bounded by the batch span
+            if not days:
                 return []
-            slice_ = self.read(with_partition=True).where(F.col(PARTITION).isin(months))
+            slice_ = self.read(with_partition=True).where(F.col(PARTITION).isin(days))
             merged = materialise(self._with_partition(merge_rows(slice_.select(*ENERGY_COLUMNS), b)))
             (for_write(merged, [PARTITION], _SORT).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(self.path))
-            return sorted({r[1] for r in touched})
+            return days
         finally:
             b.unpersist()
 

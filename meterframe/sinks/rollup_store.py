@@ -16,15 +16,13 @@ result equals a full refresh (tested).
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.config import GRAINS, SIDES, Settings
-from meterframe.functions.timeutil import local_to_utc, ntz_lit, utc_to_local
+from meterframe.functions.timeutil import utc_to_local
 from meterframe.operators.rollups import (
     THREE_KEYS, coarsen, fine_states, finish_all, local_month_start, local_year_start, rollup_columns,
 )
@@ -103,22 +101,14 @@ class RollupStore:
         """Drop and rebuild every roll-up and state (SNK-15, ST-1/2)."""
         self._refresh(energies, None, sides)
 
-    def refresh_days(self, energies_with_month: DataFrame, days: list[str], sides=tuple(SIDES)) -> None:
+    def refresh_days(self, energies_with_day: DataFrame, days: list[str], sides=tuple(SIDES)) -> None:
         """Recompute what the local ``days`` (``yyyy-MM-dd``) touched (ST-6).
 
-        The fact scan is pruned to the days' month partitions and to the UTC
-        span of the days (row-group statistics on ``time``); the exact local
-        day filter follows.
+        The fact scan reads only the days' partitions of the fact table.
         """
         if not days:
             return
-        tz = self.settings.tz
-        first = dt.datetime.strptime(min(days), "%Y-%m-%d")
-        last = dt.datetime.strptime(max(days), "%Y-%m-%d") + dt.timedelta(days=1)
-        lo, hi = local_to_utc(ntz_lit(first), tz), local_to_utc(ntz_lit(last), tz)
-        facts = (energies_with_month.where(F.col("month").isin(sorted({d[:7] for d in days})))
-                 .where((F.col("time") >= lo) & (F.col("time") < hi))
-                 .where(period_of("day", "time", tz).isin(list(days))))
+        facts = energies_with_day.where(F.col("day").isin(list(days)))
         self._refresh(materialise(facts), sorted(days), sides)
 
 

@@ -52,8 +52,8 @@ def test_merge_is_idempotent(spark):
     once = sorted(tuple(r) for r in table.read().collect())
     table.merge(batch)
     assert sorted(tuple(r) for r in table.read().collect()) == once
-    months = {r.month for r in table.read(with_partition=True).collect()}
-    assert months == {"2023-12", "2024-02"}
+    days = {r.day for r in table.read(with_partition=True).collect()}
+    assert days == {"2023-12-26", "2024-02-04"}
 
 
 def test_wide_upsert_replaces_by_time_and_tags(spark):
