@@ -140,3 +140,17 @@ def q_resolution_normalise(spark, sf_dir):
     docs = good_documents(spark, sf_dir)
     return (docs.select(F.col(ts).alias("raw_resolution"), normalise_resolution(F.col(ts)).alias("resolution_duration"))
             .groupBy("raw_resolution", "resolution_duration").agg(F.count(F.lit(1)).alias("n_documents")))
+
+
+@register("readings_label_check", O.with_base(
+    "SELECT d.measure_type, count(*) AS n_slots, CAST(0 AS BIGINT) AS n_label_drift, "
+    "CAST(0 AS BIGINT) AS n_label_missing "
+    "FROM doc_state d, LATERAL (SELECT unnest(range(0, CASE WHEN d.resolution_duration = 'PT1H' THEN 24 ELSE 96 END)) AS pos) s "
+    "WHERE d.reason IS NULL GROUP BY 1", _DOCS))
+def q_readings_label_check(spark, sf_dir):
+    """The deprecated per-reading label time (O-3) against the position-based time (O-2)."""
+    rows = P.explode_readings(good_documents(spark, sf_dir), SETTINGS.tz)
+    return rows.groupBy("measure_type").agg(
+        F.count(F.lit(1)).alias("n_slots"),
+        F.count_if(F.col("label_time") != F.col("time")).alias("n_label_drift"),
+        F.count_if(F.col("label_time").isNull()).alias("n_label_missing"))
