@@ -100,7 +100,7 @@ def main(argv=None) -> None:
         if a.out:
             rep.write.mode("overwrite").parquet(a.out)
         else:
-            for r in rep.limit(1000).collect():
+            for r in rep.toLocalIterator():  # one partition at a time on the driver
                 print(json.dumps({k: (v.isoformat() if hasattr(v, "isoformat") else v)
                                   for k, v in r.asDict().items()}))
     spark.stop()
