@@ -46,7 +46,7 @@ def _contracts(spark, path: str, tz: str):
 def _table(spark, root: str, tz: str) -> EnergiesTable:
     table = EnergiesTable(spark, f"{root}/energies", tz)
     try:
-        table.read().limit(0).collect()
+        table.read()  # lists the folder; raises when the table does not exist yet
     except Exception:  # noqa: BLE001 - first run: create the empty table
         table.create()
     return table
