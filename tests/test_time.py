@@ -55,3 +55,13 @@ def test_buckets_independent_of_session_zone(spark):
     assert d == dt.datetime(2024, 3, 30, 22, 0)          # local midnight, still UTC+2
     assert m == dt.datetime(2024, 2, 29, 22, 0) and y == dt.datetime(2023, 12, 31, 22, 0)
     assert lh == 4                                        # 01:37Z is 04:37 summer time
+
+
+def test_load_range_fixed_now(spark):
+    from meterframe.plans.jobs import load_range
+    cases = [(dt.datetime(2024, 3, 31, 3, 30), ("2024-03-30T00:00:00", "2024-03-31T00:00:00")),   # 06:30 EEST
+             (dt.datetime(2023, 10, 28, 21, 30), ("2023-10-28T00:00:00", "2023-10-29T00:00:00")),  # 00:30 local
+             (dt.datetime(2024, 1, 1, 4, 0), ("2023-12-31T00:00:00", "2024-01-01T00:00:00"))]
+    for now, expected in cases:
+        start, stop = load_range(T.ntz_lit(now), "Europe/Helsinki")
+        assert tuple(spark.range(1).select(start, stop).first()) == expected
