@@ -145,3 +145,19 @@ def test_multiline_document(spark, tmp_path):
     rows, rejected = P.explode_readings(P.read_payloads(spark, str(p), 6, multi_line=True)), None
     got = rows.collect()
     assert [(r.metering_point_code, r.measure_type, r.time) for r in got] == [("42", 6, dt.datetime(2023, 12, 31, 22))]
+
+
+def test_backfill_selects_range_and_resolution(spark, tmp_path):
+    from meterframe.plans.jobs import documents_in_range
+    tsv = [_tsv(0.1, "x", start="2024-01-02T00:00:00")]
+    docs = [_doc("a", "PT1H", tsv, start="2024-01-02T00:00:00", stop="2024-01-03T00:00:00"),
+            _doc("b", "PT15M", tsv, start="2024-01-02T00:00:00", stop="2024-01-03T00:00:00"),
+            _doc("c", "PT1H", tsv, start="2024-01-09T00:00:00", stop="2024-01-10T00:00:00"),
+            _doc("d", "PT1H", tsv, start="2024-01-01T00:00:00", stop="2024-01-02T00:00:00")]
+    df = P.read_payloads(spark, _land(tmp_path, docs), 1)
+
+    def points(sel):
+        return sorted(r[0] for r in sel.select("getconsumptionsresult.consumptiondata.meteringpointcode").collect())
+
+    assert points(documents_in_range(df, "2024-01-01T00:00:00", "2024-01-08T00:00:00")) == ["a", "d"]
+    assert points(documents_in_range(df, "2024-01-02T00:00:00", "2024-01-08T00:00:00", "PT15M")) == ["b"]
