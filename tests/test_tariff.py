@@ -115,3 +115,25 @@ def test_rejects_one_scan(spark, contracts):
                                      "resolution_duration string, value double, measure_unit string, seq long")
     got = sorted((r.reason, r.n_rows) for r in rejects_by_reason(df, contracts).collect())
     assert got == [("no_quantity", 1), ("no_single_contract", 1), ("no_time", 1)]
+
+
+def test_wide_tag_keeps_raw_resolution(spark, contracts, tmp_path):
+    import json
+
+    from meterframe.operators.pricing import wide_points
+    from meterframe.schemas import PRICES
+    from meterframe.sources import payloads as P
+
+    doc = {"getconsumptionsresult": {"consumptiondata": {
+        "meteringpointcode": "w1", "sum": {"quantity": 0.3, "start": "2024-01-01T00:00:00",
+                                           "stop": "2024-01-02T00:00:00", "unit": "kWh"},
+        "timeseries": {"start": "2024-01-01T00:00:00", "stop": "2024-01-02T00:00:00", "resolution": "PT15MIN",
+                       "values": {"tsv": [{"quantity": 0.1, "time": "x", "start": "2024-01-01T00:00:00"},
+                                          {"quantity": 0.2, "time": "x", "start": "2024-01-01T00:00:00"}]}}}}}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    good, _ = P.split_documents(P.read_payloads(spark, str(tmp_path), 1))
+    rows = P.explode_readings(good)
+    pts = wide_points(rows, contracts, spark.createDataFrame([], PRICES), 1).collect()
+    # Payload quantities are 32-bit floats: compare at float precision.
+    assert sorted((r.resolution_duration_tag, round(r.value, 6), r.price, r.timestamp) for r in pts) == [
+        ("PT15MIN", 0.1, 0.0, "2023-12-31T22:00:00"), ("PT15MIN", 0.2, 0.0, "2023-12-31T22:15:00")]
