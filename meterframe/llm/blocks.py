@@ -1,7 +1,7 @@
 """Documents packed as token blocks, and exact counting of keys over blocks.
 
 Operators that count word n-grams over the whole corpus would shuffle one row
-for each token. Here a task packs about a million tokens into one row: a table
+for each token. Here a task packs about half a million tokens into one row: a table
 of the block's distinct word hashes and the token stream as indexes into it,
 ordered by frequency and compressed (about two bytes for each token).
 
@@ -28,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Distinct words a task remembers the hash of, before it starts afresh.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 
 BLOCK_SCHEMA = ("block long, n_docs int, n_tokens long, doc_ids binary, doc_nulls binary, flags binary, tags binary, "
                 "lengths binary, words binary, tokens binary")
