@@ -19,10 +19,10 @@ import argparse
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from meterframe.config import Settings
-from meterframe.operators.contracts import ContractTable
+from meterframe.operators.contracts import ContractTable, fee_violations, violations
 from meterframe.operators.report import daily_report
 from meterframe.plans import jobs
 from meterframe.session import build_session
@@ -40,14 +40,23 @@ def _contracts(spark, path: str, tz: str):
     problems = SC.bound_problems(config, tz).collect()
     if problems:
         raise SystemExit(f"contract bounds rejected: {[r.asDict() for r in problems]}")
-    return ContractTable(SC.flatten(config, tz))
+    lost = SC.unusable(config).collect()
+    if lost:
+        raise SystemExit(f"contracts rejected: {[r.asDict(recursive=True) for r in lost]}")
+    table = SC.flatten(config, tz)
+    wrong = [r.asDict() for found in (violations(table), fee_violations(table)) for r in found.collect()]
+    if wrong:
+        raise SystemExit(f"contracts rejected: {wrong}")
+    return ContractTable(table)
 
 
 def _table(spark, root: str, tz: str) -> EnergiesTable:
     table = EnergiesTable(spark, f"{root}/energies", tz)
     try:
         table.read()  # lists the folder; raises when the table does not exist yet
-    except Exception:  # noqa: BLE001 - first run: create the empty table
+    except AnalysisException as e:  # first run: create the empty table
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         table.create()
     return table
 
@@ -96,7 +105,7 @@ def main(argv=None) -> None:
     else:
         lo = dt.datetime.fromisoformat(a.date_from) if a.date_from else None
         hi = dt.datetime.fromisoformat(a.date_to) if a.date_to else None
-        rep = daily_report(rollups.read("consumption", "day"), lo, hi, a.point)
+        rep = daily_report(rollups.read("consumption", "day", lo, hi), lo, hi, a.point)
         if a.out:
             rep.write.mode("overwrite").parquet(a.out)
         else:

@@ -39,6 +39,3 @@ class Settings:
     tz: str = DEFAULT_TZ
     cutover: _dt.datetime = DEFAULT_CUTOVER
     source: str = SOURCE
-    # Contract segments up to this count are broadcast; above it the range
-    # join runs as an equi-join on (side, month) instead.
-    max_broadcast_segments: int = 100_000

@@ -1,22 +1 @@
 """Column expressions (JVM-side, whole-stage codegen friendly)."""
-
-from meterframe.functions.numeric import exact_avg, exact_sum, r5, safe_ratio
-from meterframe.functions.tariff import (
-    contract_type_code, contract_type_name, energy_fee, energy_fee_fixed,
-    energy_fee_spot, is_night, normalise_resolution, transfer_fee,
-)
-from meterframe.functions.timeutil import (
-    add_steps, dst_gap, dst_overlap, hour_start, local_day_start, local_hour,
-    local_month_start, local_text_to_utc, local_to_utc, local_year_start,
-    parse_local, quarter_start, utc_text, utc_to_local,
-)
-
-__all__ = [
-    "add_steps", "contract_type_code", "contract_type_name", "dst_gap",
-    "dst_overlap", "energy_fee", "energy_fee_fixed", "energy_fee_spot",
-    "exact_avg", "exact_sum", "hour_start", "is_night", "local_day_start",
-    "local_hour", "local_month_start", "local_text_to_utc", "local_to_utc",
-    "local_year_start", "normalise_resolution", "parse_local",
-    "quarter_start", "r5", "safe_ratio", "transfer_fee", "utc_text",
-    "utc_to_local",
-]

@@ -41,17 +41,6 @@ def unfix(total) -> Column:
     return col(total).cast("double") / SCALE
 
 
-def exact_sum(x) -> Column:
-    return unfix(F.sum(widen(fixed(x))))
-
-
-def exact_avg(x) -> Column:
-    """AVG as exact sum over count of non-null inputs (AG-2)."""
-    c = col(x)
-    n = F.count(c)
-    return F.when(n > 0, exact_sum(c) / n)
-
-
 def safe_ratio(num: Column, den: Column) -> Column:
     """``num / den`` only when ``den`` is non-zero (O-30)."""
     return F.when(den != 0, num / den)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.config import CONTRACT_TYPE_CODES, Settings
-from meterframe.operators.sizing import bounded_broadcast, measured
+from meterframe.operators.sizing import measured
 from meterframe.schemas import CONTRACT_ATTRS
 
 
@@ -75,11 +75,6 @@ def _day(ts):
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.lit(0), F.lit(0), F.lit(0))
 
 
-def _range_condition(r: DataFrame, s: DataFrame, time_col: str):
-    return ((r["measure_type"] == s["side"]) & (r[time_col] >= s["seg_from"])
-            & (s["seg_to"].isNull() | (r[time_col] < s["seg_to"])))
-
-
 def attach_contract(readings: DataFrame, contracts, settings: Settings = Settings(),
                     how: str = "inner", time_col: str = "time", attrs: bool = True) -> DataFrame:
     """Range join of readings to the single contract valid at their time (J-1).
@@ -87,35 +82,32 @@ def attach_contract(readings: DataFrame, contracts, settings: Settings = Setting
     ``how='inner'`` keeps matched readings with the contract attributes
     (``attrs=False``: only ``contract_type``); ``how='left'`` keeps unmatched
     readings with NULL attributes; ``how='left_anti'`` returns
-    readings with no or several contracts (O-11).  The segment table is
-    broadcast when its measured row count is within the bound; beyond it both
-    sides are keyed by (side, UTC month) and joined by hash.
+    readings with no or several contracts (O-11).
+
+    Segments that end are keyed by (side, UTC day) and joined by hash, so a
+    reading meets only the segments of its day however long the history is;
+    segments of a side never overlap, so their days add up to the covered span.
+    At most one segment of a side is open: it is held against the rest.
     """
-    table = as_table(contracts)
-    segs = table.segments
-    if not attrs:
-        segs = segs.select("side", "seg_from", "seg_to", "contract_type")
-    segs, is_bcast = bounded_broadcast(segs, settings.max_broadcast_segments, table.n)
-    if is_bcast:
-        out = readings.join(segs, _range_condition(readings, segs, time_col), how)
-    else:
-        # A long contract history: key both sides by (side, UTC day) so the
-        # join hashes on a key with as many values as there are days; open
-        # ends are clamped to the last reading.  AQE splits any day that is
-        # still too large.
-        last = readings.agg(F.max(time_col)).first()[0]
-        text = last.strftime("%Y-%m-%d %H:%M:%S.%f") if last is not None else "1970-01-01 00:00:00"
-        clamp = F.lit(text).cast("timestamp_ntz")
-        hi = F.least(F.coalesce(F.col("seg_to") - _micro(), clamp), clamp)
-        days = F.sequence(_day(F.col("seg_from")), _day(hi), F.make_dt_interval(F.lit(1)))
-        keyed = segs.where(F.col("seg_from") <= clamp).withColumn("_d", F.explode(days))
-        r = readings.withColumn("_d", _day(F.col(time_col)))
-        cond = _range_condition(r, keyed, time_col) & (r["_d"] == keyed["_d"])
-        out = r.join(keyed, cond, how)
-        out = out.drop("_d") if how == "left_anti" else out.drop(keyed["_d"]).drop(r["_d"])
+    segs = as_table(contracts).segments
+    cols = list(CONTRACT_ATTRS) if attrs else ["contract_type"]
+    span = ["side", "seg_from", "seg_to"]
+    days = F.sequence(_day(F.col("seg_from")), _day(F.col("seg_to") - _micro()), F.make_dt_interval(F.lit(1)))
+    ended = (segs.where(F.col("seg_to").isNotNull())
+             .select(*(F.col(c).alias(f"_c_{c}") for c in span), F.struct(*cols).alias("_c"), F.explode(days).alias("_c_day")))
+    still = (segs.where(F.col("seg_to").isNull())
+             .select(F.col("side").alias("_o_side"), F.col("seg_from").alias("_o_from"), F.struct(*cols).alias("_o")))
+    t = F.col(time_col)
+    out = readings.join(ended, (F.col("measure_type") == F.col("_c_side")) & (_day(t) == F.col("_c_day"))
+                        & (t >= F.col("_c_seg_from")) & (t < F.col("_c_seg_to")), "left")
+    # One row a side at most.
+    out = out.join(F.broadcast(still), (F.col("measure_type") == F.col("_o_side")) & (t >= F.col("_o_from")), "left")
+    found = F.coalesce(F.col("_c"), F.col("_o"))
     if how == "left_anti":
-        return out
-    return out.drop("side", "seg_from", "seg_to", "contract_no")
+        return out.where(found.isNull()).select(*(F.col(f"`{c}`") for c in readings.columns))
+    if how == "inner":
+        out = out.where(found.isNotNull())
+    return out.withColumn("_f", found).select(*(F.col(f"`{c}`") for c in readings.columns), *(F.col(f"_f.{c}") for c in cols))
 
 
 def violations(contracts: DataFrame) -> DataFrame:

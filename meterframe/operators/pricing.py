@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +12,8 @@ from meterframe.functions import tariff
 from meterframe.functions.timeutil import hour_start, local_hour
 from meterframe.operators.contracts import attach_contract
 from meterframe.operators.readings import accepted, last_write_wins
-from meterframe.operators.sizing import bounded_broadcast
 from meterframe.schemas import ENERGY_COLUMNS
 
-# Day-ahead prices are one row per delivery interval, so the table grows with
-# the covered time span, not with the number of meters.  Up to this many rows
-# (about 28 years of quarter-hours) it is broadcast.
-MAX_BROADCAST_PRICES = 1_000_000
-
-
 def price_duplicates(prices: DataFrame, summary: bool = False) -> DataFrame:
     """Times with more than one price row (J-4): a lookup there is ambiguous.
 
@@ -34,39 +26,37 @@ def price_duplicates(prices: DataFrame, summary: bool = False) -> DataFrame:
     return per_time.where(F.col("n_prices") > 1)
 
 
-class AmbiguousPriceError(ValueError):
-    """More than one day-ahead price for one time (the reference's scalar subquery fails)."""
+#: Text of the error for a looked-up time with several prices (the reference's
+#: scalar subquery fails there).
+AMBIGUOUS_PRICE = "more than one day-ahead price for a looked-up time; see price_duplicates()"
 
 
 def _lookup(prices: DataFrame, name: str) -> DataFrame:
-    return prices.select(F.col("time").alias(f"_{name}_t"), F.col("price").alias(f"_{name}_p"))
+    """One row per time; using a time with several prices is an error (J-4)."""
+    one = prices.groupBy("time").agg(F.min("price").alias("p"), F.count(F.lit(1)).alias("n"))
+    return one.select(F.col("time").alias(f"_{name}_t"), F.col("p").alias(f"_{name}_p"), F.col("n").alias(f"_{name}_n"))
+
+
+def _used(name: str):
+    return F.when(F.col(f"_{name}_n") > 1, F.raise_error(F.lit(AMBIGUOUS_PRICE)).cast("double")).otherwise(F.col(f"_{name}_p"))
 
 
 def attach_spot_price(df: DataFrame, prices: DataFrame, *, hour_fallback: bool = True,
                       out: str = "spot_eur_mwh", time_col: str = "time") -> DataFrame:
     """Day-ahead price at the reading's time, else at its hour start (J-2, J-3).
 
-    Two left equi-joins against the same bounded, broadcast price table; the
-    reading side is never shuffled for them.  A time with two prices raises
-    (J-4) instead of silently duplicating readings.
+    Left equi-joins on time, planned lazily: no job runs here and nothing is
+    kept, so a price added later is seen by the next read. A reading whose
+    lookup meets several prices fails the job (J-4); duplicates at times that
+    no reading looks up do no harm.
     """
-    p = prices.select("time", "price").persist(StorageLevel.MEMORY_AND_DISK)
-    # One job fills the cache, sizes the table and checks J-4.
-    n, n_times = p.agg(F.count(F.lit(1)), F.count_distinct("time")).first()
-    if n_times != n:
-        raise AmbiguousPriceError(f"{n - n_times} duplicate price rows; see price_duplicates()")
-    p, _ = bounded_broadcast(p, MAX_BROADCAST_PRICES, n)
-    exact = _lookup(p, "px")
-    res = df.join(exact, F.col(time_col) == F.col("_px_t"), "left")
-    price = F.col("_px_p")
-    drop = ["_px_t", "_px_p"]
+    res = df.join(_lookup(prices, "px"), F.col(time_col) == F.col("_px_t"), "left")
+    price = _used("px")
     if hour_fallback:
-        hourly = _lookup(p, "ph")
-        res = res.withColumn("_hour", hour_start(time_col)) \
-                 .join(hourly, F.col("_hour") == F.col("_ph_t"), "left")
-        price = F.coalesce(price, F.col("_ph_p"))
-        drop += ["_hour", "_ph_t", "_ph_p"]
-    return res.withColumn(out, price).drop(*drop)
+        res = res.withColumn("_hour", hour_start(time_col)).join(
+            _lookup(prices, "ph"), F.col("_hour") == F.col("_ph_t"), "left")
+        price = F.coalesce(price, _used("ph"))
+    return res.withColumn(out, price).select(*(F.col(f"`{c}`") for c in df.columns), out)
 
 
 def a44_prices(price_points: DataFrame) -> DataFrame:
@@ -135,7 +125,8 @@ def wide_points(readings: DataFrame, contracts: DataFrame, prices: DataFrame, si
                 settings: Settings = Settings()) -> DataFrame:
     """Denormalised priced points for one side (SNK-7/8, O-12..O-15, J-5).
 
-    Price is the exact-time price or 0.0 (no hour fallback), in EUR/kWh; the
+    Price is the exact-time price or 0.0 (no hour fallback), in EUR/kWh; given
+    price points (with ``type_tag``), the first A44 point of a time counts. The
     energy fee follows the full dispatch (O-21) including ``negative_no_tax``.
     """
     from meterframe.config import RESOLUTION_HOUR, RESOLUTION_QUARTER
@@ -147,6 +138,8 @@ def wide_points(readings: DataFrame, contracts: DataFrame, prices: DataFrame, si
     keep = ["time", "metering_point_code", "measure_type", "resolution_duration", "value",
             "measure_unit", "seq"] + (["raw_resolution"] if "raw_resolution" in r.columns else [])
     latest = attach_contract(last_write_wins(accepted(r).select(*keep)), contracts, settings)
+    if "type_tag" in prices.columns:
+        prices = a44_prices(prices)
     priced = attach_spot_price(latest, prices, hour_fallback=False)
     spot = F.coalesce(F.col("spot_eur_mwh"), F.lit(0.0))
     hour = local_hour("time", settings.tz)

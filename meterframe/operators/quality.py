@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.config import MEASURE_UNIT_MAX, RESOLUTION_HOUR, RESOLUTION_MAX, TAX_PERCENTAGE, Settings
+from meterframe.config import MEASURE_CONSUMPTION, MEASURE_UNIT_MAX, RESOLUTION_HOUR, RESOLUTION_MAX, TAX_PERCENTAGE, Settings
+from meterframe.functions import tariff
 from meterframe.operators.contracts import attach_contract
-from meterframe.operators.readings import REASON_NO_CONTRACT, reject_reason
+from meterframe.operators.readings import REASON_NO_CONTRACT, REASON_NO_TARIFF, reject_reason
 from meterframe.schemas import ENERGY_KEY
 
 NOT_NULL = ("time", "metering_point_code", "measure_type", "contract_type", "measure_unit",
@@ -47,12 +48,13 @@ def rejects(readings: DataFrame, contracts, settings: Settings = Settings()) ->
 
     Time and quantity checks come first, as in the reference.  A left range
     join against the single-cover segments finds readings with no or several
-    contracts; a reading matches at most one segment, so nothing fans out.
+    contracts, and consumption under contract type *none* (D5); a reading matches at most one segment, so nothing fans out.
     """
     early = reject_reason(readings)
     tagged = readings.withColumn("_early", early)
     joined = attach_contract(tagged, contracts, settings, how="left", attrs=False)
-    reason = F.coalesce(F.col("_early"), F.when(F.col("contract_type").isNull(), F.lit(REASON_NO_CONTRACT)))
+    reason = F.coalesce(F.col("_early"), F.when(F.col("contract_type").isNull(), F.lit(REASON_NO_CONTRACT)).when(
+        (F.col("measure_type") == MEASURE_CONSUMPTION) & (F.col("contract_type") == tariff.NONE), F.lit(REASON_NO_TARIFF)))
     return (joined.withColumn("reason", reason).where(F.col("reason").isNotNull())
             .drop("_early", "contract_type"))
 

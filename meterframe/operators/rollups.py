@@ -218,7 +218,7 @@ def rollup(energies: DataFrame, side: str, grain: str, settings: Settings = Sett
     return finish(states(_prepare(rows, bucket(grain, settings.tz)), keys, wide), side, grain)
 
 
-def _whole_hour_zone(tz: str) -> bool:
+def whole_hour_zone(tz: str) -> bool:
     """Whether every UTC offset of ``tz`` is a whole hour (checked on the driver)."""
     import datetime as dt
     from zoneinfo import ZoneInfo
@@ -246,7 +246,7 @@ def fine_states(energies: DataFrame, settings: Settings = Settings(), keep=None)
     cut = (quarter.withColumnRenamed("bucket", "time").where(cutover_filter(settings.cutover))
            .withColumnRenamed("time", "bucket"))
     hour = keep(coarsen(cut, hour_start, SIX_KEYS))
-    day_src = hour if _whole_hour_zone(settings.tz) else cut
+    day_src = hour if whole_hour_zone(settings.tz) else cut
     day = coarsen(day_src, lambda b: local_day_start(b, settings.tz), SIX_KEYS)
     return {"15min": q15, "hour": hour, "day": day}
 

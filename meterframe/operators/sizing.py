@@ -1,10 +1,9 @@
-"""Broadcast only behind a measured size bound."""
+"""Materialised and persisted intermediate tables."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -23,16 +22,3 @@ def measured(df: DataFrame) -> tuple[DataFrame, int]:
     mat = df.persist(StorageLevel.MEMORY_AND_DISK)
     return mat, mat.count()
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast when its row count is within ``max_rows``.
-
-    The count is measured unless the caller already holds a proven upper bound
-    (``known_rows``).  Beyond the bound the caller's join runs as a shuffle
-    join.  Returns the frame to join with and whether it is broadcast.
-    """
-    if known_rows is None:
-        df, known_rows = measured(df)
-    if known_rows <= max_rows:
-        return F.broadcast(df), True
-    return df, False

@@ -7,11 +7,10 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.config import GRAINS, LOCAL_TEXT_FORMAT, SIDES, Settings
+from meterframe.config import Settings
 from meterframe.functions.tariff import normalise_resolution
-from meterframe.functions.timeutil import local_to_utc, ntz_lit, parse_local, utc_to_local
+from meterframe.functions.timeutil import ntz_lit, parse_local, utc_to_local
 from meterframe.operators.pricing import build_energies
-from meterframe.operators.rollups import rollup
 from meterframe.sources import payloads as P
 
 _TS = "getconsumptionsresult.consumptiondata.timeseries"
@@ -49,11 +48,3 @@ def backfill(docs: DataFrame, start_local: str, stop_local: str, contracts, pric
     return energies_from_documents(documents_in_range(docs, start_local, stop_local, resolution),
                                    contracts, prices, settings)
 
-
-def refresh_all(energies: DataFrame, settings: Settings = Settings(), sides=tuple(SIDES)) -> dict[str, DataFrame]:
-    """Full refresh of the roll-ups of the given sides (ST-1, ST-2)."""
-    return {f"{side}_{grain}": rollup(energies, side, grain, settings) for side in sides for grain in GRAINS}
-
-
-__all__ = ["LOCAL_TEXT_FORMAT", "backfill", "documents_in_range", "energies_from_documents",
-           "load_range", "local_to_utc", "refresh_all"]

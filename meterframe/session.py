@@ -57,13 +57,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     The cluster names it; only when it is unset (local tests) a private folder
-    is created and registered.
+    is created and registered.  On a cluster an unset key is an error: executors
+    would each write to a folder of their own.
     """
     sc = spark.sparkContext
     current = sc.getConf().get(_CHECKPOINT_KEY, None) or spark.conf.get(_CHECKPOINT_KEY, None)
     if not current:
         current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="meterframe-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, current)
     sc.setCheckpointDir(current)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from meterframe.config import DEFAULT_TZ, MEASURE_CONSUMPTION
 from meterframe.functions import tariff
-from meterframe.functions.timeutil import utc_to_local
+from meterframe.functions.timeutil import ntz_lit, utc_to_local
 from meterframe.operators.readings import last_write_wins
 from meterframe.operators.sizing import materialise
 from meterframe.schemas import ENERGIES, ENERGY_COLUMNS, ENERGY_KEY
@@ -100,12 +100,17 @@ class EnergiesTable:
         from meterframe.operators.quality import apply_defaults
         df = apply_defaults(rows) if rows is not None else self.spark.createDataFrame([], ENERGIES)
         (for_write(self._with_partition(df.select(*ENERGY_COLUMNS)), [PARTITION], _SORT).write
-         .mode("overwrite").partitionBy(PARTITION).parquet(self.path))
+         .mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PARTITION).parquet(self.path))
         return self
 
-    def read(self, with_partition: bool = False) -> DataFrame:
+    def read(self, with_partition: bool = False, time_from=None, time_to=None) -> DataFrame:
+        """Facts, optionally of a closed UTC range: only the range's day folders are opened."""
         schema = T.StructType(ENERGIES.fields + [T.StructField(PARTITION, T.StringType())])
         df = self.spark.read.schema(schema).parquet(self.path)
+        for bound, inside in ((time_from, Column.__ge__), (time_to, Column.__le__)):
+            if bound is not None:
+                df = df.where(inside(F.col("time"), ntz_lit(bound)) &
+                              inside(F.col(PARTITION), day_of(ntz_lit(bound), self.tz)))
         return df if with_partition else df.select(*ENERGY_COLUMNS)
 
     def merge(self, batch: DataFrame) -> list[str]:
@@ -129,8 +134,13 @@ class EnergiesTable:
             b.unpersist()
 
     def backfill_resolution(self) -> None:
-        """Rewrite rows without a resolution as hourly (SNK-11)."""
+        """Rewrite rows without a resolution as hourly (SNK-11), in the days that hold such rows."""
         from meterframe.operators.quality import backfill_resolution
-        fixed = materialise(self._with_partition(backfill_resolution(self.read())))
+        rows = self.read(with_partition=True)
+        days = [r[0] for r in rows.where(F.col("resolution_duration").isNull()).select(PARTITION).distinct().collect()]
+        if not days:
+            return
+        old = rows.where(F.col(PARTITION).isin(days)).select(*ENERGY_COLUMNS)
+        fixed = materialise(self._with_partition(backfill_resolution(old)))
         for_write(fixed, [PARTITION], _SORT).write.mode("overwrite") \
             .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(self.path)

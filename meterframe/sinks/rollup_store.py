@@ -16,17 +16,20 @@ result equals a full refresh (tested).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterframe.config import GRAINS, SIDES, Settings
-from meterframe.functions.timeutil import utc_to_local
+from meterframe.config import SIDES, Settings
+from meterframe.functions.timeutil import ntz_lit, utc_to_local
 from meterframe.operators.rollups import (
-    THREE_KEYS, coarsen, fine_states, finish_all, local_month_start, local_year_start, rollup_columns,
+    THREE_KEYS, coarsen, fine_states, finish_all, local_month_start, local_year_start, rollup, rollup_columns,
+    whole_hour_zone,
 )
-from meterframe.operators.sizing import materialise
+from meterframe.schemas import ENERGIES
 from meterframe.sinks.layout import for_write
 
 PERIOD = "period"
@@ -41,27 +44,48 @@ def period_of(kind: str, time_col: str, tz: str):
 class RollupStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+        self._schemas: dict[str, T.StructType] = {}
 
     def path(self, side: str, grain: str) -> str:
         return f"{self.root}/{side}_{grain}"
 
-    def read(self, side: str, grain: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(side, grain)).select(*rollup_columns(side))
+    def read(self, side: str, grain: str, time_from=None, time_to=None) -> DataFrame:
+        """A roll-up, optionally of a closed UTC range: only the range's periods are opened."""
+        df = self._table(self.path(side, grain), self._schema(side)).select(*rollup_columns(side), PERIOD)
+        kind, tz = _GRAIN_PERIOD[grain], self.settings.tz
+        for bound, inside in ((time_from, Column.__ge__), (time_to, Column.__le__)):
+            if bound is not None:
+                period = F.date_format(utc_to_local(ntz_lit(bound), tz), _FORMATS[kind])
+                df = df.where(inside(F.col("time"), ntz_lit(bound)) & inside(F.col(PERIOD), period))
+        return df.drop(PERIOD)
+
+    def _table(self, path: str, schema: T.StructType) -> DataFrame:
+        """Given schema: empty tables can be read, and the period stays text."""
+        fields = [f for f in schema.fields if f.name != PERIOD]
+        return self.spark.read.schema(T.StructType([*fields, T.StructField(PERIOD, T.StringType())])).parquet(path)
 
-    def _write(self, df: DataFrame, path: str, kind: str, time_col: str, dynamic: bool) -> None:
+    def _schema(self, side: str) -> T.StructType:
+        if side not in self._schemas:
+            self._schemas[side] = rollup(self.spark.createDataFrame([], ENERGIES), side, "day", self.settings).schema
+        return self._schemas[side]
+
+    def _write(self, df: DataFrame, path: str, kind: str, time_col: str, periods: list[str] | None) -> None:
+        """Replace the given periods, or (None) the whole table; whatever the session's overwrite mode."""
         out = df.withColumn(PERIOD, period_of(kind, time_col, self.settings.tz))
+        if periods is not None:
+            out = out.where(F.col(PERIOD).isin(periods))
         out = for_write(out, [PERIOD], [time_col, "metering_point_code"])
-        w = out.write.mode("overwrite")
-        if dynamic:
-            w = w.option("partitionOverwriteMode", "dynamic")
-        w.partitionBy(PERIOD).parquet(path)
-
-    def _read_state(self, name: str, prefixes: list[str] | None) -> DataFrame:
-        df = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
-        # Partition values are kept as text (``2024-01`` would otherwise be read as a date).
-        if prefixes is not None:
-            n = len(prefixes[0]) if prefixes else 0
-            df = df.where(F.substring(F.col(PERIOD).cast("string"), 1, n).isin(prefixes))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "static" if periods is None else "dynamic")
+         .partitionBy(PERIOD).parquet(path))
+
+    def _read_state(self, like: DataFrame, name: str, parents: list[str] | None) -> DataFrame:
+        """A state table, or its periods below the given months or years."""
+        df = self._table(f"{self.root}/{name}", like.schema)
+        if parents:
+            inside = F.lit(False)
+            for p in parents:
+                inside = inside | F.col(PERIOD).startswith(f"{p}-")
+            df = df.where(inside)
         return df.drop(PERIOD)
 
     def _refresh(self, facts: DataFrame, days: list[str] | None, sides) -> None:
@@ -71,28 +95,27 @@ class RollupStore:
             kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
             return kept[-1]
 
-        dynamic = days is not None
         s = self.settings
+        months = sorted({d[:7] for d in days}) if days is not None else None
+        years = sorted({d[:4] for d in days}) if days is not None else None
         try:
             fine = fine_states(facts, s, keep)
             day = keep(fine["day"])
-            self._write(day, f"{self.root}/_day_state", "day", "bucket", dynamic)
+            self._write(day, f"{self.root}/_day_state", "day", "bucket", days)
             for name, df in finish_all(fine | {"day": day}, sides).items():
                 side, grain = name.split("_")
-                self._write(df, self.path(side, grain), "day", "time", dynamic)
-            months = sorted({d[:7] for d in days}) if dynamic else None
-            month = keep(coarsen(self._read_state("_day_state", months),
+                self._write(df, self.path(side, grain), "day", "time", days)
+            month = keep(coarsen(self._read_state(day, "_day_state", months),
                                  lambda b: local_month_start(b, s.tz), THREE_KEYS, wide=True))
-            self._write(month, f"{self.root}/_month_state", "month", "bucket", dynamic)
-            years = sorted({m[:4] for m in months}) if dynamic else None
-            year = coarsen(self._read_state("_month_state", years),
+            self._write(month, f"{self.root}/_month_state", "month", "bucket", months)
+            year = coarsen(self._read_state(month, "_month_state", years),
                            lambda b: local_year_start(b, s.tz), THREE_KEYS, wide=True)
             for name, df in finish_all({"month": month}, sides).items():
                 side, grain = name.split("_")
-                self._write(df, self.path(side, grain), "month", "time", dynamic)
+                self._write(df, self.path(side, grain), "month", "time", months)
             for name, df in finish_all({"year": year}, sides).items():
                 side, grain = name.split("_")
-                self._write(df, self.path(side, grain), "year", "time", dynamic)
+                self._write(df, self.path(side, grain), "year", "time", years)
         finally:
             for df in kept:
                 df.unpersist()
@@ -104,12 +127,22 @@ class RollupStore:
     def refresh_days(self, energies_with_day: DataFrame, days: list[str], sides=tuple(SIDES)) -> None:
         """Recompute what the local ``days`` (``yyyy-MM-dd``) touched (ST-6).
 
-        The fact scan reads only the days' partitions of the fact table.
+        The fact scan reads only the days' partitions of the fact table. Where
+        an hour crosses local midnight (zones off the whole hour), a fact also
+        changes the last hour of the day before, and a day's last hour holds
+        facts of the next day: both days are read, and only the changed days'
+        periods are replaced.
         """
         if not days:
             return
-        facts = energies_with_day.where(F.col("day").isin(list(days)))
-        self._refresh(materialise(facts), sorted(days), sides)
+        changed, fed = set(days), set(days)
+        if not whole_hour_zone(self.settings.tz):
+            changed |= {_shift(d, -1) for d in days}
+            fed = changed | {_shift(d, 1) for d in changed}
+        facts = energies_with_day.where(F.col("day").isin(sorted(fed)))
+        self._refresh(facts, sorted(changed), sides)
+
 
+def _shift(day: str, by: int) -> str:
+    return (dt.date.fromisoformat(day) + dt.timedelta(days=by)).isoformat()
 
-__all__ = ["GRAINS", "RollupStore", "period_of"]

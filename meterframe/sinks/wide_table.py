@@ -34,7 +34,9 @@ class WideTable:
     def read(self, kind: str | None = None) -> DataFrame:
         try:
             df = self.spark.read.schema(_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             df = self.spark.createDataFrame([], _SCHEMA)
         if kind is not None:
             df = df.where(F.col("kind") == kind)

@@ -78,6 +78,14 @@ def flatten(config: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
     ).where(F.col("side").isNotNull())
 
 
+def unusable(config: DataFrame) -> DataFrame:
+    """Contracts that ``flatten`` would lose: an unknown side or type, no start (a malformed line has none of them)."""
+    problem = (F.when(_side_code().isNull(), F.lit("unknown_side"))
+               .when(contract_type_code(F.col("contract_type")).isNull(), F.lit("unknown_contract_type"))
+               .when(F.col("start_time").isNull(), F.lit("no_start_time")))
+    return config.withColumn("problem", problem).where(F.col("problem").isNotNull())
+
+
 def bound_problems(config: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
     """Bounds that do not parse, or fall in a DST gap or overlap (O-5, O-6)."""
     out = None

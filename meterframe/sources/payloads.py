@@ -16,13 +16,11 @@ from pyspark.sql import types as T
 from meterframe import schemas
 from meterframe.config import DEFAULT_TZ, RESOLUTION_QUARTER
 from meterframe.functions.tariff import normalise_resolution, resolution_minutes
-from meterframe.operators.sizing import bounded_broadcast
 from meterframe.functions.timeutil import (
     add_steps, dst_gap, dst_overlap, local_day_start, local_to_utc, parse_local, utc_to_local,
 )
 
 CORRUPT = "_corrupt_record"
-MAX_BROADCAST_DAYS = 200_000
 PAYLOAD_READ = T.StructType(schemas.PAYLOAD.fields + [T.StructField(CORRUPT, T.StringType())])
 
 REQUIRED = {
@@ -46,7 +44,8 @@ def read_payloads(spark: SparkSession, path: str, measure_type: int, multi_line:
     last-write-wins; unknown JSON keys are ignored.
     """
     df = (spark.read.schema(PAYLOAD_READ).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path))
+          .option("columnNameOfCorruptRecord", CORRUPT).option("allowNonNumericNumbers", False)
+          .option("multiLine", multi_line).json(path))
     return df.select("*", F.lit(measure_type).alias("measure_type"),
                      F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_modification_time").alias("_file_time"))
@@ -58,7 +57,12 @@ def document_problem(doc: DataFrame) -> Column:
     for name, path in REQUIRED.items():
         reason = reason.when(F.col(path).isNull(), F.lit(f"missing {name}"))
     untimed = F.exists(F.col(_TSV), lambda e: e["time"].isNull())
-    return reason.when(untimed, F.lit("missing tsv.time"))
+    reason = reason.when(untimed, F.lit("missing tsv.time"))
+    # The spot block is optional; where it stands, it must hold a whole series.
+    spot = "getconsumptionsresult.spotdata"
+    for part in ("timeseries.start", "timeseries.stop", "timeseries.resolution", "timeseries.values.tsv"):
+        reason = reason.when(F.col(spot).isNotNull() & F.col(f"{spot}.{part}").isNull(), F.lit(f"missing spotdata.{part}"))
+    return reason
 
 
 def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,9 +198,6 @@ def _with_spot(docs: DataFrame, prices: DataFrame, tz: str):
     hourly = hourly.withColumn("slot", (_minutes_between(F.col("pday"), F.col("time")) / 60).cast("int"))
     per_day = hourly.groupBy("pday").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", F.col("price").cast("float")))).alias("pq"))
-    # One row per day with at most 25 prices: bounded by the time span, so it
-    # is broadcast (after counting) and documents are never shuffled by day.
-    per_day, _ = bounded_broadcast(per_day, MAX_BROADCAST_DAYS)
     d = docs.join(per_day, docs["day"] == per_day["pday"], "left")
     n_hours = (_minutes_between(F.col("day"), F.col("next_day")) / 60).cast("int")
 

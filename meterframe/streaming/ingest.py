@@ -28,7 +28,7 @@ def payload_stream(spark: SparkSession, landing_root: str, max_files_per_trigger
     sides = []
     for mt in (MEASURE_CONSUMPTION, MEASURE_PRODUCTION):
         r = (spark.readStream.schema(P.PAYLOAD_READ).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", P.CORRUPT))
+             .option("columnNameOfCorruptRecord", P.CORRUPT).option("allowNonNumericNumbers", False))
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", max_files_per_trigger)
         df = r.json(P.side_path(landing_root, mt))
@@ -52,8 +52,9 @@ def make_batch_handler(table: EnergiesTable, rollups: RollupStore, contracts, pr
         docs = batch.persist()
         try:
             good, rejected = P.split_documents(docs)
-            rejected.select("measure_type", "_file", "reason", P.CORRUPT).withColumn(
-                "epoch", F.lit(epoch_id)).write.mode("append").parquet(rejects_path)
+            # One folder per epoch, replaced as a whole: a replayed batch leaves one copy.
+            (rejected.select("measure_type", "_file", "reason", P.CORRUPT)
+             .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{rejects_path}/epoch={epoch_id}"))
             readings = P.explode_readings(good, settings.tz)
             # Both sinks run; a failing wide sink is reported and does not stop
             # the fact sink or the refresh (SNK-9, ST-3).

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from meterframe.operators.pricing import AmbiguousPriceError, attach_spot_price
+from meterframe.operators.pricing import AMBIGUOUS_PRICE, attach_spot_price
 from meterframe.schemas import PRICE_POINTS, PRICES
 from meterframe.session import work_path
 from meterframe.sources.prices import point_prices, read_day_ahead_prices, read_price_points
@@ -36,5 +36,17 @@ def test_exact_then_hour_fallback_and_duplicates(spark):
     wide = {r.time: r.p for r in attach_spot_price(readings, prices, hour_fallback=False, out="p").collect()}
     assert wide[times[2]] is None
     dup = prices.unionByName(spark.createDataFrame([(H, 41.0)], PRICES))
-    with pytest.raises(AmbiguousPriceError):
-        attach_spot_price(readings, dup)
+    with pytest.raises(Exception, match=AMBIGUOUS_PRICE[:30]):
+        attach_spot_price(readings, dup).collect()
+    # A duplicate at a time that no reading looks up does no harm.
+    unused = prices.unionByName(spark.createDataFrame([(H - dt.timedelta(hours=3), 1.0)] * 2, PRICES))
+    assert {r.time: r.p for r in attach_spot_price(readings, unused, out="p").collect()} == got
+
+
+def test_new_price_file_is_seen(spark):
+    path = work_path(spark, "test-prices-new")
+    readings = spark.createDataFrame([(H,)], "time timestamp_ntz")
+    spark.createDataFrame([(H + dt.timedelta(hours=5), 1.0)], PRICES).write.parquet(path)
+    assert attach_spot_price(readings, read_day_ahead_prices(spark, path), out="p").first().p is None
+    spark.createDataFrame([(H, 7.0)], PRICES).write.mode("append").parquet(path)
+    assert attach_spot_price(readings, read_day_ahead_prices(spark, path), out="p").first().p == 7.0

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from meterframe.config import Settings
 from meterframe.operators.rollups import rollup, rollup_columns
 from meterframe.plans import catalog
 from meterframe.session import work_path
@@ -66,3 +67,53 @@ def test_chained_equals_direct(spark, energies):
     for side in ("consumption", "production"):
         for grain in ("15min", "hour", "day", "month", "year"):
             assert _rows(chained[f"{side}_{grain}"]) == _rows(rollup(energies, side, grain)), (side, grain)
+
+
+def test_refetch_refresh_in_a_half_hour_zone(spark, energies):
+    """Rows of the same days, months and years come in two batches; hours cross local midnight."""
+    s = Settings(tz="Asia/Kolkata")
+    late = F.pmod(F.xxhash64("time", "metering_point_code"), F.lit(40)) == 0
+    table = EnergiesTable(spark, work_path(spark, "test-half"), s.tz).create(energies.where(~late))
+    inc = RollupStore(spark, work_path(spark, "test-half-rollups"), s)
+    inc.refresh_full(table.read())
+    days = table.merge(energies.where(late).withColumn("value", F.col("value") * 2))
+    inc.refresh_days(table.read(with_partition=True), days)
+    full = RollupStore(spark, work_path(spark, "test-half-full"), s)
+    full.refresh_full(table.read())
+    for grain in ("15min", "hour", "day", "month", "year"):
+        assert _rows(inc.read("consumption", grain)) == _rows(full.read("consumption", grain)), grain
+
+
+def test_rebuild_replaces_whatever_the_overwrite_mode(spark, energies):
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        one = energies.where(F.to_date("time") == F.lit("2024-01-05"))
+        table = EnergiesTable(spark, work_path(spark, "test-rebuild")).create(energies)
+        store = RollupStore(spark, work_path(spark, "test-rebuild-rollups"))
+        store.refresh_full(table.read())
+        table.create(one)
+        store.refresh_full(table.read())
+        assert table.read().count() == one.count()
+        assert _rows(store.read("consumption", "day")) == _rows(rollup(one, "consumption", "day"))
+        store.refresh_full(table.read().limit(0))
+        assert store.read("consumption", "hour").count() == 0
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_range_reads_open_only_their_days(spark, energies):
+    import contextlib
+    import datetime as dt
+    import io
+
+    table = EnergiesTable(spark, work_path(spark, "test-range")).create(energies)
+    lo, hi = dt.datetime(2024, 1, 4, 23), dt.datetime(2024, 1, 5, 12)
+    got = table.read(time_from=lo, time_to=hi)
+    want = energies.where((F.col("time") >= F.lit(str(lo)).cast("timestamp_ntz")) & (F.col("time") <= F.lit(str(hi)).cast("timestamp_ntz")))
+    assert got.count() == want.count() > 0
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        got.explain()
+    assert "PartitionFilters: [isnotnull(day" in out.getvalue()

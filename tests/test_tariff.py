@@ -97,12 +97,12 @@ def test_contract_type_codes(spark):
     assert tuple(row) == (4, "spot", None)
 
 
-def test_large_contract_tables_use_day_keys(spark, contracts):
+def test_contract_join_keys_by_day(spark, contracts):
     times = [dt.datetime(2014, 5, 31, 22), dt.datetime(2019, 12, 31, 22), dt.datetime(2013, 8, 1)]
-    small = Settings(max_broadcast_segments=1)
-    a = sorted((r.time, r.contract_type) for r in C.attach_contract(_readings(spark, times), contracts, small).collect())
-    b = sorted((r.time, r.contract_type) for r in C.attach_contract(_readings(spark, times), contracts).collect())
-    assert a == b == [(times[0], 2), (times[1], 3)]
+    got = sorted((r.time, r.contract_type) for r in C.attach_contract(_readings(spark, times), contracts).collect())
+    assert got == [(times[0], 2), (times[1], 3)]
+    left = C.attach_contract(_readings(spark, times), contracts, how="left_anti").collect()
+    assert [r.time for r in left] == [times[2]]
 
 
 def test_rejects_one_scan(spark, contracts):
