@@ -13,7 +13,8 @@ at least ``num / den``. Sets are 64-bit hashes of n-grams, sorted.
    visits the next band's tile). No tile is paired among itself at first: each
    class is held against the tile's smallest one, and links give components.
 3. Tiles that still hold several components are cut into blocks of at most
-   ``TILE_ROWS`` classes, block against block. Each class has a hashed bitmap of its
+   ``TILE_ROWS`` classes, block against block. Two passes test only a spanning
+   forest of a block's components (the most alike first), a last one all that is left. Each class has a hashed bitmap of its
    set: ``|A ^ B| >= popcount(a ^ b)``, so bit counts bound the overlap from
    above. Pairs of different components that the bound and the sizes leave are
    intersected exactly, as sorted arrays.
@@ -154,54 +155,52 @@ def exact_links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     return both.select("a", "b", "keys_a", "keys_b").mapInArrow(check, "a long, b long")
 
 
-def tile_pairs(rows: dict, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of one tile that sizes and bit counts leave: different components, one at home, not yet tested."""
-    out = []
+def tile_pairs(rows: dict, num: int, den: int, forest: bool) -> np.ndarray:
+    """Pairs of one tile that sizes and bit counts leave: different components, one at home, not yet tested.
+
+    With ``forest`` only those of a spanning forest of the components, the most
+    alike first: fewer than the tile has rows.
+    """
     sig = np.frombuffer(b"".join(rows["signature"]), dtype="<u8").reshape(len(rows["uid"]), -1)
     uid, size, comp, home, side, first = (np.array(rows[c]) for c in ("uid", "n_shingles", "comp", "home", "side", "first"))
+    left, right, room = [], [], []
     for i in range(len(uid)):
-        other = np.flatnonzero((comp != comp[i]) & (uid > uid[i]) & (home | home[i]) & (first != uid[i]) & (uid != first) &
+        if uid[i] == first[i]:
+            continue
+        other = np.flatnonzero((comp != comp[i]) & (uid > uid[i]) & (home | home[i]) & (uid != first) &
                                ((side != side[i]) | (side == 2)))
-        if uid[i] == first[i] or not len(other):
+        if not len(other):
             continue
         bits = np.bitwise_count(sig[other] ^ sig[i]).sum(axis=1).astype(np.int64)
         total = size[other] + size[i]
         need = -(-num * total // (num + den))
-        ok = ((total - bits) // 2 >= need) & (np.minimum(size[other], size[i]) >= need)
-        out += [(int(uid[i]), int(uid[j])) for j in other[ok]]
-    return out
-
-
-def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(uid, doc_id, tag, n_shingles, component_id) for each row of ``docs``."""
-    if not (n >= 1 and 0 < num <= den):
-        raise ValueError("n must be positive and the similarity above 0 and at most 1")
-    sets = document_sets(docs, n, num, den)
-    may = sets.where(F.col("set_key").isNotNull())
-    classes_of = may.groupBy("set_key").agg(F.min("uid").alias("class"))
-    member = may.select("uid", "doc_id", "set_key").join(classes_of, "set_key").select("uid", "doc_id", "class")
-    member, _ = stage(member, "set-members")
-    classes = may.join(member.where(F.col("uid") == F.col("class")).select("uid"), "uid", "left_semi")
-    classes, _ = stage(classes.select("uid", "n_shingles", "keys", "signature", "prefix"), "set-classes")
-
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n_shingles").cast("int")
-    places = classes.select("uid", "n_shingles", "signature", F.explode("prefix").alias("token"), band.alias("own"))
-    visits = F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")),
-                     F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))
-    slim = places.select("uid", "n_shingles", "token", F.explode(visits).alias("x")).select(
-        "uid", "n_shingles", "token", F.col("x.band").alias("band"), F.col("x.home").alias("home"))
-    tiles = slim.groupBy("token", "band").agg(
-        F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("home"), F.col("uid"))).alias("first")).where(
-        (F.col("rows") > 1) & F.col("first").isNotNull())
-    placed, _ = stage(slim.join(tiles, ["token", "band"]), "tiles")
-    stars = (placed.where(F.col("uid") != F.col("first"))
-             .select(F.least("uid", "first").alias("a"), F.greatest("uid", "first").alias("b")).distinct())
-    links, _ = stage(exact_links(stars, classes, num, den), "star-links")
-    found = components(links)
-
-    placed = placed.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
-    placed, _ = stage(placed.drop("component"), "tiles-known")
-    mixed = placed.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
+        most = np.minimum((total - bits) // 2, np.minimum(size[other], size[i]))
+        ok = most >= need
+        left.append(np.full(int(ok.sum()), i)), right.append(other[ok]), room.append((most - need)[ok])
+    if not left:
+        return np.zeros((0, 2), dtype=np.int64)
+    left, right, room = np.concatenate(left), np.concatenate(right), np.concatenate(room)
+    if forest:
+        root: dict = {}
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+        keep = []
+        for e in np.argsort(-room, kind="stable"):
+            a, b = find(comp[left[e]]), find(comp[right[e]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                keep.append(e)
+        left, right = left[keep], right[keep]
+    return np.stack([uid[left], uid[right]], axis=1)
+
+
+def _tiles_to_pairs(placed: DataFrame, found: DataFrame, classes: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs to test in tiles that hold several components (``found``: node, component)."""
+    known = placed.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
+    known, _ = stage(known.drop("component"), "tiles-known")
+    mixed = known.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
         F.col("lo") != F.col("hi")).select("token", "band")
     blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
     mine = F.pmod(F.xxhash64("uid"), blocks).cast("int")
@@ -210,7 +209,7 @@ def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(
         F.least(i, F.col("mine")).alias("one"), F.greatest(i, F.col("mine")).alias("two"),
         F.when(i == F.col("mine"), 2).when(F.col("mine") < i, 0).otherwise(1).alias("side")))
-    todo = (placed.join(mixed, ["token", "band"]).withColumn("mine", mine).withColumn("meet", F.explode(meets))
+    todo = (known.join(mixed, ["token", "band"]).withColumn("mine", mine).withColumn("meet", F.explode(meets))
             .select("token", "band", "meet.one", "meet.two", "meet.side", "uid", "n_shingles", "comp", "home", "first")
             .join(classes.select("uid", "signature"), "uid"))
     keys = ["token", "band", "one", "two"]
@@ -220,9 +219,8 @@ def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         names = ["uid", "n_shingles", "comp", "home", "first", "side", "signature"]
 
         def flush():
-            pairs = tile_pairs(held, num, den) if held else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()),
-                                               "b": pa.array([p[1] for p in pairs], pa.int64())})
+            pairs = tile_pairs(held, num, den, forest)
+            return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
         now = None
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in [*keys, *names]}
@@ -236,9 +234,43 @@ def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if now is not None:
             yield flush()
 
-    pairs = todo.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
-    more, _ = stage(exact_links(pairs, classes, num, den), "tile-links")
-    final = components(links.unionByName(more))
+    return todo.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+
+
+def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(uid, doc_id, tag, n_shingles, component_id) for each row of ``docs``."""
+    if not (n >= 1 and 0 < num <= den):
+        raise ValueError("n must be positive and the similarity above 0 and at most 1")
+    sets = document_sets(docs, n, num, den)
+    may = sets.where(F.col("set_key").isNotNull())
+    classes_of = may.groupBy("set_key").agg(F.min("uid").alias("class"))
+    member = may.select("uid", "doc_id", "set_key").join(classes_of, "set_key").select("uid", "doc_id", "class")
+    member, _ = stage(member, "set-members")
+    classes = may.join(member.where(F.col("uid") == F.col("class")).select("uid"), "uid", "left_semi")
+    classes, _ = stage(classes.select("uid", "n_shingles", "keys", "signature", "prefix"), "set-classes")
+
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n_shingles").cast("int")
+    places = classes.select("uid", "n_shingles", "signature", F.explode("prefix").alias("token"), band.alias("own"))
+    visits = F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")),
+                     F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))
+    slim = places.select("uid", "n_shingles", "token", F.explode(visits).alias("x")).select(
+        "uid", "n_shingles", "token", F.col("x.band").alias("band"), F.col("x.home").alias("home"))
+    tiles = slim.groupBy("token", "band").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("home"), F.col("uid"))).alias("first")).where(
+        (F.col("rows") > 1) & F.col("first").isNotNull())
+    placed, _ = stage(slim.join(tiles, ["token", "band"]), "tiles")
+    stars = (placed.where(F.col("uid") != F.col("first"))
+             .select(F.least("uid", "first").alias("a"), F.greatest("uid", "first").alias("b")).distinct())
+    links, _ = stage(exact_links(stars, classes, num, den), "star-links")
+    found = components(links)
+
+    # Spanning forests first (linear), so that only components that seem apart
+    # are left for the pass that tests whatever remains.
+    for forest in (True, True, False):
+        more, _ = stage(exact_links(_tiles_to_pairs(placed, found, classes, num, den, forest), classes, num, den), "tile-links")
+        # A component's star and the new links between components.
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    final = found
     named = member.join(final.select(F.col("node").alias("class"), "component"), "class", "left")
     named = named.withColumn("comp", F.coalesce("component", "class"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("least_id"))
