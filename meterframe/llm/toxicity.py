@@ -65,12 +65,19 @@ class Index:
         filled = sorted((x for x in found if x[2]), key=lambda x: (sorted(x[2], key=lambda t: -idf[t]), x[0], x[1]))
         self.ids = np.array([x[0] for x in filled], dtype=np.int64)
         self.labels = np.array([x[1] for x in filled], dtype=np.int64)
-        self.x = np.zeros((len(filled), len(idf)))
-        for row, (_, _, tf) in zip(self.x, filled):
-            t, w = self.vector(tf)
+        # Examples with equal vectors are one row of the index; each row's first
+        # k + 1 examples (by id) are all that a search can ask for.
+        rows: dict = {}
+        self.of = np.array([rows.setdefault(tuple(sorted(tf.items())), len(rows)) for _, _, tf in filled], dtype=np.int64)
+        self.rows = np.zeros((len(rows), len(idf)))
+        for row, tf in zip(self.rows, rows):
+            t, w = self.vector(dict(tf))
             row[t] = w
-        n = -(-len(filled) // s.block)
-        self.best = np.stack([self.x[b * s.block:(b + 1) * s.block].max(axis=0) for b in range(n)]) if n else None
+        self.members = [np.flatnonzero(self.of == r) for r in range(len(rows))]
+        self.members = [m[np.argsort(self.ids[m], kind="stable")][:s.k + 1] for m in self.members]
+        self.held = np.array([len(m) for m in self.members], dtype=np.int64)
+        n = -(-len(rows) // s.block)
+        self.best = np.stack([self.rows[b * s.block:(b + 1) * s.block].max(axis=0) for b in range(n)]) if n else None
         n_of = {y: max(1, sum(x[1] == y for x in found)) for y in (0, 1)}
         #: Rows of the population that one example stands for.
         self.stands = np.array([rate[0] / n_of[0], rate[1] / n_of[1]])
@@ -84,21 +91,36 @@ class Index:
         w = np.array([1 + np.log(tf[i]) for i in t]) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
+    @property
+    def x(self) -> np.ndarray:
+        """The examples' vectors."""
+        return self.rows[self.of]
+
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest, exact."""
+        """Examples and cosines of the k nearest, exact."""
         bound = self.best[:, t] @ w
+        order = np.argsort(-bound, kind="stable")
         rows, cos, bar = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < bar - 1e-12:
+        for at in range(0, len(order), 4):
+            some = order[at:at + 4]
+            some = some[(bound[some] > 0) & (bound[some] >= bar - 1e-12)]
+            if not len(some):
                 break
-            lo = b * self.size
-            c = self.x[lo:lo + self.size, t] @ w
-            r = np.flatnonzero(c > 0)
-            rows, cos = np.concatenate([rows, r + lo]), np.concatenate([cos, c[r]])
-            best = np.lexsort((self.ids[rows], -np.round(cos, 12)))[:k]
-            rows, cos = rows[best], cos[best]
-            bar = cos[-1] if len(cos) == k else 0.0
-        return rows, cos
+            near = (some[:, None] * self.size + np.arange(self.size)).ravel()
+            near = near[near < len(self.rows)]
+            c = self.rows[np.ix_(near, t)] @ w
+            rows, cos = np.concatenate([rows, near[c > 0]]), np.concatenate([cos, c[c > 0]])
+            best = np.argsort(-cos, kind="stable")
+            enough = np.flatnonzero(np.cumsum(self.held[rows[best]]) >= k)
+            bar = cos[best[enough[0]]] if len(enough) else 0.0
+            stay = cos >= bar - 1e-12
+            rows, cos = rows[stay], cos[stay]
+        if not len(rows):
+            return rows, cos
+        found = np.concatenate([self.members[r] for r in rows])
+        cos = np.repeat(cos, self.held[rows])
+        best = np.lexsort((self.ids[found], -np.round(cos, 12)))[:k]
+        return found[best], cos[best]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         if not len(rows):
@@ -108,10 +130,12 @@ class Index:
 
     def calibrate(self) -> None:
         """Monotone steps from leave-one-out votes to the share labelled 1."""
-        votes, labels = [], []
+        votes, labels, near = [], [], {}
         for i in range(len(self.ids)):
-            t = np.flatnonzero(self.x[i])
-            rows, cos = self.nearest(t, self.x[i, t], self.k + 1)
+            t = np.flatnonzero(self.rows[self.of[i]])
+            if self.of[i] not in near:
+                near[self.of[i]] = self.nearest(t, self.rows[self.of[i], t], self.k + 1)
+            rows, cos = near[self.of[i]]
             other = rows != i
             votes.append(self.vote(rows[other][:self.k], cos[other][:self.k])), labels.append(int(self.labels[i]))
         order = np.argsort(votes, kind="stable")
