@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from meterframe.llm.blocks import Block, answered, count_keys, mix, rows_of, token_blocks
 from meterframe.llm.common import discard, stage
-from meterframe.llm.components import components
+from meterframe.llm.components import components, join_components
 
 SIGNATURE_BITS = 1024
 TILE_ROWS = 1024
@@ -268,10 +268,8 @@ def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     # are left for the pass that tests whatever remains.
     for forest in (True, True, False):
         more, _ = stage(exact_links(_tiles_to_pairs(placed, found, classes, num, den, forest), classes, num, den), "tile-links")
-        # A component's star and the new links between components.
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    final = found
-    named = member.join(final.select(F.col("node").alias("class"), "component"), "class", "left")
+        found = join_components(found, more)
+    named = member.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     named = named.withColumn("comp", F.coalesce("component", "class"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("least_id"))
     names = named.join(least, "comp").select("uid", F.col("least_id"), F.lit(True).alias("known"))

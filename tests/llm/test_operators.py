@@ -100,6 +100,16 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_joined_by_later_links(spark):
+    found = components.components(spark.createDataFrame([(1, 2), (2, 3), (5, 6), (8, 9)], "a long, b long"))
+    links = spark.createDataFrame([(3, 6), (6, 7), (20, 21), (3, 1)], "a long, b long")
+    got = {r.node: r.component for r in components.join_components(found, links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8, 20: 20, 21: 20}
+    none = links.where("a < 0")
+    assert components.join_components(found, none).count() == found.count()
+    assert components.join_components(components.components(none), links).count() == 6
+
+
 def test_lm_base_and_model(spark):
     rng = np.random.default_rng(3)
     docs = [(i, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, 80) % 200)) for i in range(150)]
