@@ -69,15 +69,16 @@ class Index:
         # k + 1 examples (by id) are all that a search can ask for.
         rows: dict = {}
         self.of = np.array([rows.setdefault(tuple(sorted(tf.items())), len(rows)) for _, _, tf in filled], dtype=np.int64)
-        self.rows = np.zeros((len(rows), len(idf)))
-        for row, tf in zip(self.rows, rows):
+        n = -(-len(rows) // s.block)
+        # Postings: each term's weights, block after block (the last one filled up with zeros).
+        self.postings = np.zeros((len(idf), n, s.block))
+        for r, tf in enumerate(rows):
             t, w = self.vector(dict(tf))
-            row[t] = w
+            self.postings[t, r // s.block, r % s.block] = w
         self.members = [np.flatnonzero(self.of == r) for r in range(len(rows))]
         self.members = [m[np.argsort(self.ids[m], kind="stable")][:s.k + 1] for m in self.members]
         self.held = np.array([len(m) for m in self.members], dtype=np.int64)
-        n = -(-len(rows) // s.block)
-        self.best = np.stack([self.rows[b * s.block:(b + 1) * s.block].max(axis=0) for b in range(n)]) if n else None
+        self.best = self.postings.max(axis=2).T if n else None
         n_of = {y: max(1, sum(x[1] == y for x in found)) for y in (0, 1)}
         #: Rows of the population that one example stands for.
         self.stands = np.array([rate[0] / n_of[0], rate[1] / n_of[1]])
@@ -91,6 +92,12 @@ class Index:
         w = np.array([1 + np.log(tf[i]) for i in t]) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
+    @property
+    def rows(self) -> np.ndarray:
+        """The distinct vectors."""
+        terms, blocks, size = self.postings.shape
+        return self.postings.reshape(terms, blocks * size).T[:len(self.members)]
+
     @property
     def x(self) -> np.ndarray:
         """The examples' vectors."""
@@ -100,21 +107,23 @@ class Index:
         """Examples and cosines of the k nearest, exact."""
         bound = self.best[:, t] @ w
         order = np.argsort(-bound, kind="stable")
-        rows, cos, bar = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for at in range(0, len(order), 4):
-            some = order[at:at + 4]
+        rows, cos, bar, at, step = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 0, 8
+        while at < len(order):
+            some = order[at:at + step]
+            at, step = at + step, 2 * step
             some = some[(bound[some] > 0) & (bound[some] >= bar - 1e-12)]
             if not len(some):
                 break
-            near = (some[:, None] * self.size + np.arange(self.size)).ravel()
-            near = near[near < len(self.rows)]
-            c = self.rows[np.ix_(near, t)] @ w
-            rows, cos = np.concatenate([rows, near[c > 0]]), np.concatenate([cos, c[c > 0]])
+            c = np.tensordot(w, self.postings[np.ix_(t, some)], 1).ravel()
+            near = np.flatnonzero((c > 0) & (c >= bar - 1e-12))
+            rows = np.concatenate([rows, some[near // self.size] * self.size + near % self.size])
+            cos = np.concatenate([cos, c[near]])
             best = np.argsort(-cos, kind="stable")
             enough = np.flatnonzero(np.cumsum(self.held[rows[best]]) >= k)
-            bar = cos[best[enough[0]]] if len(enough) else 0.0
-            stay = cos >= bar - 1e-12
-            rows, cos = rows[stay], cos[stay]
+            if len(enough):
+                bar = cos[best[enough[0]]]
+                stay = cos >= bar - 1e-12
+                rows, cos = rows[stay], cos[stay]
         if not len(rows):
             return rows, cos
         found = np.concatenate([self.members[r] for r in rows])
@@ -130,11 +139,12 @@ class Index:
 
     def calibrate(self) -> None:
         """Monotone steps from leave-one-out votes to the share labelled 1."""
-        votes, labels, near = [], [], {}
+        votes, labels, near, every = [], [], {}, self.rows
         for i in range(len(self.ids)):
-            t = np.flatnonzero(self.rows[self.of[i]])
             if self.of[i] not in near:
-                near[self.of[i]] = self.nearest(t, self.rows[self.of[i], t], self.k + 1)
+                vector = every[self.of[i]]
+                t = np.flatnonzero(vector)
+                near[self.of[i]] = self.nearest(t, vector[t], self.k + 1)
             rows, cos = near[self.of[i]]
             other = rows != i
             votes.append(self.vote(rows[other][:self.k], cos[other][:self.k])), labels.append(int(self.labels[i]))
