@@ -71,8 +71,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that fill four fifths of the tokens by the target weights, each once."""
     mix = mixing.Mix(LEVELS, WEIGHTS, share=0.8, max_epochs=1)
-    chosen = mixing.choose(docs.withColumn("domain", domain()), mix)
-    return chosen.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)),
+                       "doc_id", "text", "lang", "source", domain().alias("domain"))
+    return mixing.choose(rows, mix).select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
