@@ -1,16 +1,23 @@
 """Line dedup by pairwise alignment.
 
-A document overlaps an earlier one if they share lines. For each line hash that
-occurs in two documents or more, every later holder is paired with the earliest
-one, so a line gives one pair for each holder however common it is, and no group
-of holders is paired among itself. A later document's rarest shared lines name
-its partners first; a pair found through several lines is aligned once.
+A document overlaps an earlier one if they share lines. Partners are found by
+keys: the hash of each line, and of the shortest runs of lines that hold
+``min_block_words`` words and begin or end at a line (every line of a common
+block lies in such a run). Every later holder of a key is paired with the
+earliest one, so a key gives one pair for each holder however common it is; a pair
+found through several keys is aligned once. Where the earliest holder has
+passages in another order, that pair leaves some of them: a document with a
+shared run that is not wholly deleted is then paired with all other earlier
+holders of the run. Holders whose shared lines stand alike are aligned alike, so the
+earliest of them is enough. Together the deletions are those of the pairs of all
+documents.
 
 Each pair is aligned with patience diff over line hashes: common ends, then the
 longest ascending run of lines that are unique in both, then the gaps between
 them. Runs of aligned lines that hold at least ``min_block_words`` words are
 common blocks; they are deleted from the later document. The deletions of all
-its pairs add up.
+its pairs add up. A run that no pair aligns stays, and the number of its pairs
+follows its holders that differ in their shared lines.
 
 Order of documents: by doc_id (null last), then by the hash of the text. Rows
 that agree in doc_id and text are one document: each of them gets its result.
@@ -21,6 +28,7 @@ table gives no rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 
 import numpy as np
@@ -89,6 +97,79 @@ def blocks_to_delete(later: np.ndarray, earlier: np.ndarray, words: np.ndarray,
     return out
 
 
+def runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the shortest runs of lines with ``min_words`` words: one begins and one ends at each line.
+
+    So every line of a common block lies in a run inside the block.
+    """
+    upto = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    ends = np.searchsorted(upto, upto[:-1] + min_words, "left")
+    starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    at = np.arange(len(words))
+    return np.r_[at[ends < len(upto)], starts[starts >= 0]], np.r_[ends[ends < len(upto)], at[starts >= 0] + 1]
+
+
+def run_keys(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the lines of each run; a single line keeps its own."""
+    odd = 0x9E3779B97F4A7C15
+    powers = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), x, dtype=np.uint64)], dtype=np.uint64)
+    up, down = powers(odd), powers(pow(odd, -1, 1 << 64))
+    sums = np.r_[np.uint64(0), np.cumsum(hashes.view(np.uint64) * up[:-1], dtype=np.uint64)]
+    length = (end - first - 1).astype(np.uint64)
+    return ((sums[end] - sums[first]) * down[first] + length * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+
+
+def _arrays(batch: pa.RecordBatch, *names: str):
+    """The named list columns of each row."""
+    cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    for r in range(batch.num_rows):
+        yield tuple(c[r].values.to_numpy(zero_copy_only=False) for c in cols)
+
+
+def _uncovered(hits: DataFrame, one: DataFrame, gone: DataFrame, doc_type: str, min_words: int) -> DataFrame:
+    """(doc, key, first) of shared runs that the pairs with the earliest holders have not wholly deleted."""
+    later = hits.where(F.col("doc") != F.col("first")).groupBy("doc").agg(F.collect_list(F.struct("key", "first")).alias("hit"))
+    none = F.array().cast("array<int>")
+    state = (later.select("doc", F.col("hit.key").alias("keys")).join(one, "doc").join(gone, "doc", "left")
+             .select("doc", "keys", "hash", "words", "line", F.coalesce("removed", none).alias("removed")))
+
+    def missed(batches):
+        for batch in batches:
+            found = []
+            for keys, h, w, line, removed in _arrays(batch, "keys", "hash", "words", "line", "removed"):
+                first, end = runs(w, min_words)
+                kept = np.r_[0, np.cumsum(~np.isin(line, removed))]
+                open_ = kept[end] > kept[first]
+                found.append(np.intersect1d(run_keys(h, first[open_], end[open_]), keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "keys"])
+
+    open_keys = state.mapInArrow(missed, f"doc {doc_type}, keys array<bigint>").select("doc", F.explode("keys").alias("key"))
+    return open_keys.join(hits, ["doc", "key"])
+
+
+def _classes(holders: DataFrame, hits: DataFrame, one: DataFrame, doc_type: str) -> DataFrame:
+    """(key, other): the earliest of the holders that every other document is aligned with alike.
+
+    Lines of one document only match nothing, so a document is to others what its
+    shared lines are, with a mark where such lines stand between them.
+    """
+    lines = (hits.join(holders.select("doc").distinct(), "doc", "left_semi")
+             .groupBy("doc").agg(F.collect_list("key").alias("keys")).join(one.select("doc", "hash"), "doc"))
+
+    def outline(batches):
+        for batch in batches:
+            found = []
+            for keys, h in _arrays(batch, "keys", "hash"):
+                own = ~np.isin(h, keys)
+                stay = ~own | np.r_[True, ~own[:-1]]
+                found.append(hashlib.blake2b(np.where(own, 0, h)[stay].tobytes() + own[stay].tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "outline"])
+
+    outlines = lines.mapInArrow(outline, f"doc {doc_type}, outline binary")
+    least = holders.select("doc", "key").join(outlines, "doc").groupBy("key", "outline").agg(F.min("doc").alias("other"))
+    return least.select("key", "other")
+
+
 def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, text): lines numbered from 0, text without the removed ones."""
     lines = F.split("text", "\n", -1)
@@ -100,30 +181,46 @@ def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     slim = (rows.where(F.col("text").isNotNull()).select(F.struct(*row_key()).alias("doc"), full.alias("f"))
             .select("doc", F.col("f.line").alias("line"), F.col("f.hash").alias("hash"), F.col("f.words").alias("words"))
             .where(F.size("hash") > 0))
-    slim, _ = stage(slim, "lines")
-    held = slim.select("doc", F.explode(F.array_distinct("hash")).alias("hash"))
-    shared = (held.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+
+    def with_keys(batches):
+        for batch in batches:
+            keys = []
+            for h, w in _arrays(batch, "hash", "words"):
+                keys.append(np.unique(np.r_[h, run_keys(h, *runs(w, min_block_words))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
+
+    doc_type = slim.schema["doc"].dataType.simpleString()
+    slim, _ = stage(slim.mapInArrow(with_keys, f"doc {doc_type}, line array<int>, hash array<bigint>, words array<int>, keys array<bigint>"),
+                    "lines")
+    held = slim.select("doc", F.explode("keys").alias("key"))
+    shared = (held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .where(F.col("first") != F.col("last")).drop("last"))
-    pairs = (held.join(shared, "hash").where(F.col("doc") != F.col("first"))
-             .groupBy("doc", "first").agg(F.count(F.lit(1)).alias("shared_lines")))
-    one = slim.groupBy("doc").agg(F.first("hash").alias("hash"), F.first("words").alias("words"), F.first("line").alias("line"))
-    later = one.select("doc", F.col("hash").alias("b"), "words", "line")
-    earlier = one.select(F.col("doc").alias("first"), F.col("hash").alias("a"))
-    both = pairs.join(later, "doc").join(earlier, "first").select("doc", "a", "b", "words", "line")
+    hits, _ = stage(held.join(shared, "key"), "line-hits")
+    one = slim.select("doc", "hash", "words", "line").dropDuplicates(["doc"])
 
     def align(batches):
         for batch in batches:
-            cols = [batch.column(i) for i in range(1, 5)]
-            found = []
-            for r in range(batch.num_rows):
-                a, b, words, line = (c[r].values.to_numpy(zero_copy_only=False) for c in cols)
-                found.append([int(line[i]) for i in blocks_to_delete(b, a, words, min_block_words)])
+            found = [[int(line[i]) for i in blocks_to_delete(b, a, words, min_block_words)]
+                     for a, b, words, line in _arrays(batch, "a", "b", "words", "line")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc", "removed"])
 
-    schema = f"doc {both.schema['doc'].dataType.simpleString()}, removed array<int>"
-    gone = (both.mapInArrow(align, schema).where(F.size("removed") > 0)
-            .groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
-            .select(*(F.col(f"doc.{c}").alias(c) for c in KEY), "removed"))
+    def deletions(pairs: DataFrame) -> DataFrame:
+        later = one.select("doc", F.col("hash").alias("b"), "words", "line")
+        earlier = one.select(F.col("doc").alias("first"), F.col("hash").alias("a"))
+        both = pairs.join(later, "doc").join(earlier, "first").select("doc", "a", "b", "words", "line")
+        return both.mapInArrow(align, f"doc {doc_type}, removed array<int>").where(F.size("removed") > 0)
+
+    def union(gone: DataFrame) -> DataFrame:
+        return gone.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+
+    gone, _ = stage(union(deletions(hits.where(F.col("doc") != F.col("first")).select("doc", "first").distinct())), "line-gone")
+    rest, _ = stage(_uncovered(hits, one, gone, doc_type, min_block_words), "line-rest")
+    if not rest.isEmpty():
+        others = _classes(hits.join(rest.select("key").distinct(), "key", "left_semi"), hits, one, doc_type)
+        more = (rest.join(others, "key").where((F.col("other") < F.col("doc")) & (F.col("other") != F.col("first")))
+                .select("doc", F.col("other").alias("first")).distinct())
+        gone = union(gone.unionByName(deletions(more)))
+    gone = gone.select(*(F.col(f"doc.{c}").alias(c) for c in KEY), "removed")
     out = rows.select("doc_id", "text", *row_key()).join(gone, KEY, "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))

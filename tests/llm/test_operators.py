@@ -368,3 +368,22 @@ def test_line_dedup(spark):
     all_ = line_dedup.dedup_lines(docs)
     assert all_.count() == docs.count() and all_.where("doc_id = 3 and text is null and n_lines = 0").count() == 1
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
+
+
+def test_line_dedup_finds_every_partner(spark):
+    """Copies of short lines that each stand alone in an earlier document, and passages that the earliest holder has in another order."""
+    short = [" ".join(f"s{k}w{i}" for i in range(8)) for k in range(12)]
+    a, b = (["\n".join(" ".join(f"{p}{k}w{i}" for i in range(12)) for k in range(3)) for p in "ab"])
+    texts = [*((i + 1, f"own{i}\n{x}") for i, x in enumerate(short)), (100, "\n".join(short)), (200, "\n".join(short)),
+             (300, f"{b}\n{a}"), (310, f"{a}\nown\n{b}"), (320, f"{a}\nother\n{b}")]
+    rng = np.random.default_rng(7)
+    pool = [" ".join(f"p{k}w{i}" for i in range(int(rng.integers(1, 13)))) for k in range(12)]
+    texts += [(1000 + i, "\n".join(rng.choice(pool, int(rng.integers(1, 9))))) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[100] == [] and got[200] == list(range(12)) and got[320] == [0, 1, 2, 4, 5, 6]
+    lines = {i: np.array([zlib.crc32(x.encode()) for x in t.split("\n")]) for i, t in texts}
+    for i, t in texts:
+        n = np.array([len(x.split()) for x in t.split("\n")])
+        want = {x for j in lines if j < i for x in line_dedup.blocks_to_delete(lines[i], lines[j], n, 10)}
+        assert got[i] == sorted(want), i
