@@ -387,3 +387,14 @@ def test_line_dedup_finds_every_partner(spark):
         n = np.array([len(x.split()) for x in t.split("\n")])
         want = {x for j in lines if j < i for x in line_dedup.blocks_to_delete(lines[i], lines[j], n, 10)}
         assert got[i] == sorted(want), i
+
+
+def test_pii_long_runs(spark):
+    digits = "".join(str(i * 7 % 10) for i in range(100_000))
+    texts = [(1, digits), (2, " ".join(digits)), (3, "-".join(digits)), (4, "a@b" + ".c" * 50_000), (5, "+" + digits),
+             (6, "x (at) y" + ".z" * 50_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = pii.spans(pii.find(docs)).where("kind in ('email', 'card', 'address')").collect()
+    assert sorted((r.kind, r.start, r.end, r.base) for r in found) == [
+        ("address", 0, 100_003, False), ("address", 0, 100_008, False), ("card", 0, 100_000, False), ("card", 0, 199_999, False),
+        ("card", 0, 199_999, False), ("card", 1, 100_001, False), ("email", 0, 100_003, True)]
