@@ -398,3 +398,18 @@ def test_pii_long_runs(spark):
     assert sorted((r.kind, r.start, r.end, r.base) for r in found) == [
         ("address", 0, 100_003, False), ("address", 0, 100_008, False), ("card", 0, 100_000, False), ("card", 0, 199_999, False),
         ("card", 0, 199_999, False), ("card", 1, 100_001, False), ("email", 0, 100_003, True)]
+
+
+def test_pii_adds_forms_the_base_rules_miss(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        n = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+        rows.append((i, [f"you can reach +1 ({n(3)}) 555-{n(4)} now", f"write to u{n(3)}@host.example.com now",
+                         f"in {n(4)} there were {n(9)} items", f"see (at) {n(3)} for a @ b"][i % 4]))
+    missed = [(900, "you can reach 1 (605) 555-9305 now", "phone:14:30"), (901, "you can reach (605) 555-9305 now", "phone:14:28"),
+              (902, "write to u123 (at) host.example.com now", "email:9:35"), (903, "write to u123[at]host.example.com now", "email:9:33")]
+    docs = spark.createDataFrame(rows + [m[:2] for m in missed], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(docs)).collect()}
+    assert [got[i] for i, _, _ in missed] == [want for _, _, want in missed]
+    assert all(got[i] == "" for i in range(400) if i % 4 > 1)
