@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.llm import (ann, decontamination, jaccard_join, line_dedup, lm_scoring, mixing, oracles, pii, sharding,
-                            toxicity, viterbi_counts)
+                            toxicity, turn_repair, turn_trie, viterbi_counts)
 from meterframe.llm.common import table
 from meterframe.llm.pipeline_stages import LEVELS, SHARDS, WEIGHTS, domain
 
@@ -80,3 +80,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_line_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@register("op12_structure_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@register("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
