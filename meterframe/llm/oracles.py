@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meterframe.llm.license_scan import LEAST_SHARE, TEMPLATES
 from meterframe.llm.pipeline_stages import LEVELS, WEIGHTS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,3 +79,34 @@ FROM ranked WHERE epoch < epochs OR (ahead < rest)"""
 
 
 MIXING = _mixing("0.5", 2, 17)
+
+
+def _template_rows() -> str:
+    return ", ".join(f"({n}, '{t.label}', {t.base}, {i}, '{w}', {t.key[0] <= i < t.key[1]})"
+                     for n, t in enumerate(TEMPLATES) for i, w in enumerate(t.words))
+
+
+LICENSES = f"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+            FROM documents),
+tw(template, label, base, off, word, in_key) AS (VALUES {_template_rows()}),
+hits AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM dw),
+near AS (SELECT * FROM hits WHERE word IN (SELECT word FROM tw)),
+held AS (SELECT word, count(DISTINCT doc_id) AS n FROM near GROUP BY 1),
+weights AS (SELECT word, CAST(floor(log10((SELECT count(*) + 1 FROM dw) / (coalesce(n, 0) + 1)) * 1000 + 0.5) AS BIGINT) + 1 AS weight
+            FROM (SELECT DISTINCT word FROM tw) LEFT JOIN held USING (word)),
+t AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY weight DESC, off) = 1 AS anchor FROM tw JOIN weights USING (word)),
+heads AS (SELECT template, sum(weight) AS total, count(*) FILTER (WHERE in_key) AS n_key FROM t GROUP BY 1),
+met AS (SELECT doc_id, template, label, base, pos - off AS start, sum(weight) AS got, count(*) FILTER (WHERE in_key) AS k,
+          bool_or(anchor) AS anchored FROM near JOIN t USING (word) GROUP BY 1, 2, 3, 4, 5),
+found AS (SELECT *, CAST(got AS DOUBLE) / CAST(total AS DOUBLE) AS share,
+            k = n_key AND CAST(got AS DOUBLE) / CAST(total AS DOUBLE) >= {LEAST_SHARE} AS ok
+          FROM met JOIN heads USING (template) WHERE anchored),
+by_doc AS (SELECT doc_id, count(*) FILTER (WHERE base AND ok) AS n_base, min(start) FILTER (WHERE base AND ok) AS first_word,
+    max(start) FILTER (WHERE base AND ok) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND ok) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok) AS labels, max(CASE WHEN ok THEN share ELSE share / 2 END) AS score
+  FROM found GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0) AS score
+FROM dw LEFT JOIN by_doc USING (doc_id)"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.llm import (ann, decontamination, jaccard_join, line_dedup, lm_scoring, mixing, oracles, pii, sharding,
-                            toxicity, turn_repair, turn_trie, viterbi_counts)
+from meterframe.llm import (ann, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, oracles, pii,
+                            sharding, toxicity, turn_repair, turn_trie, viterbi_counts)
 from meterframe.llm.common import table
 from meterframe.llm.pipeline_stages import LEVELS, SHARDS, WEIGHTS, domain
 
@@ -82,6 +82,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@register("op11_license_scan", oracles.LICENSES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 @register("op12_structure_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
