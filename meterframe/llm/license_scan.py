@@ -14,7 +14,8 @@ A plain phrase is a template whose key phrase is all of it, so its places are
 exact and complete.
 
 All of it is DataFrame work: two passes over the texts (frequencies, postings),
-one aggregate by (document, template, start) and one by document. Only counts
+one aggregate by (document, template, start) and one by document, both over the
+few documents that have postings. Only counts
 of the templates' words come to the driver, and only templates are broadcast;
 both are as large as the templates, whatever the input.
 
@@ -116,13 +117,20 @@ class Index:
         """(word, template, off, weight, anchor): as many rows as the templates have words."""
         rows = [(w, n, i, self.weights[w], i == self.anchor(t))
                 for n, t in enumerate(self.templates) for i, w in enumerate(t.words)]
-        return spark.createDataFrame(rows, "word string, template int, off int, weight long, anchor boolean")
+        return _small_table(spark, rows, "word string, template int, off int, weight long, anchor boolean")
 
     def heads(self, spark: SparkSession) -> DataFrame:
         """(template, label, base, total, key_mask, n): one row a template."""
         rows = [(n, t.label, t.base, sum(self.weights[w] for w in t.words), sum(1 << i for i in range(*t.key)), len(t.words))
                 for n, t in enumerate(self.templates)]
-        return spark.createDataFrame(rows, "template int, label string, base boolean, total long, key_mask long, n int")
+        return _small_table(spark, rows, "template int, label string, base boolean, total long, key_mask long, n int")
+
+
+def _small_table(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A table of literals: no Python worker reads it."""
+    columns = [f.split() for f in fields.split(", ")]
+    structs = [F.struct(*(F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, columns))) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def _texts(values) -> Column:
@@ -189,11 +197,16 @@ def licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"), listed(base).alias("base_labels"),
         listed(F.col("found")).alias("labels"),
         F.max(F.when(F.col("found"), F.col("share")).otherwise(F.col("share") / 2)).alias("score"))
-    none = F.lit("")
-    return rows.select("uid", "doc_id", "n_words").join(by_doc, "uid", "left").select(
+    none, nothing = F.lit(""), F.lit(None).cast("long")
+    # A document without postings needs no shuffle.
+    plain = rows.where(F.size("hits") == 0).select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), nothing.alias("first_word"), nothing.alias("last_word"),
+        none.alias("base_labels"), none.alias("labels"), F.lit(0.0).alias("score"))
+    marked = rows.where(F.size("hits") > 0).select("uid", "doc_id", "n_words").join(by_doc, "uid", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"))
+    return plain.unionByName(marked)
 
 
 def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least_share: float = LEAST_SHARE) -> DataFrame:
