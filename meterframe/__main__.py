@@ -1,16 +1,19 @@
 """Command line jobs.
 
-    python -m meterframe ingest   --landing L --contracts C.yaml --prices P --root R
-    python -m meterframe backfill --landing L --contracts C.yaml --prices P --root R \\
+    python -m meterframe land     --source S --side consumption --landing L
+    python -m meterframe ingest   --landing L --contracts C.yaml --prices P [--points PP] --root R
+    python -m meterframe backfill --landing L --contracts C.yaml --prices P [--points PP] --root R \\
                                   --start 2024-01-01T00:00:00 --stop 2024-01-08T00:00:00 [--resolution PT15M]
     python -m meterframe refresh  --root R
-    python -m meterframe report   --root R [--from 2024-01-01] [--to 2024-01-31] [--point MP] [--out O]
+    python -m meterframe report   --root R (--out O | --point MP) [--from 2024-01-01] [--to 2024-01-31]
 
-``R`` holds ``energies/``, ``rollups/``, ``wide/`` and the stream's ``_checkpoint``
-and ``_rejects``.  Landing folders hold one sub-folder per side
-(``measure_type=1``, ``measure_type=6``) of JSON payload documents; prices are
-a Parquet table ``(time, price)``.  Paths are whatever the cluster's file
-system accepts (shared storage on a cluster).
+``R`` holds ``energies/``, ``rollups/``, ``wide/``, the stream's ``_checkpoint``,
+``_rejects`` and the ``_outbox`` of loads that a sink has yet to take.  ``land``
+puts received documents (one a line) into the landing by the local days they
+cover; a flat landing (``measure_type=1``, ``measure_type=6``) can be read too.
+Prices are a Parquet table ``(time, price)``, price points one of
+``schemas.PRICE_POINTS``, which price the wide points.  Paths are whatever the
+cluster's file system accepts (shared storage on a cluster).
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import datetime as dt
 import json
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
-from meterframe.config import Settings
+from meterframe.config import SIDES, Settings
 from meterframe.operators.contracts import ContractTable, fee_violations, violations
 from meterframe.operators.report import daily_report
 from meterframe.plans import jobs
@@ -29,9 +33,11 @@ from meterframe.session import build_session
 from meterframe.sinks.energies_table import EnergiesTable
 from meterframe.sinks.rollup_store import RollupStore
 from meterframe.sources import contracts as SC
-from meterframe.sources import payloads as P
-from meterframe.sources.prices import read_day_ahead_prices
+from meterframe.sources.landing import land
+from meterframe.sources.prices import read_day_ahead_prices, read_price_points
+from meterframe.sinks.wide_table import WideTable
 from meterframe.streaming.ingest import run_ingest
+from meterframe.streaming.loads import Loads
 
 
 def _contracts(spark, path: str, tz: str):
@@ -50,6 +56,10 @@ def _contracts(spark, path: str, tz: str):
     return ContractTable(table)
 
 
+def _points(spark, path: str | None):
+    return read_price_points(spark, path) if path else None
+
+
 def _table(spark, root: str, tz: str) -> EnergiesTable:
     table = EnergiesTable(spark, f"{root}/energies", tz)
     try:
@@ -63,11 +73,14 @@ def _table(spark, root: str, tz: str) -> EnergiesTable:
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="meterframe")
-    ap.add_argument("command", choices=["ingest", "backfill", "refresh", "report"])
-    ap.add_argument("--root", required=True)
+    ap.add_argument("command", choices=["land", "ingest", "backfill", "refresh", "report"])
+    ap.add_argument("--root")
+    ap.add_argument("--source")
+    ap.add_argument("--side", choices=sorted(SIDES), default="consumption")
     ap.add_argument("--landing")
     ap.add_argument("--contracts")
     ap.add_argument("--prices")
+    ap.add_argument("--points")
     ap.add_argument("--start")
     ap.add_argument("--stop")
     ap.add_argument("--resolution", default="PT1H")
@@ -78,8 +91,16 @@ def main(argv=None) -> None:
     ap.add_argument("--tz", default=Settings().tz)
     ap.add_argument("--master")
     a = ap.parse_args(argv)
+    if a.command != "land" and not a.root:
+        ap.error("--root is required")
+    if a.command == "report" and not (a.out or a.point):
+        ap.error("a report of all meters goes to --out; one --point is printed")
     settings = Settings(tz=a.tz)
     spark = build_session(a.master)
+    if a.command == "land":
+        land(spark.read.text(a.source).withColumn("measure_type", F.lit(SIDES[a.side])), a.landing.rstrip("/"))
+        spark.stop()
+        return
     root = a.root.rstrip("/")
     rollups = RollupStore(spark, f"{root}/rollups", settings)
 
@@ -87,19 +108,19 @@ def main(argv=None) -> None:
         table = _table(spark, root, a.tz)
         report = run_ingest(spark, a.landing, table, rollups, _contracts(spark, a.contracts, a.tz),
                             read_day_ahead_prices(spark, a.prices), f"{root}/_checkpoint",
-                            f"{root}/_rejects", settings, wide_path=f"{root}/wide")
+                            f"{root}/_rejects", settings, wide_path=f"{root}/wide",
+                            points=_points(spark, a.points), outbox=f"{root}/_outbox")
         print(json.dumps({"batches": report.batches, "rejected_documents": report.rejected_documents,
-                          "errors": report.errors}))
+                          "errors": report.errors, "waiting": report.waiting}))
     elif a.command == "backfill":
         table = _table(spark, root, a.tz)
-        docs = P.read_payloads(spark, P.side_path(a.landing, 1), 1).unionByName(
-            P.read_payloads(spark, P.side_path(a.landing, 6), 6))
-        rows = jobs.backfill(docs, a.start, a.stop, _contracts(spark, a.contracts, a.tz),
-                             read_day_ahead_prices(spark, a.prices), a.resolution, settings)
-        days = table.merge(rows)
-        rollups.refresh_days(table.read(with_partition=True), days)
-        print(json.dumps({"days": len(days), "first": days[0] if days else None,
-                          "last": days[-1] if days else None}))
+        loads = Loads(spark, f"{root}/_outbox", f"{root}/_rejects", table, rollups, _contracts(spark, a.contracts, a.tz),
+                      read_day_ahead_prices(spark, a.prices), settings, WideTable(spark, f"{root}/wide"),
+                      _points(spark, a.points))
+        done = jobs.run_backfill(loads, a.landing, a.start, a.stop, a.resolution)
+        days = sorted(done.days)
+        print(json.dumps({"days": len(days), "first": days[0] if days else None, "last": days[-1] if days else None,
+                          "errors": done.errors, "waiting": done.waiting}))
     elif a.command == "refresh":
         rollups.refresh_full(EnergiesTable(spark, f"{root}/energies", a.tz).read())
     else:
@@ -109,7 +130,7 @@ def main(argv=None) -> None:
         if a.out:
             rep.write.mode("overwrite").parquet(a.out)
         else:
-            for r in rep.toLocalIterator():  # one partition at a time on the driver
+            for r in rep.toLocalIterator():  # one meter: a row a day
                 print(json.dumps({k: (v.isoformat() if hasattr(v, "isoformat") else v)
                                   for k, v in r.asDict().items()}))
     spark.stop()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.config import (
@@ -11,8 +11,7 @@ from meterframe.config import (
 from meterframe.functions import tariff
 from meterframe.functions.timeutil import hour_start, local_hour
 from meterframe.operators.contracts import attach_contract
-from meterframe.operators.readings import accepted, last_write_wins
-from meterframe.schemas import ENERGY_COLUMNS
+from meterframe.operators.readings import accepted, last_write_wins, load_version
 
 def price_duplicates(prices: DataFrame, summary: bool = False) -> DataFrame:
     """Times with more than one price row (J-4): a lookup there is ambiguous.
@@ -60,14 +59,17 @@ def attach_spot_price(df: DataFrame, prices: DataFrame, *, hour_fallback: bool =
 
 
 def a44_prices(price_points: DataFrame) -> DataFrame:
-    """Point-form prices restricted to type A44, first row per time (SRC-7, SO-2)."""
-    w = Window.partitionBy("time").orderBy(F.col("timestamp").asc_nulls_last(), F.col("price"))
-    return (price_points.where(F.col("type_tag") == PRICE_DOCUMENT_TYPE)
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-            .select("time", "price"))
+    """Point-form prices restricted to type A44, first row per time (SRC-7, SO-2).
+
+    The first is taken by a combining aggregate, so many points of one time meet
+    only as one partial row a task.
+    """
+    first = F.min(F.struct(F.col("timestamp").isNull().alias("last"), F.col("timestamp"), F.col("price")))
+    return (price_points.where(F.col("type_tag") == PRICE_DOCUMENT_TYPE).groupBy("time").agg(first.alias("_first"))
+            .select("time", F.col("_first.price").alias("price")))
 
 
-def energy_rows(priced: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def energy_rows(priced: DataFrame, settings: Settings = Settings(), extra: list | None = None) -> DataFrame:
     """Fact rows in ``schemas.ENERGIES`` layout from readings joined with a
     contract and a spot price.
 
@@ -94,6 +96,7 @@ def energy_rows(priced: DataFrame, settings: Settings = Settings()) -> DataFrame
         F.when(consumption, tariff.energy_night("_lh")).otherwise(F.lit(False)).alias("night"),
         "resolution_duration",
         (F.col("spot_eur_mwh") / 10).alias("spot_price"),
+        *(extra or []),
     )
 
 
@@ -113,16 +116,16 @@ def priceable(readings: DataFrame, contracts, settings: Settings = Settings()) -
 
 
 def build_energies(readings: DataFrame, contracts: DataFrame, prices: DataFrame,
-                   settings: Settings = Settings()) -> DataFrame:
-    """Readings → priced ``energies`` rows."""
+                   settings: Settings = Settings(), versions: bool = False) -> DataFrame:
+    """Readings → priced ``energies`` rows; with ``versions`` also the load that each row came with."""
     rows = priceable(readings, contracts, settings)
     priced = attach_spot_price(rows, prices)
-    return energy_rows(priced, settings).select(*ENERGY_COLUMNS)
+    return energy_rows(priced, settings, load_version(priced) if versions else None)
 
 
 def wide_points(readings: DataFrame, contracts: DataFrame, prices: DataFrame, side: int,
                 raw_resolution: str | None = None, skip_quarter: bool = False,
-                settings: Settings = Settings()) -> DataFrame:
+                settings: Settings = Settings(), versions: bool = False) -> DataFrame:
     """Denormalised priced points for one side (SNK-7/8, O-12..O-15, J-5).
 
     Price is the exact-time price or 0.0 (no hour fallback), in EUR/kWh; given
@@ -167,4 +170,5 @@ def wide_points(readings: DataFrame, contracts: DataFrame, prices: DataFrame, si
         F.col("contract_type").cast("short").alias("contract_type"),
         spot_margin.alias("spot_margin"),
         tariff.tax_percentage().alias("tax_percentage"),
+        *(load_version(priced) if versions else []),
     )

@@ -43,20 +43,23 @@ def apply_defaults(energies: DataFrame) -> DataFrame:
             .withColumn("night", F.coalesce(F.col("night"), F.lit(False))))
 
 
-def rejects(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:
-    """Rejected readings with their reason (O-9, O-10, O-11), in one scan.
+def tagged(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:
+    """All readings with the reason they are rejected for, or none (O-9, O-10, O-11), in one scan.
 
     Time and quantity checks come first, as in the reference.  A left range
     join against the single-cover segments finds readings with no or several
     contracts, and consumption under contract type *none* (D5); a reading matches at most one segment, so nothing fans out.
     """
     early = reject_reason(readings)
-    tagged = readings.withColumn("_early", early)
-    joined = attach_contract(tagged, contracts, settings, how="left", attrs=False)
+    joined = attach_contract(readings.withColumn("_early", early), contracts, settings, how="left", attrs=False)
     reason = F.coalesce(F.col("_early"), F.when(F.col("contract_type").isNull(), F.lit(REASON_NO_CONTRACT)).when(
         (F.col("measure_type") == MEASURE_CONSUMPTION) & (F.col("contract_type") == tariff.NONE), F.lit(REASON_NO_TARIFF)))
-    return (joined.withColumn("reason", reason).where(F.col("reason").isNotNull())
-            .drop("_early", "contract_type"))
+    return joined.withColumn("reason", reason).drop("_early", "contract_type")
+
+
+def rejects(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:
+    """Rejected readings with their reason."""
+    return tagged(readings, contracts, settings).where(F.col("reason").isNotNull())
 
 
 def rejects_by_reason(readings: DataFrame, contracts, settings: Settings = Settings()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meterframe.schemas import ENERGY_KEY
 
@@ -38,3 +39,11 @@ def last_write_wins(df: DataFrame, key=ENERGY_KEY, order=("seq",)) -> DataFrame:
     ordered = list(order) + [c for c in payload if c not in order]
     latest = F.max(F.struct(*[F.col(c) for c in ordered])).alias("_latest")
     return df.groupBy(*key).agg(latest).select(*key, *[F.col(f"_latest.{c}").alias(c) for c in payload])
+
+
+def load_version(df: DataFrame) -> list:
+    """``load_time``, ``load_file`` of readings exploded from documents (ST-7); nothing for other readings."""
+    kind = df.schema["seq"].dataType if "seq" in df.columns else None
+    if not isinstance(kind, StructType) or "_file_time" not in kind.names:
+        return []
+    return [F.unix_micros(F.col("seq._file_time")).alias("load_time"), F.col("seq._file").alias("load_file")]

@@ -7,74 +7,110 @@ JSON source, the strict check and the position-based explode.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION
+from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION, RESOLUTION_HOUR, RESOLUTION_QUARTER
+from meterframe.functions.timeutil import local_text_to_utc
 from meterframe.operators.readings import accepted, last_write_wins
 from meterframe.plans import oracles as O
 from meterframe.plans.catalog import SETTINGS, prices, readings, register
+from meterframe.plans.documents import documents_from_readings
 from meterframe.session import work_path
+from meterframe.sources import landing
 from meterframe.sources import payloads as P
 from meterframe.schemas import ENERGY_KEY
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 
-def landed(spark: SparkSession, sf_dir: str) -> str:
-    """Land documents for ``sf_dir`` once per application; return the root.
-
-    Documents of local Sundays lose ``sum.unit`` (a missing required field)
-    and production documents of local Saturdays carry a text quantity (a type
-    error), so the strict check has work on every scale.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _LANDED:
-        return _LANDED[key]
-    root = work_path(spark, "landing")
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = accepted(readings(spark, sf_dir)).select(*ENERGY_KEY, "value", "measure_unit", "seq")
-    docs = P.documents_from_readings(last_write_wins(ok), SETTINGS.tz, prices(spark, sf_dir))
-    local_dow = F.dayofweek(F.col("getconsumptionsresult.consumptiondata.timeseries.start").try_cast("timestamp_ntz"))
-    sunday, saturday = local_dow == 1, local_dow == 7
-    unit = F.col("getconsumptionsresult.consumptiondata.sum.unit")
-    docs = docs.withColumn("getconsumptionsresult", F.col("getconsumptionsresult").withField(
-        "consumptiondata.sum.unit", F.when(~sunday, unit)))
-    docs = docs.withColumn("_text_qty", (F.col("measure_type") == MEASURE_PRODUCTION) & saturday)
-    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        P.write_documents(docs.where(~F.col("_text_qty")).drop("_text_qty"), root)
-        text_qty = docs.where(F.col("_text_qty")).drop("_text_qty").withColumn(
-            "getconsumptionsresult",
-            F.col("getconsumptionsresult").withField(
-                "consumptiondata.sum.quantity",
-                F.format_number(F.col("getconsumptionsresult.consumptiondata.sum.quantity"), 3)))
-        P.write_documents(text_qty, root, mode="append")
-    finally:
-        docs.unpersist()
-    _LANDED.clear()
-    _LANDED[key] = root
-    return root
+    return last_write_wins(ok)
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, lines: Callable[[], DataFrame]) -> str:
+    """Land documents once per application; return the root."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _LANDED:
+        for old in [k for k in _LANDED if k[:2] != key[:2]]:
+            del _LANDED[old]
+        root = work_path(spark, f"landing-{kind}")
+        landing.land(lines(), root)
+        _LANDED[key] = root
+    return _LANDED[key]
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """Sound documents of a local day each."""
+    return _once(spark, sf_dir, "days", lambda: landing.as_lines(
+        documents_from_readings(_latest(spark, sf_dir), SETTINGS.tz, prices(spark, sf_dir))))
+
+
+def landed_months(spark: SparkSession, sf_dir: str) -> str:
+    """Sound documents of a local month each."""
+    return _once(spark, sf_dir, "months", lambda: landing.as_lines(
+        documents_from_readings(_latest(spark, sf_dir), SETTINGS.tz, months=True)))
+
+
+#: Faults by (weekday of the document, 1 = Sunday; side or None; resolution or None): what the text is changed to.
+_FAULTS = (
+    (1, None, None, r'^(.*?),"unit":"kWh"', "$1"),
+    (7, MEASURE_PRODUCTION, None, r'"sum":\{"quantity":([^,]+),', '"sum":{"quantity":"$1",'),
+    (7, MEASURE_CONSUMPTION, None, r'"meteringpointcode":"mp-(\d+)"', '"meteringpointcode":$1'),
+    (6, None, RESOLUTION_HOUR, r'^(.*?)"time":"[^"]*"', '$1"time":5'),
+    (6, None, RESOLUTION_QUARTER, r'^(.*?)"time":"[^"]*",', "$1"),
+    (5, MEASURE_CONSUMPTION, None, r'("spotdata":.*?)"resolution":"PT1H",', "$1"),
+    (5, MEASURE_PRODUCTION, None, r'("timeseries":\{"start":"[^"]*"),"stop":"[^"]*"', "$1"),
+    (4, MEASURE_PRODUCTION, None, r".{20}$", ""),
+    (4, MEASURE_CONSUMPTION, RESOLUTION_HOUR, r'("spotdata":.*?"timeseries":\{"start":)"[^"]*"', "$1true"),
+)
+_POINT, _RESOLUTION = r'"meteringpointcode":"?(?:mp-)?(\d+)', r'"resolution":"(PT\w+)"'
+_START = r'"timeseries":\{"start":"([^"]*)"'
+
+
+def with_faults(lines: DataFrame) -> DataFrame:
+    """Documents of some weekdays lose a field, change its type or end early, so the strict check has every kind of work."""
+    weekday = F.dayofweek(F.to_date(F.regexp_extract("value", _START, 1)))
+    resolution = F.regexp_extract("value", _RESOLUTION, 1)
+    changed = F.when(F.lit(False), F.lit(""))
+    for day, side, res, pattern, to in _FAULTS:
+        here = weekday == day
+        here = here & (F.col("measure_type") == side) if side else here
+        here = here & (resolution == res) if res else here
+        changed = changed.when(here, F.regexp_replace("value", pattern, to))
+    return lines.withColumn("value", F.coalesce(changed, F.col("value")))
+
+
+def landed_faulty(spark: SparkSession, sf_dir: str) -> str:
+    return _once(spark, sf_dir, "faulty", lambda: with_faults(landing.as_lines(
+        documents_from_readings(_latest(spark, sf_dir), SETTINGS.tz, prices(spark, sf_dir)))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = landed(spark, sf_dir)
-    sides = [P.read_payloads(spark, P.side_path(root, mt), mt) for mt in (MEASURE_CONSUMPTION, MEASURE_PRODUCTION)]
-    return sides[0].unionByName(sides[1])
+    return landing.read_landed(spark, landed(spark, sf_dir))
 
 
 def good_documents(spark, sf_dir):
     return P.split_documents(documents(spark, sf_dir))[0]
 
 
-# Documents in DuckDB: one per (point, side, resolution, local day) of the
-# deduped readings; Sunday documents miss the unit, production Saturday
-# documents have a text quantity.
-_DOCS = """
+# Documents in DuckDB: one per (point, side, resolution, local day) of the deduped readings.
+_DAY_DOCS = """
 docs AS (SELECT DISTINCT metering_point_code, measure_type, resolution_duration,
     date_trunc('day', time + INTERVAL 2 HOUR) - INTERVAL 2 HOUR AS day FROM r),
-doc_state AS (SELECT *, CASE WHEN dayofweek(day + INTERVAL 2 HOUR) = 0 THEN 'missing sum.unit'
-    WHEN measure_type = 6 AND dayofweek(day + INTERVAL 2 HOUR) = 6 THEN 'malformed' END AS reason FROM docs)
+"""
+_DOCS = _DAY_DOCS + "doc_state AS (SELECT *, CAST(NULL AS VARCHAR) AS reason FROM docs)"
+_FAULTY_DOCS = _DAY_DOCS + """
+doc_state AS (SELECT *, CASE dayofweek(day + INTERVAL 2 HOUR)
+    WHEN 0 THEN 'missing sum.unit'
+    WHEN 6 THEN CASE measure_type WHEN 6 THEN 'malformed' ELSE 'mistyped meteringpointcode' END
+    WHEN 5 THEN CASE resolution_duration WHEN 'PT1H' THEN 'mistyped tsv.time' ELSE 'missing tsv.time' END
+    WHEN 4 THEN CASE measure_type WHEN 6 THEN 'missing timeseries.stop' ELSE 'missing spotdata.timeseries.resolution' END
+    WHEN 3 THEN CASE WHEN measure_type = 6 THEN 'malformed' WHEN resolution_duration = 'PT1H' THEN 'mistyped spotdata.timeseries.start' END
+    END AS reason FROM docs)
 """
 
 
@@ -91,22 +127,20 @@ def q_src_payload_roundtrip(spark, sf_dir):
 
 @register("src_strict_reject", O.with_base(
     "SELECT metering_point_code, measure_type, resolution_duration, day, reason FROM doc_state "
-    "WHERE reason IS NOT NULL", _DOCS))
+    "WHERE reason IS NOT NULL", _FAULTY_DOCS))
 def q_src_strict_reject(spark, sf_dir):
-    _, rejected = P.split_documents(documents(spark, sf_dir))
-    # A type error leaves only the raw text; take the identifying fields from it.
-    raw = F.col(P.CORRUPT)
-    ts = "getconsumptionsresult.consumptiondata.timeseries"
-    point = F.coalesce(F.col("getconsumptionsresult.consumptiondata.meteringpointcode"),
-                       F.get_json_object(raw, "$.getconsumptionsresult.consumptiondata.meteringpointcode"))
-    res = F.coalesce(F.col(f"{ts}.resolution"),
-                     F.get_json_object(raw, "$.getconsumptionsresult.consumptiondata.timeseries.resolution"))
-    start = F.coalesce(F.col(f"{ts}.start"),
-                       F.get_json_object(raw, "$.getconsumptionsresult.consumptiondata.timeseries.start"))
-    from meterframe.functions.timeutil import local_text_to_utc
-    return rejected.select(point.alias("metering_point_code"), "measure_type",
-                           res.alias("resolution_duration"),
-                           local_text_to_utc(start, SETTINGS.tz).alias("day"), "reason")
+    _, rejected = P.split_documents(landing.read_landed(spark, landed_faulty(spark, sf_dir)))
+    # A faulty document may be no JSON at all: the identifying fields come from its text.
+    return rejected.select(F.concat(F.lit("mp-"), F.regexp_extract(P.RAW, _POINT, 1)).alias("metering_point_code"),
+                           "measure_type", F.regexp_extract(P.RAW, _RESOLUTION, 1).alias("resolution_duration"),
+                           local_text_to_utc(F.regexp_extract(P.RAW, _START, 1), SETTINGS.tz).alias("day"), "reason")
+
+
+@register("src_reject_counts", O.with_base(
+    "SELECT measure_type, reason, count(*) AS n_documents FROM doc_state WHERE reason IS NOT NULL GROUP BY 1, 2", _FAULTY_DOCS))
+def q_src_reject_counts(spark, sf_dir):
+    _, rejected = P.split_documents(landing.read_landed(spark, landed_faulty(spark, sf_dir)))
+    return rejected.groupBy("measure_type", "reason").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 @register("readings_explode_time", O.with_base(

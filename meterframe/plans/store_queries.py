@@ -10,10 +10,15 @@ from meterframe.operators.pricing import build_energies
 from meterframe.plans import jobs
 from meterframe.plans import oracles as O
 from meterframe.plans.catalog import SETTINGS, contract_table, energies, events, prices, register
-from meterframe.plans.payload_queries import _DOCS, documents
+from meterframe.plans.payload_queries import landed_months
 from meterframe.session import work_path
 from meterframe.sinks.energies_table import EnergiesTable
+from meterframe.sinks.publish import RejectedBatch
+from meterframe.sinks.rollup_store import RollupStore
+from meterframe.sinks.wide_table import WideTable
 from meterframe.sources import testdata
+from meterframe.sources.landing import read_landed
+from meterframe.streaming.loads import Loads
 from meterframe.schemas import ENERGY_COLUMNS
 
 # The first load fetched up to this instant, the second re-fetched from the
@@ -37,7 +42,8 @@ _REPRICED_ROWS = O.CONTRACT_ROWS.replace(
     "(1, TIMESTAMP '2023-12-24 22:00:00', TIMESTAMP '2023-12-31 21:59:59', 3, 5.5E0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0.25E0,")
 
 
-def _merge_sql() -> str:
+def merge_select(first: str, second: str) -> str:
+    """SELECT of the table after two loads."""
     k = O.ENERGY_KEY_COLS
     on = " AND ".join(f"o.{c} = n.{c}" for c in k)
     cols = [f"COALESCE(n.{c}, o.{c}) AS {c}" for c in k]
@@ -52,13 +58,16 @@ def _merge_sql() -> str:
             cols.append(f"CASE WHEN n.time IS NULL THEN o.{c} WHEN {owned[c]} THEN n.{c} ELSE {kept} END AS {c}")
         else:
             cols.append(f"CASE WHEN n.time IS NULL THEN o.{c} ELSE n.{c} END AS {c}")
-    ctes = [O.contracts_cte("contracts2", _REPRICED_ROWS),
-            O.energies_ctes("l1_", f"ts < TIMESTAMP '{FIRST_LOAD_BEFORE}'", "contracts"),
-            O.energies_ctes("l2_", f"ts >= TIMESTAMP '{SECOND_LOAD_FROM}'", "contracts2")]
-    return O.with_base(f"SELECT {', '.join(cols)} FROM l1_energies o FULL OUTER JOIN l2_energies n ON {on}", *ctes)
+    return f"SELECT {', '.join(cols)} FROM {first} o FULL OUTER JOIN {second} n ON {on}"
 
 
-@register("energies_upsert", _merge_sql())
+#: Facts of the two loads.
+MERGE_CTES = [O.contracts_cte("contracts2", _REPRICED_ROWS),
+              O.energies_ctes("l1_", f"ts < TIMESTAMP '{FIRST_LOAD_BEFORE}'", "contracts"),
+              O.energies_ctes("l2_", f"ts >= TIMESTAMP '{SECOND_LOAD_FROM}'", "contracts2")]
+
+
+@register("energies_upsert", O.with_base(merge_select("l1_energies", "l2_energies"), *MERGE_CTES))
 def q_energies_upsert(spark, sf_dir):
     ev = events(spark, sf_dir)
     p = prices(spark, sf_dir)
@@ -71,25 +80,63 @@ def q_energies_upsert(spark, sf_dir):
     return table.read()
 
 
+#: Inside two local months, so the documents of both cross a bound.
 BACKFILL_START, BACKFILL_STOP, BACKFILL_RES = "2023-12-20T00:00:00", "2024-01-10T00:00:00", "PT15M"
+_BACKFILLED = f"""
+backfilled AS (SELECT e.* REPLACE (CAST(CAST(e.value AS FLOAT) AS DOUBLE) AS value) FROM energies e
+  WHERE e.resolution_duration = '{BACKFILL_RES}' AND e.time + INTERVAL 2 HOUR >= TIMESTAMP '{BACKFILL_START.replace('T', ' ')}'
+    AND e.time + INTERVAL 2 HOUR < TIMESTAMP '{BACKFILL_STOP.replace('T', ' ')}')
+"""
 
 
 @register("backfill_range", O.with_base(
-    "SELECT e.time, e.metering_point_code, e.measure_type, e.resolution_duration, "
-    "CAST(CAST(e.value AS FLOAT) AS DOUBLE) AS value, e.contract_type, e.spot_price FROM energies e "
-    "JOIN doc_state d ON d.metering_point_code = e.metering_point_code AND d.measure_type = e.measure_type "
-    "AND d.resolution_duration = e.resolution_duration "
-    "AND d.day = date_trunc('day', e.time + INTERVAL 2 HOUR) - INTERVAL 2 HOUR "
-    f"WHERE d.reason IS NULL AND e.resolution_duration = '{BACKFILL_RES}' "
-    f"AND d.day + INTERVAL 2 HOUR >= TIMESTAMP '{BACKFILL_START.replace('T', ' ')}' "
-    f"AND d.day + INTERVAL 26 HOUR <= TIMESTAMP '{BACKFILL_STOP.replace('T', ' ')}'", _DOCS))
+    "SELECT time, metering_point_code, measure_type, resolution_duration, value, contract_type, spot_price FROM backfilled",
+    _BACKFILLED))
 def q_backfill_range(spark, sf_dir):
-    rows = jobs.backfill(documents(spark, sf_dir), BACKFILL_START, BACKFILL_STOP, contract_table(spark),
-                         prices(spark, sf_dir), BACKFILL_RES, SETTINGS)
+    docs = read_landed(spark, landed_months(spark, sf_dir), BACKFILL_START[:10], BACKFILL_STOP[:10])
+    rows = jobs.backfill(docs, BACKFILL_START, BACKFILL_STOP, contract_table(spark), prices(spark, sf_dir), BACKFILL_RES, SETTINGS)
     return rows.select("time", "metering_point_code", "measure_type", "resolution_duration", "value",
                        "contract_type", "spot_price")
 
 
+def new_loads(spark, sf_dir, contracts, points=True) -> Loads:
+    """Sinks of a fresh set of tables, priced from ``events``."""
+    root = work_path(spark, "tables")
+    return Loads(spark, f"{root}/_outbox", f"{root}/_rejects", EnergiesTable(spark, f"{root}/energies", SETTINGS.tz).create(),
+                 RollupStore(spark, f"{root}/rollups", SETTINGS), contracts, prices(spark, sf_dir), SETTINGS,
+                 WideTable(spark, f"{root}/wide"), testdata.price_points(events(spark, sf_dir)) if points else None)
+
+
+def _sound(report) -> None:
+    if report.errors or report.waiting:
+        raise RuntimeError(f"sinks failed: {report.errors}")
+
+
+@register("backfill_refresh", O.with_base(O.rollup_sql("consumption", "day", source="backfilled"), _BACKFILLED))
+def q_backfill_refresh(spark, sf_dir):
+    """The whole backfill job: landing by overlap, both sinks, rejects, refresh; read back from a roll-up."""
+    loads = new_loads(spark, sf_dir, contract_table(spark))
+    _sound(jobs.run_backfill(loads, landed_months(spark, sf_dir), BACKFILL_START, BACKFILL_STOP, BACKFILL_RES))
+    return loads.rollups.read("consumption", "day")
+
+
+@register("energies_bad_batch", O.with_base(f"SELECT {O.ENERGY_COLUMNS} FROM l1_energies",
+                                            O.energies_ctes("l1_", f"ts < TIMESTAMP '{FIRST_LOAD_BEFORE}'", "contracts")))
+def q_energies_bad_batch(spark, sf_dir):
+    """A batch with rows that break the table's rules is rejected whole and leaves the table as it was (SNK-6, SNK-13)."""
+    ev = events(spark, sf_dir)
+    p = prices(spark, sf_dir)
+    first = build_energies(testdata.readings(ev.where(F.col("ts") < ntz_lit(FIRST_LOAD_BEFORE))), contract_table(spark), p, SETTINGS)
+    second = build_energies(testdata.readings(ev.where(F.col("ts") >= ntz_lit(SECOND_LOAD_FROM))), repriced_table(spark), p, SETTINGS)
+    bad = second.withColumn("measure_unit", F.when(F.minute("time") == 0, F.lit("kilowatt hours")).otherwise(F.col("measure_unit")))
+    table = EnergiesTable(spark, work_path(spark, "energies"), SETTINGS.tz).create(first)
+    try:
+        table.merge(bad)
+    except RejectedBatch:
+        return table.read()
+    raise RuntimeError("the batch was not rejected")
+
+
 @register("local_day_range", O.with_base(
     "SELECT strftime(d - INTERVAL 1 DAY, '%Y-%m-%dT00:00:00') AS load_start, "
     "strftime(d, '%Y-%m-%dT00:00:00') AS load_stop, n_readings FROM "

@@ -5,7 +5,9 @@ from __future__ import annotations
 from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION
 from meterframe.operators.pricing import wide_points
 from meterframe.plans import oracles as O
-from meterframe.plans.catalog import SETTINGS, contract_table, prices, readings, register
+from meterframe.plans.catalog import SETTINGS, contract_table, events, readings, register
+from meterframe.sources import testdata
+from meterframe.sources.prices import point_prices
 
 _HC = ("h JOIN contracts c ON c.side = h.measure_type AND h.time >= c.valid_from "
        "AND (c.valid_to IS NULL OR h.time <= c.valid_to) LEFT JOIN day_ahead_prices p ON p.time = h.time")
@@ -45,27 +47,29 @@ def _wide_sql(side: int, skip_quarter: bool = False, landed_only: bool = False)
         f"c.tax_percentage FROM {hc} WHERE {where}", *extra)
 
 
+def _points(spark, sf_dir):
+    """Price points with corrections and other document types; the first A44 point of a time counts (SRC-7, J-5)."""
+    return testdata.price_points(events(spark, sf_dir))
+
+
 @register("wide_consumptions", _wide_sql(MEASURE_CONSUMPTION))
 def q_wide_consumptions(spark, sf_dir):
-    return wide_points(readings(spark, sf_dir), contract_table(spark), prices(spark, sf_dir),
+    return wide_points(readings(spark, sf_dir), contract_table(spark), _points(spark, sf_dir),
                        MEASURE_CONSUMPTION, settings=SETTINGS)
 
 
 @register("wide_productions", _wide_sql(MEASURE_PRODUCTION))
 def q_wide_productions(spark, sf_dir):
-    return wide_points(readings(spark, sf_dir), contract_table(spark), prices(spark, sf_dir),
+    return wide_points(readings(spark, sf_dir), contract_table(spark), _points(spark, sf_dir),
                        MEASURE_PRODUCTION, settings=SETTINGS)
 
 
 @register("wide_consumptions_hourly_only", _wide_sql(MEASURE_CONSUMPTION, skip_quarter=True))
 def q_wide_consumptions_hourly_only(spark, sf_dir):
-    return wide_points(readings(spark, sf_dir), contract_table(spark), prices(spark, sf_dir),
+    return wide_points(readings(spark, sf_dir), contract_table(spark), _points(spark, sf_dir),
                        MEASURE_CONSUMPTION, skip_quarter=True, settings=SETTINGS)
 
 
 @register("price_points_a44", O.with_base("SELECT time, price FROM day_ahead_prices"))
 def q_price_points_a44(spark, sf_dir):
-    from meterframe.sources.prices import point_prices
-    from meterframe.sources import testdata
-    from meterframe.plans.catalog import events
     return point_prices(testdata.price_points(events(spark, sf_dir)))

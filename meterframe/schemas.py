@@ -103,6 +103,8 @@ ENERGIES = T.StructType([
     _f("resolution_duration", _S, False),
     _f("spot_price", _D),
 ])
+# Kept beside each stored fact: the load that wrote it (file time in microseconds, file).
+LOAD_VERSION = T.StructType([_f("load_time", T.LongType()), _f("load_file", _S)])
 ENERGY_COLUMNS = [f.name for f in ENERGIES.fields]
 
 PRICES = T.StructType([_f("time", T.TimestampNTZType()), _f("price", _D)])

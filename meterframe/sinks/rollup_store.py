@@ -10,6 +10,7 @@ Tables below ``root``:
 A batch recomputes the fine grains of the days it touched from the facts of
 those days only, re-sums at most 31 day states per touched month and at most
 12 month states per touched year, and overwrites just the touched partitions.
+Each table's periods are published all or nothing (``sinks.publish``).
 Exact sums make every step equal to aggregating the facts directly, so the
 result equals a full refresh (tested).
 """
@@ -30,7 +31,7 @@ from meterframe.operators.rollups import (
     whole_hour_zone,
 )
 from meterframe.schemas import ENERGIES
-from meterframe.sinks.layout import for_write
+from meterframe.sinks.publish import Publisher
 
 PERIOD = "period"
 _FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -70,13 +71,12 @@ class RollupStore:
         return self._schemas[side]
 
     def _write(self, df: DataFrame, path: str, kind: str, time_col: str, periods: list[str] | None) -> None:
-        """Replace the given periods, or (None) the whole table; whatever the session's overwrite mode."""
+        """Replace the given periods, also those left without rows, or (None) the whole table; all or nothing."""
         out = df.withColumn(PERIOD, period_of(kind, time_col, self.settings.tz))
         if periods is not None:
             out = out.where(F.col(PERIOD).isin(periods))
-        out = for_write(out, [PERIOD], [time_col, "metering_point_code"])
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "static" if periods is None else "dynamic")
-         .partitionBy(PERIOD).parquet(path))
+        Publisher(self.spark, path, [PERIOD]).replace(
+            out, [time_col, "metering_point_code"], keep_rest=periods is not None, also=[f"{PERIOD}={p}" for p in periods or ()])
 
     def _read_state(self, like: DataFrame, name: str, parents: list[str] | None) -> DataFrame:
         """A state table, or its periods below the given months or years."""

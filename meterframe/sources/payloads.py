@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterframe import schemas
-from meterframe.config import DEFAULT_TZ, RESOLUTION_QUARTER
+from meterframe.config import DEFAULT_TZ
 from meterframe.functions.tariff import normalise_resolution, resolution_minutes
 from meterframe.functions.timeutil import (
-    add_steps, dst_gap, dst_overlap, local_day_start, local_to_utc, parse_local, utc_to_local,
+    add_steps, dst_gap, dst_overlap, local_to_utc, parse_local,
 )
 
 CORRUPT = "_corrupt_record"
+RAW, MISTYPED = "_raw", "_mistyped"
+#: Folder columns of a landing by covered days.
+COVER = ("first_day", "last_day")
 PAYLOAD_READ = T.StructType(schemas.PAYLOAD.fields + [T.StructField(CORRUPT, T.StringType())])
 
 REQUIRED = {
@@ -37,18 +40,71 @@ REQUIRED = {
 _TSV = "getconsumptionsresult.consumptiondata.timeseries.values.tsv"
 
 
+#: Text fields: a number or a truth value there is a fault, though a lenient reader would turn it into text.
+_SERIES_TEXTS = ("sum.start", "sum.stop", "sum.unit", "timeseries.start", "timeseries.stop", "timeseries.resolution")
+_ENTRY_TEXTS = ("time", "start", "stop", "unit")
+
+
 def read_payloads(spark: SparkSession, path: str, measure_type: int, multi_line: bool = False) -> DataFrame:
-    """Typed payload documents of one side with file lineage (SRC-1/2).
+    """Typed payload documents of one side with file lineage (SRC-1/2), one a line or (``multi_line``) one a file.
 
     ``_file`` and ``_file_time`` (modification time) order documents for
     last-write-wins; unknown JSON keys are ignored.
     """
-    df = (spark.read.schema(PAYLOAD_READ).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).option("allowNonNumericNumbers", False)
-          .option("multiLine", multi_line).json(path))
-    return df.select("*", F.lit(measure_type).alias("measure_type"),
-                     F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_modification_time").alias("_file_time"))
+    return typed_documents(spark.read.text(path, wholetext=multi_line), measure_type)
+
+
+def typed_documents(lines: DataFrame, measure_type: int) -> DataFrame:
+    """Documents of a text source, batch or stream: the typed read, the raw text and the first mistyped field.
+
+    The folder columns of a landing by covered days (``sources.landing``) stay.
+    """
+    folders = [F.col(c).cast("string").alias(c) for c in COVER if c in lines.columns]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "false"}
+    df = lines.where(F.trim("value") != "").select(
+        F.col("value").alias(RAW), F.from_json("value", PAYLOAD_READ, options).alias("_doc"),
+        F.when(_suspect(F.col("value")), mistyped(F.try_parse_json("value"))).alias(MISTYPED), F.lit(measure_type).alias("measure_type"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_file_time"), *folders)
+    return df.select("_doc.*", *(c for c in df.columns if c != "_doc"))
+
+
+#: One of the text fields' names with neither a text nor null behind it, or a name that may be written in escapes.
+_SUSPECT = (r'"(?:meteringpointcode|time|start|stop|unit|resolution)"\s*:\s*(?:[^"\sn]|n(?!ull))|\\u')
+
+
+def _suspect(value: Column) -> Column:
+    """Whether a document's text may hold a mistyped field: one scan that spares most documents the second parse."""
+    return value.rlike(_SUSPECT)
+
+
+def _not_text(variant: Column, path: str) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
+
+
+def _entry_not_text(field: str):
+    return lambda entry: _not_text(entry, f"$.{field}")
+
+
+def mistyped(document: Column) -> Column:
+    """The first text field that holds something else, NULL if there is none (SRC-3).
+
+    The typed read turns numbers into text, so the kinds are asked of the
+    document as VARIANT.  A document that can't be held as one is left to the
+    typed read.
+    """
+    root = "$.getconsumptionsresult"
+    fields = [("meteringpointcode", f"{root}.consumptiondata.meteringpointcode")]
+    fields += [(f"{name}{f}", f"{root}.{part}.{f}") for name, part in (("", "consumptiondata"), ("spotdata.", "spotdata"))
+               for f in _SERIES_TEXTS]
+    found = F.when(F.lit(False), F.lit(""))
+    for name, path in fields:
+        found = found.when(_not_text(document, path), F.lit(name))
+    for name, part in (("", "consumptiondata"), ("spotdata.", "spotdata")):
+        entries = F.try_variant_get(document, f"{root}.{part}.timeseries.values.tsv", "array<variant>")
+        for f in _ENTRY_TEXTS:
+            found = found.when(F.exists(entries, _entry_not_text(f)), F.lit(f"{name}tsv.{f}"))
+    return found
 
 
 def document_problem(doc: DataFrame) -> Column:
@@ -62,13 +118,13 @@ def document_problem(doc: DataFrame) -> Column:
     spot = "getconsumptionsresult.spotdata"
     for part in ("timeseries.start", "timeseries.stop", "timeseries.resolution", "timeseries.values.tsv"):
         reason = reason.when(F.col(spot).isNotNull() & F.col(f"{spot}.{part}").isNull(), F.lit(f"missing spotdata.{part}"))
-    return reason
+    return reason.when(F.col(MISTYPED).isNotNull(), F.concat(F.lit("mistyped "), F.col(MISTYPED)))
 
 
 def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) documents; rejected carry ``reason``."""
     tagged = docs.withColumn("reason", document_problem(docs))
-    good = tagged.where(F.col("reason").isNull()).drop("reason", CORRUPT)
+    good = tagged.where(F.col("reason").isNull()).drop("reason", CORRUPT, RAW, MISTYPED)
     return good, tagged.where(F.col("reason").isNotNull())
 
 
@@ -122,105 +178,5 @@ def explode_spot(docs: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
                        F.col("tsv.quantity").cast("double").alias("price"), "unit")
 
 
-# ---------------------------------------------------------------------------
-# Writing documents: readings grouped per (point, side, resolution, local day).
-# ---------------------------------------------------------------------------
-
-def _local_text(utc: Column, tz: str) -> Column:
-    return F.date_format(utc_to_local(utc, tz), "yyyy-MM-dd'T'HH:mm:ss")
-
-
-def _next_local_day(day_utc: Column, tz: str) -> Column:
-    # Local midnight of the following day; 36 h is inside it on any DST day.
-    return local_day_start(day_utc + F.make_dt_interval(F.lit(1), F.lit(12)), tz)
-
-
-def _minutes_between(a: Column, b: Column) -> Column:
-    # TIMESTAMP_NTZ difference; a cast to TIMESTAMP would go through the session zone.
-    return F.timestamp_diff("MINUTE", a, b).cast("int")
-
-
-def documents_from_readings(readings: DataFrame, tz: str = DEFAULT_TZ,
-                            spot_prices: DataFrame | None = None) -> DataFrame:
-    """Payload documents, one per (point, side, resolution, local day).
-
-    ``readings`` must hold one row per key (after last-write-wins), so each
-    group is bounded by the slots of one day.  Every slot of the day is
-    present; slots without a reading carry a NULL quantity.  With
-    ``spot_prices`` (``time, price``) consumption documents embed the day's
-    hourly spot series.
-    """
-    step = resolution_minutes(F.col("resolution_duration"))
-    r = readings.select(
-        "metering_point_code", "measure_type", "resolution_duration", "measure_unit", "value",
-        local_day_start(F.col("time"), tz).alias("day"), "time")
-    r = r.withColumn("slot", (_minutes_between(F.col("day"), F.col("time")) / step).cast("int"))
-    grouped = r.groupBy("metering_point_code", "measure_type", "resolution_duration", "day").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.col("value").cast("float")))).alias("q"),
-        F.first("measure_unit").alias("unit"),
-        F.sum("value").cast("float").alias("total"))
-    nxt = _next_local_day(F.col("day"), tz)
-    g = grouped.withColumn("next_day", nxt).withColumn("step", step) \
-        .withColumn("n_slots", (_minutes_between(F.col("day"), F.col("next_day")) / F.col("step")).cast("int"))
-    start_txt, stop_txt = _local_text(F.col("day"), tz), _local_text(F.col("next_day"), tz)
-    g = g.withColumn("start_txt", start_txt).withColumn("stop_txt", stop_txt)
-
-    def slot_entry(i):
-        t = F.col("day") + F.make_dt_interval(F.lit(0), F.lit(0), i * F.col("step"), F.lit(0))
-        return F.struct(F.try_element_at(F.col("q"), i).alias("quantity"), _local_text(t, tz).alias("time"),
-                        F.col("start_txt").alias("start"), F.col("stop_txt").alias("stop"),
-                        F.col("unit").alias("unit"))
-
-    tsv = F.transform(F.sequence(F.lit(0), F.col("n_slots") - 1), slot_entry)
-    header = F.struct(F.col("total").alias("quantity"), F.col("start_txt").alias("start"),
-                      F.col("stop_txt").alias("stop"), F.col("unit").alias("unit"))
-    series = F.struct(F.col("start_txt").alias("start"), F.col("stop_txt").alias("stop"),
-                      F.col("resolution_duration").alias("resolution"),
-                      F.struct(tsv.alias("tsv")).alias("values"))
-    docs = g.select("measure_type", "metering_point_code", "day", "next_day", "start_txt", "stop_txt",
-                    header.alias("sum"), series.alias("timeseries"))
-    spot = F.lit(None).cast(schemas.SERIES_DATA)
-    if spot_prices is not None:
-        docs, spot = _with_spot(docs, spot_prices, tz)
-    cd = F.struct(F.col("metering_point_code").alias("meteringpointcode"), "sum", "timeseries")
-    return docs.select("measure_type", F.struct(cd.alias("consumptiondata"),
-                                                spot.alias("spotdata")).alias("getconsumptionsresult"))
-
-
-def _with_spot(docs: DataFrame, prices: DataFrame, tz: str):
-    """Attach the day's hourly spot series to consumption documents.
-
-    Prices are grouped per local day once (bounded: 25 hours a day) and joined
-    to documents on the day.
-    """
-    hourly = prices.where(F.minute("time") == 0).select(
-        local_day_start(F.col("time"), tz).alias("pday"), "time", "price")
-    hourly = hourly.withColumn("slot", (_minutes_between(F.col("pday"), F.col("time")) / 60).cast("int"))
-    per_day = hourly.groupBy("pday").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.col("price").cast("float")))).alias("pq"))
-    d = docs.join(per_day, docs["day"] == per_day["pday"], "left")
-    n_hours = (_minutes_between(F.col("day"), F.col("next_day")) / 60).cast("int")
-
-    def slot_entry(i):
-        t = F.col("day") + F.make_dt_interval(F.lit(0), i, F.lit(0), F.lit(0))
-        return F.struct(F.try_element_at(F.col("pq"), i).alias("quantity"), _local_text(t, tz).alias("time"),
-                        F.col("start_txt").alias("start"), F.col("stop_txt").alias("stop"),
-                        F.lit("EUR/MWh").alias("unit"))
-
-    tsv = F.transform(F.sequence(F.lit(0), n_hours - 1), slot_entry)
-    spot = F.struct(
-        F.struct(F.lit(None).cast("float").alias("quantity"), F.col("start_txt").alias("start"),
-                 F.col("stop_txt").alias("stop"), F.lit("EUR/MWh").alias("unit")).alias("sum"),
-        F.struct(F.col("start_txt").alias("start"), F.col("stop_txt").alias("stop"),
-                 F.lit("PT1H").alias("resolution"), F.struct(tsv.alias("tsv")).alias("values")).alias("timeseries"))
-    spot = F.when(F.col("measure_type") == 1, spot)
-    return d, spot
-
-
-def write_documents(docs: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Land documents as JSON lines, one folder per side."""
-    docs.write.mode(mode).partitionBy("measure_type").json(root)
-
-
 def side_path(root: str, measure_type: int) -> str:
     return f"{root.rstrip('/')}/measure_type={measure_type}"

@@ -1,11 +1,14 @@
-"""Continuous ingest of landed payload documents (ST-5, ST-6, ST-7, SNK-9).
+"""Continuous ingest of landed payload documents (ST-3, ST-5..ST-7, SNK-9).
 
 ``readStream`` over the landing folders → ``foreachBatch``: strict document
-check, explode, price, keyed merge into ``energies``, then recompute the
-roll-up periods the batch touched.  A re-fetched reading overwrites by key,
-so late or corrected data is never dropped and no watermark is used.  Each
-micro-batch is idempotent (merge by key), so a replay after a failure gives
-the same tables; progress is kept in the query's checkpoint location.
+check, explode, one tagged pass into the outbox, then every sink on its own
+(``streaming.loads``): kept rejects, the keyed merge into ``energies``, the wide
+points of both sides, and the roll-ups of the days the batch touched.  A
+re-fetched reading overwrites by key, unless its document's file is older than
+the one stored, so late or corrected data is never dropped and no watermark is
+used.  A replayed micro-batch replaces its own load and merges by key, so it
+gives the same tables; what a sink missed is tried again by the next run.
+Progress is kept in the query's checkpoint location.
 """
 
 from __future__ import annotations
@@ -16,25 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION, Settings
-from meterframe.operators.pricing import build_energies
 from meterframe.sinks.energies_table import EnergiesTable
-from meterframe.sinks.wide_table import write_both
+from meterframe.sinks.files import Files
 from meterframe.sinks.rollup_store import RollupStore
+from meterframe.sinks.wide_table import WideTable
 from meterframe.sources import payloads as P
+from meterframe.streaming.loads import Loads, Report
 
 
 def payload_stream(spark: SparkSession, landing_root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Documents of both sides as one stream."""
-    sides = []
+    """Documents of both sides as one stream; a side may have landed nothing yet."""
+    files, sides = Files(spark, landing_root), []
     for mt in (MEASURE_CONSUMPTION, MEASURE_PRODUCTION):
-        r = (spark.readStream.schema(P.PAYLOAD_READ).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", P.CORRUPT).option("allowNonNumericNumbers", False))
+        files.make(P.side_path(landing_root, mt))
+        r = spark.readStream
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-        df = r.json(P.side_path(landing_root, mt))
-        sides.append(df.select("*", F.lit(mt).alias("measure_type"),
-                               F.col("_metadata.file_path").alias("_file"),
-                               F.col("_metadata.file_modification_time").alias("_file_time")))
+        sides.append(P.typed_documents(r.format("text").load(P.side_path(landing_root, mt)), mt))
     return sides[0].unionByName(sides[1])
 
 
@@ -43,27 +44,24 @@ class IngestReport:
     batches: int = 0
     rejected_documents: int = 0
     errors: list = field(default_factory=list)
+    #: Loads that some sink has yet to take.
+    waiting: int = 0
 
+    def add(self, run: Report) -> None:
+        self.errors += run.errors
+        self.waiting = run.waiting
 
-def make_batch_handler(table: EnergiesTable, rollups: RollupStore, contracts, prices: DataFrame,
-                       rejects_path: str, settings: Settings, report: IngestReport,
-                       wide_path: str | None = None):
+
+def make_batch_handler(loads: Loads, report: IngestReport):
     def handle(batch: DataFrame, epoch_id: int) -> None:
         docs = batch.persist()
         try:
             good, rejected = P.split_documents(docs)
             # One folder per epoch, replaced as a whole: a replayed batch leaves one copy.
-            (rejected.select("measure_type", "_file", "reason", P.CORRUPT)
-             .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{rejects_path}/epoch={epoch_id}"))
-            readings = P.explode_readings(good, settings.tz)
-            # Both sinks run; a failing wide sink is reported and does not stop
-            # the fact sink or the refresh (SNK-9, ST-3).
-            if wide_path is not None:
-                for kind, err in write_both(readings, contracts, prices, wide_path, settings).items():
-                    if err:
-                        report.errors.append((epoch_id, kind, err))
-            days = table.merge(build_energies(readings, contracts, prices, settings))
-            rollups.refresh_days(table.read(with_partition=True), days)
+            (rejected.select("measure_type", "_file", "reason", P.RAW)
+             .write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .parquet(f"{loads.rejects}/documents/epoch={epoch_id}"))
+            report.add(loads.apply(f"{epoch_id:020d}", P.explode_readings(good, loads.settings.tz)))
             report.rejected_documents += rejected.count()
             report.batches += 1
         finally:
@@ -74,12 +72,19 @@ def make_batch_handler(table: EnergiesTable, rollups: RollupStore, contracts, pr
 def run_ingest(spark: SparkSession, landing_root: str, table: EnergiesTable, rollups: RollupStore,
                contracts, prices: DataFrame, checkpoint: str, rejects_path: str,
                settings: Settings = Settings(), max_files_per_trigger: int | None = None,
-               wide_path: str | None = None) -> IngestReport:
-    """Process everything landed so far and stop (``availableNow``)."""
+               wide_path: str | None = None, points: DataFrame | None = None, outbox: str | None = None) -> IngestReport:
+    """Process everything landed so far and stop (``availableNow``); first what earlier runs left in the outbox.
+
+    Rejected documents go to ``<rejects_path>/documents``, rejected readings to
+    ``<rejects_path>/readings``.
+    """
     report = IngestReport()
-    handler = make_batch_handler(table, rollups, contracts, prices, rejects_path, settings, report, wide_path)
+    wide = WideTable(spark, wide_path) if wide_path is not None else None
+    loads = Loads(spark, outbox or f"{checkpoint.rstrip('/')}-outbox", rejects_path, table, rollups, contracts, prices,
+                  settings, wide, points)
+    report.add(loads.run())
     q = (payload_stream(spark, landing_root, max_files_per_trigger).writeStream
-         .foreachBatch(handler).option("checkpointLocation", checkpoint)
+         .foreachBatch(make_batch_handler(loads, report)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return report

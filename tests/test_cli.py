@@ -33,12 +33,14 @@ def test_ingest_refresh_report(spark, sf_small):
     summary = json.loads(_run("ingest", "--root", root, "--landing", landing, "--contracts", CONTRACTS,
                               "--prices", price_path)[-1])
     assert summary["batches"] >= 1 and summary["errors"] == []
-    report = [json.loads(x) for x in _run("report", "--root", root)]
+    point = "mp-1"
+    report = [json.loads(x) for x in _run("report", "--root", root, "--point", point)]
     assert report and set(report[0]) == {"date", "consumption", "energy_cost_eur", "spot_cost_no_margin_eur",
                                          "avg_energy_price_eur", "avg_spot_price_no_margin_eur"}
     _run("refresh", "--root", root)
-    assert [json.loads(x) for x in _run("report", "--root", root)] == report
+    assert [json.loads(x) for x in _run("report", "--root", root, "--point", point)] == report
     out = json.loads(_run("backfill", "--root", root, "--landing", landing, "--contracts", CONTRACTS,
                           "--prices", price_path, "--start", "2023-12-20T00:00:00",
                           "--stop", "2024-01-10T00:00:00", "--resolution", "PT15M")[-1])
+    assert out["errors"] == [] and out["waiting"] == 0
     assert out["first"] >= "2023-12-20" and out["last"] <= "2024-01-09"

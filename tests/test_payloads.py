@@ -6,7 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meterframe.plans.documents import documents_from_readings
 from meterframe.sources import payloads as P
+from meterframe.sources.landing import as_lines, land, read_landed
 
 
 def _tsv(q, time, start=None, unit="kWh", **extra):
@@ -127,7 +129,7 @@ def test_dst_day_document_roundtrip(spark, tmp_path):
     df = spark.createDataFrame(rows, "time timestamp_ntz, metering_point_code string, measure_type int, "
                                      "resolution_duration string, value double, measure_unit string, seq long")
     root = str(tmp_path / "landing")
-    P.write_documents(P.documents_from_readings(df), root)
+    land(as_lines(documents_from_readings(df)), root)
     docs = P.read_payloads(spark, P.side_path(root, 1), 1)
     sizes = sorted(len(r.tsv) for r in docs.select(
         F.col("getconsumptionsresult.consumptiondata.timeseries.values.tsv").alias("tsv")).collect())
@@ -160,4 +162,67 @@ def test_backfill_selects_range_and_resolution(spark, tmp_path):
         return sorted(r[0] for r in sel.select("getconsumptionsresult.consumptiondata.meteringpointcode").collect())
 
     assert points(documents_in_range(df, "2024-01-01T00:00:00", "2024-01-08T00:00:00")) == ["a", "d"]
+    # A document that crosses a bound overlaps the range.
+    assert points(documents_in_range(df, "2024-01-01T12:00:00", "2024-01-02T12:00:00")) == ["a", "d"]
     assert points(documents_in_range(df, "2024-01-02T00:00:00", "2024-01-08T00:00:00", "PT15M")) == ["b"]
+
+
+def test_text_fields_must_be_text(spark, tmp_path):
+    """A number or a truth value in a text field rejects the document, though a lenient reader makes it text."""
+    tsv = [_tsv(0.1, "x", start="2024-01-02T00:00:00"), _tsv(0.2, "y", start="2024-01-02T00:00:00")]
+    spot = {"sum": {"quantity": 1.0, "start": "a", "stop": "b", "unit": "c"},
+            "timeseries": {"start": "a", "stop": "b", "resolution": "PT1H", "values": {"tsv": tsv}}}
+    fine = _doc("1", "PT1H", tsv, spot=spot)
+    cd = ("getconsumptionsresult", "consumptiondata")
+    wrong = {
+        "mistyped meteringpointcode": (*cd, "meteringpointcode", 12345), "mistyped sum.unit": (*cd, "sum", "unit", True),
+        "mistyped timeseries.resolution": (*cd, "timeseries", "resolution", 15),
+        "mistyped tsv.time": (*cd, "timeseries", "values", "tsv", 1, "time", 7),
+        "mistyped tsv.unit": (*cd, "timeseries", "values", "tsv", 0, "unit", {"kWh": 1}),
+        "mistyped tsv.start": (*cd, "timeseries", "values", "tsv", 1, "start", ["2024"]),
+        "mistyped spotdata.sum.unit": ("getconsumptionsresult", "spotdata", "sum", "unit", 1.5),
+        "mistyped spotdata.tsv.time": ("getconsumptionsresult", "spotdata", "timeseries", "values", "tsv", 0, "time", 0)}
+    docs = [fine, {**fine, "note": {"time": 5}}]
+    for path in wrong.values():
+        doc = json.loads(json.dumps(fine))
+        at = doc
+        for k in path[:-2]:
+            at = at[k]
+        at[path[-2]] = path[-1]
+        docs.append(doc)
+    # Optional fields may be null or absent, and unknown fields of any kind.
+    loose = json.loads(json.dumps(fine))
+    loose["getconsumptionsresult"]["consumptiondata"]["timeseries"]["values"]["tsv"][0].update(unit=None, start=None, day=3)
+    good, rejected = P.split_documents(P.read_payloads(spark, _land(tmp_path, [*docs, loose]), 1))
+    assert good.count() == 3
+    assert sorted(r.reason for r in rejected.collect()) == sorted(wrong)
+
+
+def test_landing_by_covered_days(spark, tmp_path):
+    """A reader of a range opens only folders of documents that overlap it."""
+    tsv = [_tsv(0.1, "x", start="2024-01-02T00:00:00")]
+    spans = {"jan": ("2024-01-01T00:00:00", "2024-02-01T00:00:00"), "feb": ("2024-02-01T00:00:00", "2024-03-01T00:00:00"),
+             "day": ("2024-01-31T00:00:00", "2024-02-01T00:00:00"), "odd": ("soon", "later"), "none": ("2024-03-05T00:00:00", "2024-03-05T00:00:00")}
+    lines = [(json.dumps(_doc(p, "PT1H", tsv, start=a, stop=b)), 1) for p, (a, b) in spans.items()] + [('{"broken', 6)]
+    root = str(tmp_path / "landing")
+    land(spark.createDataFrame(lines, "value string, measure_type int"), root)
+
+    def found(lo, hi):
+        docs = read_landed(spark, root, lo, hi)
+        return sorted(r[0] or "broken" for r in docs.select("getconsumptionsresult.consumptiondata.meteringpointcode").collect())
+
+    assert found(None, None) == ["broken", "day", "feb", "jan", "none", "odd"]
+    assert found("2024-01-31", "2024-01-31") == ["broken", "day", "jan", "odd"]
+    assert found("2024-02-01", "2024-02-10") == ["broken", "feb", "odd"]
+    assert found("2024-01-05", "2024-02-01") == ["broken", "day", "feb", "jan", "odd"]
+    plan = read_landed(spark, root, "2024-02-01", "2024-02-10")._jdf.queryExecution().executedPlan().toString()
+    assert "first_day" in plan and "PartitionFilters: []" not in plan
+
+
+def test_clip_keeps_the_range(spark):
+    from meterframe.plans.jobs import clip
+    t = dt.datetime
+    times = [t(2024, 1, 1, 21, 59), t(2024, 1, 1, 22), t(2024, 1, 2, 21, 45), t(2024, 1, 2, 22), None]
+    rows = spark.createDataFrame([(x,) for x in times], "time timestamp_ntz")
+    got = [r.time for r in clip(rows, "2024-01-02T00:00:00", "2024-01-03T00:00:00").collect()]
+    assert got == [times[1], times[2], None]
