@@ -111,7 +111,8 @@ def main(argv=None) -> None:
                             f"{root}/_rejects", settings, wide_path=f"{root}/wide",
                             points=_points(spark, a.points), outbox=f"{root}/_outbox")
         print(json.dumps({"batches": report.batches, "rejected_documents": report.rejected_documents,
-                          "errors": report.errors, "waiting": report.waiting}))
+                          "readings": report.readings, "empty": report.empty, "errors": report.errors,
+                          "waiting": report.waiting}))
     elif a.command == "backfill":
         table = _table(spark, root, a.tz)
         loads = Loads(spark, f"{root}/_outbox", f"{root}/_rejects", table, rollups, _contracts(spark, a.contracts, a.tz),

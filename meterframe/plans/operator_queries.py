@@ -15,6 +15,7 @@ from meterframe.plans.catalog import (
     SETTINGS, contract_table, energies, prices, readings, register,
 )
 from meterframe.schemas import ENERGY_KEY
+from meterframe.sources import testdata
 
 KEY = ", ".join(ENERGY_KEY)
 
@@ -70,9 +71,12 @@ def q_price_wide_default(spark, sf_dir):
 @register("price_duplicates", O.with_base(
     "SELECT CAST(sum(n) AS BIGINT) AS n_price_rows, count(*) AS n_times, "
     "count(*) FILTER (WHERE n > 1) AS n_duplicate_times "
-    "FROM (SELECT time, count(*) AS n FROM day_ahead_prices GROUP BY time)"))
+    "FROM (SELECT time, count(*) AS n FROM (SELECT time FROM day_ahead_prices UNION ALL "
+    "SELECT time FROM day_ahead_prices WHERE EXTRACT(hour FROM time) % 5 = 0) GROUP BY time)"))
 def q_price_duplicates(spark, sf_dir):
-    return price_duplicates(prices(spark, sf_dir), summary=True)
+    """Prices of every fifth hour stand twice."""
+    p = prices(spark, sf_dir)
+    return price_duplicates(p.unionByName(p.where(F.hour("time") % 5 == 0)), summary=True)
 
 
 @register("night_flag", O.with_base(
@@ -131,11 +135,24 @@ def q_energy_fee_dispatch(spark, sf_dir):
                      tariff.energy_fee("contract_type", "_spot", "_lh").alias("energy_fee"))
 
 
+# Readings with every fault: some without a time, some from before the first contract, and a week under type none.
+_NONE_WEEK = ("(1, TIMESTAMP '2023-12-24 22:00:00', TIMESTAMP '2023-12-31 21:59:59', 4,", "(1, TIMESTAMP '2023-12-24 22:00:00', TIMESTAMP '2023-12-31 21:59:59', 1,")
+
+
 @register("rejects_by_reason", O.with_base(
-    "SELECT measure_type, 'no_quantity' AS reason, count(*) AS n_rows FROM readings "
-    "WHERE quantity IS NULL GROUP BY 1"))
+    "SELECT measure_type, reason, count(*) AS n_rows FROM (SELECT f.measure_type, CASE WHEN f.time IS NULL THEN 'no_time' "
+    "WHEN f.quantity IS NULL THEN 'no_quantity' WHEN c.contract_type IS NULL THEN 'no_single_contract' "
+    "WHEN f.measure_type = 1 AND c.contract_type = 1 THEN 'contract_type_none' END AS reason FROM faulty f "
+    "LEFT JOIN contracts_none c ON c.side = f.measure_type AND f.time >= c.valid_from AND (c.valid_to IS NULL OR f.time <= c.valid_to)) "
+    "WHERE reason IS NOT NULL GROUP BY 1, 2",
+    O.contracts_cte("contracts_none", O.CONTRACT_ROWS.replace(*_NONE_WEEK)),
+    "faulty AS (SELECT * REPLACE (CASE WHEN event_id % 50 = 11 THEN NULL WHEN event_id % 50 IN (13, 7) THEN time - INTERVAL 730 DAY "
+    "ELSE time END AS time) FROM readings)"))
 def q_rejects_by_reason(spark, sf_dir):
-    return Q.rejects_by_reason(readings(spark, sf_dir), contract_table(spark), SETTINGS)
+    slot = F.col("seq") % 50
+    faulty = readings(spark, sf_dir).withColumn("time", F.when(slot == 11, None).when(
+        slot.isin(13, 7), F.col("time") - F.make_dt_interval(F.lit(730))).otherwise(F.col("time")))
+    return Q.rejects_by_reason(faulty, testdata.contracts(spark, testdata.NONE_WEEK_CONTRACTS), SETTINGS)
 
 
 @register("energies_dedupe", O.with_base(
@@ -151,20 +168,38 @@ def q_energies_dedupe(spark, sf_dir):
 
 @register("energies_key_check", O.with_base(
     f"SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, count(*) FILTER (WHERE n > 1) AS n_duplicate_keys "
-    f"FROM (SELECT {KEY}, count(*) AS n FROM energies GROUP BY {KEY})"))
+    f"FROM (SELECT {KEY}, count(*) AS n FROM (SELECT * FROM energies UNION ALL SELECT * FROM energies "
+    f"WHERE EXTRACT(hour FROM time) = 5) GROUP BY {KEY})"))
 def q_energies_key_check(spark, sf_dir):
-    return Q.key_check(energies(spark, sf_dir))
+    """Facts of the hour from 5 stand twice."""
+    e = energies(spark, sf_dir)
+    return Q.key_check(e.unionByName(e.where(F.hour("time") == 5)))
 
 
 _NULL_SQL = ", ".join([f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in Q.NOT_NULL])
+# Facts that break each rule: the hour of a fact tells which column is spoilt.
+_SPOIL = {c: i for i, c in enumerate(Q.NOT_NULL)}
+
+
+def _spoilt_sql() -> str:
+    spoilt = [f"CASE WHEN EXTRACT(hour FROM e.time) = {h} THEN NULL ELSE {c} END AS {c}" for c, h in _SPOIL.items()
+              if c not in ("measure_unit", "resolution_duration")]
+    spoilt += [f"CASE EXTRACT(hour FROM e.time) WHEN {_SPOIL[c]} THEN NULL WHEN {h} THEN '{x}' ELSE {c} END AS {c}"
+               for c, h, x in (("measure_unit", 20, "kilowatt"), ("resolution_duration", 21, "PT15MINUTES"))]
+    return f"spoilt AS (SELECT e.* REPLACE ({', '.join(spoilt)}) FROM energies e)"
 
 
 @register("energies_null_check", O.with_base(
     f"SELECT count(*) AS n_rows, {_NULL_SQL}, "
     f"count(*) FILTER (WHERE length(measure_unit) > 3) AS long_measure_unit, "
-    f"count(*) FILTER (WHERE length(resolution_duration) > 10) AS long_resolution_duration FROM energies"))
+    f"count(*) FILTER (WHERE length(resolution_duration) > 10) AS long_resolution_duration FROM spoilt", _spoilt_sql()))
 def q_energies_null_check(spark, sf_dir):
-    return Q.null_check(energies(spark, sf_dir))
+    hour = F.hour("time")
+    e = energies(spark, sf_dir)
+    spoilt = {c: F.when(hour != h, F.col(c)) for c, h in _SPOIL.items()}
+    for c, h, x in (("measure_unit", 20, "kilowatt"), ("resolution_duration", 21, "PT15MINUTES")):
+        spoilt[c] = F.when(hour == h, F.lit(x)).otherwise(spoilt[c])
+    return Q.null_check(e.select(*(spoilt.get(c, F.col(c)).alias(c) for c in e.columns)))
 
 
 @register("resolution_backfill", O.with_base(

@@ -18,8 +18,9 @@ result equals a full refresh (tested).
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +79,15 @@ class RollupStore:
         Publisher(self.spark, path, [PERIOD]).replace(
             out, [time_col, "metering_point_code"], keep_rest=periods is not None, also=[f"{PERIOD}={p}" for p in periods or ()])
 
+    def _write_all(self, tables: dict[str, DataFrame], kind: str, periods: list[str] | None) -> None:
+        """Write the roll-ups of one state side by side: each is a table of its own, and small jobs leave executors idle."""
+        def write(name: str) -> None:
+            self._write(tables[name], self.path(*name.split("_")), kind, "time", periods)
+
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(write), name) for name in tables]:
+                done.result()
+
     def _read_state(self, like: DataFrame, name: str, parents: list[str] | None) -> DataFrame:
         """A state table, or its periods below the given months or years."""
         df = self._table(f"{self.root}/{name}", like.schema)
@@ -102,20 +112,14 @@ class RollupStore:
             fine = fine_states(facts, s, keep)
             day = keep(fine["day"])
             self._write(day, f"{self.root}/_day_state", "day", "bucket", days)
-            for name, df in finish_all(fine | {"day": day}, sides).items():
-                side, grain = name.split("_")
-                self._write(df, self.path(side, grain), "day", "time", days)
+            self._write_all(finish_all(fine | {"day": day}, sides), "day", days)
             month = keep(coarsen(self._read_state(day, "_day_state", months),
                                  lambda b: local_month_start(b, s.tz), THREE_KEYS, wide=True))
             self._write(month, f"{self.root}/_month_state", "month", "bucket", months)
             year = coarsen(self._read_state(month, "_month_state", years),
                            lambda b: local_year_start(b, s.tz), THREE_KEYS, wide=True)
-            for name, df in finish_all({"month": month}, sides).items():
-                side, grain = name.split("_")
-                self._write(df, self.path(side, grain), "month", "time", months)
-            for name, df in finish_all({"year": year}, sides).items():
-                side, grain = name.split("_")
-                self._write(df, self.path(side, grain), "year", "time", years)
+            self._write_all(finish_all({"month": month}, sides), "month", months)
+            self._write_all(finish_all({"year": year}, sides), "year", years)
         finally:
             for df in kept:
                 df.unpersist()

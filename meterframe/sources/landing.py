@@ -9,7 +9,7 @@ such days covers all time: it is read always, and its readings tell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION
@@ -18,22 +18,24 @@ from meterframe.sinks.files import Files
 from meterframe.sources import payloads as P
 
 FIRST, LAST = "0001-01-01", "9999-12-31"
-_SERIES = "$.getconsumptionsresult.consumptiondata.timeseries"
+_HEADER = "getconsumptionsresult struct<consumptiondata: struct<timeseries: struct<start: string, stop: string>>>"
 
 
-def cover(value: Column) -> list[Column]:
-    """First and last local day of a document's series (its stop is exclusive)."""
-    start = parse_local(F.get_json_object(value, f"{_SERIES}.start"))
-    stop = parse_local(F.get_json_object(value, f"{_SERIES}.stop"))
-    last = F.greatest(start, stop - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1)))
-    known = start.isNotNull() & stop.isNotNull()
-    return [F.when(known, F.date_format(start, "yyyy-MM-dd")).otherwise(FIRST).alias("first_day"),
-            F.when(known, F.date_format(last, "yyyy-MM-dd")).otherwise(LAST).alias("last_day")]
+def cover(lines: DataFrame) -> DataFrame:
+    """``lines`` with the first and last local day of each document's series (its stop is exclusive)."""
+    # Rows of a generator, so that each document is parsed once.
+    header = F.inline(F.array(F.from_json("value", _HEADER)))
+    at = lines.select("*", header).select(
+        *lines.columns, *(parse_local(F.col(f"getconsumptionsresult.consumptiondata.timeseries.{c}")).alias(f"_{c}") for c in ("start", "stop")))
+    last = F.greatest(F.col("_start"), F.col("_stop") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1)))
+    known = F.col("_start").isNotNull() & F.col("_stop").isNotNull()
+    return at.select(*lines.columns, F.when(known, F.date_format("_start", "yyyy-MM-dd")).otherwise(FIRST).alias("first_day"),
+                     F.when(known, F.date_format(last, "yyyy-MM-dd")).otherwise(LAST).alias("last_day"))
 
 
 def land(lines: DataFrame, root: str, mode: str = "append") -> None:
     """Land documents (``value``, ``measure_type``), one a row."""
-    rows = lines.select("value", "measure_type", *cover(F.col("value")))
+    rows = cover(lines.select("value", "measure_type"))
     folders = ["measure_type", *P.COVER]
     # A day's documents go to as many files as their size asks for.
     (rows.hint("rebalance", *folders).write.mode(mode).option("partitionOverwriteMode", "static")

@@ -61,10 +61,13 @@ def typed_documents(lines: DataFrame, measure_type: int) -> DataFrame:
     """
     folders = [F.col(c).cast("string").alias(c) for c in COVER if c in lines.columns]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "false"}
+    # Rows of a generator: conditions on the parsed fields stay above it, so a document is parsed once.
+    parsed = F.inline(F.array(F.struct(
+        F.from_json("value", PAYLOAD_READ, options).alias("_doc"),
+        F.when(_suspect(F.col("value")), mistyped(F.try_parse_json("value"))).alias(MISTYPED))))
     df = lines.where(F.trim("value") != "").select(
-        F.col("value").alias(RAW), F.from_json("value", PAYLOAD_READ, options).alias("_doc"),
-        F.when(_suspect(F.col("value")), mistyped(F.try_parse_json("value"))).alias(MISTYPED), F.lit(measure_type).alias("measure_type"),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_file_time"), *folders)
+        F.col("value").alias(RAW), F.lit(measure_type).alias("measure_type"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_modification_time").alias("_file_time"), *folders, parsed)
     return df.select("_doc.*", *(c for c in df.columns if c != "_doc"))
 
 

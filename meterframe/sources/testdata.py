@@ -111,6 +111,8 @@ REPRICED_CONTRACTS = [
     FIXTURE_CONTRACTS[2],
     FIXTURE_CONTRACTS[3],
 ]
+# The same week under contract type none (1): its consumption can't be priced.
+NONE_WEEK_CONTRACTS = [FIXTURE_CONTRACTS[0], (*FIXTURE_CONTRACTS[1][:3], 1, *FIXTURE_CONTRACTS[1][4:]), *FIXTURE_CONTRACTS[2:]]
 
 
 def contracts(spark: SparkSession, rows_in=None) -> DataFrame:

@@ -47,7 +47,12 @@ class IngestReport:
     #: Loads that some sink has yet to take.
     waiting: int = 0
 
+    #: Readings taken, and those of them that were empty slots.
+    readings: int = 0
+    empty: int = 0
+
     def add(self, run: Report) -> None:
+        self.readings, self.empty = self.readings + run.readings, self.empty + run.empty
         self.errors += run.errors
         self.waiting = run.waiting
 

@@ -2,7 +2,8 @@
 
 A load is the readings of one stream epoch or one backfill.  ``apply`` first
 writes them, each with the reason it is rejected for or none, to the outbox
-(``<outbox>/<name>/readings``); this one tagged pass over the documents feeds the
+(``<outbox>/<name>/readings``; slots without a quantity are only counted, as the
+reference skips them silently); this one tagged pass over the documents feeds the
 facts, the wide points of both sides and the kept rejects.  Then each sink takes
 the load; a sink that fails is reported and does not stop the others or the
 roll-up refresh, and the load stays in the outbox until every sink has it.
@@ -17,14 +18,14 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterframe.config import Settings
 from meterframe.operators.pricing import build_energies, wide_points
 from meterframe.operators.quality import tagged
-from meterframe.operators.readings import REASON_NO_TARIFF
+from meterframe.operators.readings import REASON_NO_QUANTITY, REASON_NO_TARIFF
 from meterframe.sinks.energies_table import EnergiesTable, day_of
 from meterframe.sinks.files import Files
 from meterframe.sinks.rollup_store import RollupStore
@@ -39,6 +40,9 @@ class Report:
     errors: list = field(default_factory=list)
     waiting: int = 0
     days: set = field(default_factory=set)
+    #: Readings of the load just put in, and those of them that were empty slots.
+    readings: int = 0
+    empty: int = 0
 
 
 class Loads:
@@ -63,9 +67,16 @@ class Loads:
         """Put a load into the outbox and run; a load of the same name is replaced."""
         self.files.delete(f"{self.outbox}/{name}")
         rows = tagged(readings, self.contracts, self.settings)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.outbox}/{name}/readings")
-        self.files.write(f"{self.outbox}/{name}/{READY}", rows.schema.json())
-        return self.run()
+        # Empty slots are most of a document that is fetched early: they are counted, not kept. (A lost executor's
+        # repeated tasks may count them twice.)
+        empty, counts = F.col("reason").eqNullSafe(REASON_NO_QUANTITY), Observation()
+        kept = rows.observe(counts, F.count_if(empty).alias("empty"), F.count(F.lit(1)).alias("all")).where(~empty)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.outbox}/{name}/readings")
+        seen = counts.get
+        self.files.write(f"{self.outbox}/{name}/{READY}", json.dumps({"schema": rows.schema.jsonValue(), "readings": seen}))
+        report = self.run()
+        report.readings, report.empty = seen.get("all", 0), seen.get("empty", 0)
+        return report
 
     def waiting(self) -> list[str]:
         """Loads that some sink has yet to take, in order; those that were not written to the end are dropped."""
@@ -121,7 +132,7 @@ class Loads:
             report.errors.append((todo[0], "rollups", f"{type(e).__name__}: {e}"))
 
     def _staged(self, name: str) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(self.files.read(f"{self.outbox}/{name}/{READY}")))
+        schema = T.StructType.fromJson(json.loads(self.files.read(f"{self.outbox}/{name}/{READY}"))["schema"])
         return self.spark.read.schema(schema).parquet(f"{self.outbox}/{name}/readings")
 
     def _taken(self, name: str, sink: str) -> bool:
