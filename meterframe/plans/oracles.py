@@ -23,10 +23,12 @@ def contracts_cte(name: str = "contracts", rows: str = CONTRACT_ROWS) -> str:
     return f"{name} AS (SELECT * FROM (VALUES {rows.strip()}) AS c({CONTRACT_COLUMNS}))"
 
 
-SHARED = """
+def shared(shift: str = "- INTERVAL 15 DAY") -> str:
+    """Shifted events ``b`` and the prices made of them."""
+    return f"""
 b AS (SELECT event_id, ts, user_id, event_type, value,
         time_bucket(INTERVAL '15 minutes', t) AS t15, date_trunc('hour', t) AS t60
-      FROM (SELECT *, ts - INTERVAL 15 DAY AS t FROM events)),
+      FROM (SELECT *, ts {shift} AS t FROM events)),
 day_ahead_prices AS (
   SELECT t60 AS time, round(avg(value) * 100) / 100 - 40 AS price FROM b
     WHERE EXTRACT(hour FROM t60) % 7 <> 3 GROUP BY t60
@@ -35,7 +37,11 @@ day_ahead_prices AS (
 """
 
 
-def energies_ctes(p: str = "", where: str = "TRUE", contracts: str = "contracts") -> str:
+_NIGHT = "lh < 7 OR lh >= 22"
+
+
+def energies_ctes(p: str = "", where: str = "TRUE", contracts: str = "contracts", local: str = "time + INTERVAL 2 HOUR",
+                  energy_night: str = _NIGHT, transfer_night: str = _NIGHT) -> str:
     """Readings ``{p}readings``, deduped ``{p}r``, local hour ``{p}h``, facts ``{p}energies``."""
     return f"""
 {p}readings AS (SELECT event_id, 'mp-' || CAST(user_id AS VARCHAR) AS metering_point_code,
@@ -45,23 +51,24 @@ def energies_ctes(p: str = "", where: str = "TRUE", contracts: str = "contracts"
         CASE WHEN event_id % 50 = 7 THEN NULL ELSE value / 100 END AS quantity FROM b WHERE {where}),
 {p}r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY time, metering_point_code, measure_type,
         resolution_duration ORDER BY event_id DESC) AS rn FROM {p}readings WHERE quantity IS NOT NULL) WHERE rn = 1),
-{p}h AS (SELECT *, EXTRACT(hour FROM time + INTERVAL 2 HOUR) AS lh FROM {p}r),
+{p}h AS (SELECT *, EXTRACT(hour FROM {local}) AS lh FROM {p}r),
 {p}energies AS (SELECT h.time, h.metering_point_code, h.measure_type, CAST(c.contract_type AS SMALLINT) AS contract_type,
   'meter' AS source, 'kWh' AS measure_unit, h.quantity AS value, c.energy_basic_fee,
-  CASE WHEN c.contract_type IN (2,4) THEN CASE WHEN lh < 7 OR lh >= 22 THEN night_fee ELSE day_fee END END AS energy_fee,
+  CASE WHEN c.contract_type IN (2,4) THEN CASE WHEN {energy_night} THEN night_fee ELSE day_fee END END AS energy_fee,
   c.energy_margin, c.transfer_basic_fee,
-  CASE WHEN lh < 7 OR lh >= 22 THEN transfer_night ELSE transfer_day END AS transfer_fee,
+  CASE WHEN {transfer_night} THEN transfer_night ELSE transfer_day END AS transfer_fee,
   c.transfer_tax_fee, c.tax_percentage,
-  CASE WHEN h.measure_type = 1 THEN (lh < 7 OR lh >= 22) ELSE FALSE END AS night,
+  CASE WHEN h.measure_type = 1 THEN ({energy_night}) ELSE FALSE END AS night,
   h.resolution_duration, COALESCE(p1.price, p2.price) / 10 AS spot_price
   FROM {p}h h JOIN {contracts} c ON c.side = h.measure_type AND h.time >= c.valid_from
     AND (c.valid_to IS NULL OR h.time <= c.valid_to)
   LEFT JOIN day_ahead_prices p1 ON p1.time = h.time
-  LEFT JOIN day_ahead_prices p2 ON p2.time = h.hour_start)
+  LEFT JOIN day_ahead_prices p2 ON p2.time = h.hour_start
+  WHERE NOT (h.measure_type = 1 AND c.contract_type = 1))
 """
 
 
-BASE = ",\n".join([SHARED.strip(), contracts_cte(), energies_ctes().strip()])
+BASE = ",\n".join([shared().strip(), contracts_cte(), energies_ctes().strip()])
 
 
 def with_base(select: str, *extra_ctes: str) -> str:
@@ -100,7 +107,7 @@ def _avg(x: str) -> str:
     return f"CASE WHEN COUNT({x}) > 0 THEN ({_sum(x)}) / COUNT({x}) END"
 
 
-def rollup_sql(side: str, grain: str, source: str = "energies") -> str:
+def rollup_sql(side: str, grain: str, source: str = "energies", buckets: dict[str, str] = _BUCKETS) -> str:
     """SELECT of one roll-up over a relation named ``source``."""
     mt = 1 if side == "consumption" else 6
     spot = "spot_price * (tax_percentage / 100.0 + 1.0)"
@@ -157,5 +164,5 @@ def rollup_sql(side: str, grain: str, source: str = "energies") -> str:
         keys = "metering_point_code, measure_type, contract_type, source, measure_unit"
         group = "1, metering_point_code, measure_type, contract_type, source, measure_unit"
     body = ",\n  ".join(cols)
-    return (f"SELECT {_BUCKETS[grain]} AS time, {keys},\n  {body}\n"
+    return (f"SELECT {buckets[grain]} AS time, {keys},\n  {body}\n"
             f"FROM {source} WHERE {where} GROUP BY {group}")

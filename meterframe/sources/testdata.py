@@ -20,6 +20,8 @@ from meterframe.config import (
 )
 from meterframe.functions.timeutil import hour_start, quarter_start
 
+#: Days by which events are shifted back.
+BACK_DAYS = 15
 _CONSUMPTION_EVENTS = ("view", "click", "signup")
 
 
@@ -27,16 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _bucketed(events: DataFrame) -> DataFrame:
-    t = F.col("ts") - F.make_dt_interval(F.lit(15))
+def _bucketed(events: DataFrame, back_days: int = BACK_DAYS) -> DataFrame:
+    t = F.col("ts") - F.make_dt_interval(F.lit(back_days))
     return (events.select("event_id", "user_id", "event_type", "value", t.alias("t"))
             .select("event_id", "user_id", "event_type", "value",
                     quarter_start("t").alias("t15"), hour_start("t").alias("t60")))
 
 
-def readings(events: DataFrame) -> DataFrame:
+def readings(events: DataFrame, back_days: int = BACK_DAYS) -> DataFrame:
     """Raw readings (``schemas.READINGS`` plus ``hour_start``), nulls kept."""
-    b = _bucketed(events)
+    b = _bucketed(events, back_days)
     hourly = F.col("event_id") % 3 == 0
     return b.select(
         F.when(hourly, F.col("t60")).otherwise(F.col("t15")).alias("time"),
@@ -52,9 +54,9 @@ def readings(events: DataFrame) -> DataFrame:
     )
 
 
-def day_ahead_prices(events: DataFrame) -> DataFrame:
+def day_ahead_prices(events: DataFrame, back_days: int = BACK_DAYS) -> DataFrame:
     """``(time, price)`` in EUR/MWh: hourly and some quarter-hour prices."""
-    b = _bucketed(events)
+    b = _bucketed(events, back_days)
     hourly = (b.where(F.hour("t60") % 7 != 3).groupBy(F.col("t60").alias("time"))
               .agg((F.round(F.avg("value") * 100) / 100 - 40).alias("price")))
     quarterly = (b.where((F.col("event_id") % 2 == 0) & (F.col("t15") != F.col("t60")))
@@ -123,3 +125,23 @@ def contracts(spark: SparkSession, rows_in=None) -> DataFrame:
         rows.append((side, lo, hi, ctype, tax, None, None, e_basic, e_day, e_night, margin,
                      None, None, None, t_basic, t_day, t_night, t_tax))
     return spark.createDataFrame(rows, schemas.CONTRACTS)
+
+
+# Contracts over a year with both clock changes: night hours of their own (energy start, end; transfer start, end), no
+# tax on negative prices, a time under type none. (… as above, energy start, end, transfer start, end, negative_no_tax)
+CLOCK_CONTRACTS = [
+    (1, _T(2023, 10, 1, 0, 0, 0), _T(2023, 11, 4, 21, 59, 59), 2, 4.5, 2.23, 1.23, None, 13.5, 3.34, 2.34, 2.35972, 24.0, 23, 6, 21, 8, None),
+    (1, _T(2023, 11, 4, 22, 0, 0), _T(2023, 11, 8, 21, 59, 59), 1, 1.5, None, None, None, 13.5, 3.34, 2.34, 2.35972, 24.0, None, None, 20, 5, None),
+    (1, _T(2023, 11, 8, 22, 0, 0), _T(2024, 3, 28, 21, 59, 59), 4, 5.5, 3.23, 2.23, None, 14.5, 4.34, 3.34, 2.35972, 10.0, 20, 5, None, None, None),
+    (1, _T(2024, 3, 28, 22, 0, 0), _T(2024, 4, 7, 20, 59, 59), 3, 5.5, None, None, 0.25, 14.5, 4.34, 3.34, 2.35972, 24.0, 1, 4, 0, 3, True),
+    (1, _T(2024, 4, 7, 21, 0, 0), None, 3, 5.5, None, None, 0.5, 14.5, 4.34, 3.34, 2.35972, 25.5, None, None, None, None, False),
+    (6, _T(2023, 1, 1, 0, 0, 0), None, 3, 0.0, None, None, 0.3, 0.0, 0.07, 0.05, 0.0, 24.0, None, None, 21, 6, None),
+]
+
+
+def clock_contracts(spark: SparkSession) -> DataFrame:
+    """``CLOCK_CONTRACTS`` in ``schemas.CONTRACTS`` layout."""
+    rows = [(side, lo, hi, kind, tax, e_from, e_to, e_basic, e_day, e_night, margin, free, t_from, t_to, t_basic, t_day, t_night, t_tax)
+            for (side, lo, hi, kind, e_basic, e_day, e_night, margin, t_basic, t_day, t_night, t_tax, tax,
+                 e_from, e_to, t_from, t_to, free) in CLOCK_CONTRACTS]
+    return spark.createDataFrame(rows, schemas.CONTRACTS)
