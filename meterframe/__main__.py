@@ -11,8 +11,9 @@
 ``_rejects`` and the ``_outbox`` of loads that a sink has yet to take.  ``land``
 puts received documents (one a line) into the landing by the local days they
 cover; a flat landing (``measure_type=1``, ``measure_type=6``) can be read too.
-Prices are a Parquet table ``(time, price)``, price points one of
-``schemas.PRICE_POINTS``, which price the wide points.  Paths are whatever the
+Prices are a Parquet table ``(time, price)``.  Price points (``--points``, a
+table of ``schemas.PRICE_POINTS``) are put into ``R/price_points`` by time and
+tags; once there are any, they price the wide points.  Paths are whatever the
 cluster's file system accepts (shared storage on a cluster).
 """
 
@@ -31,6 +32,7 @@ from meterframe.operators.report import daily_report
 from meterframe.plans import jobs
 from meterframe.session import build_session
 from meterframe.sinks.energies_table import EnergiesTable
+from meterframe.sinks.price_points import PricePointStore
 from meterframe.sinks.rollup_store import RollupStore
 from meterframe.sources import contracts as SC
 from meterframe.sources.landing import land
@@ -56,8 +58,12 @@ def _contracts(spark, path: str, tz: str):
     return ContractTable(table)
 
 
-def _points(spark, path: str | None):
-    return read_price_points(spark, path) if path else None
+def _points(spark, root: str, path: str | None):
+    """The root's stored points, with those of ``path`` put in first; None if it has none."""
+    store = PricePointStore(spark, f"{root}/price_points")
+    if path:
+        store.upsert(read_price_points(spark, path))
+    return store if store.publisher.files.exists(store.path) else None
 
 
 def _table(spark, root: str, tz: str) -> EnergiesTable:
@@ -109,7 +115,7 @@ def main(argv=None) -> None:
         report = run_ingest(spark, a.landing, table, rollups, _contracts(spark, a.contracts, a.tz),
                             read_day_ahead_prices(spark, a.prices), f"{root}/_checkpoint",
                             f"{root}/_rejects", settings, wide_path=f"{root}/wide",
-                            points=_points(spark, a.points), outbox=f"{root}/_outbox")
+                            points=_points(spark, root, a.points), outbox=f"{root}/_outbox")
         print(json.dumps({"batches": report.batches, "rejected_documents": report.rejected_documents,
                           "readings": report.readings, "empty": report.empty, "errors": report.errors,
                           "waiting": report.waiting}))
@@ -117,7 +123,7 @@ def main(argv=None) -> None:
         table = _table(spark, root, a.tz)
         loads = Loads(spark, f"{root}/_outbox", f"{root}/_rejects", table, rollups, _contracts(spark, a.contracts, a.tz),
                       read_day_ahead_prices(spark, a.prices), settings, WideTable(spark, f"{root}/wide"),
-                      _points(spark, a.points))
+                      _points(spark, root, a.points))
         done = jobs.run_backfill(loads, a.landing, a.start, a.stop, a.resolution)
         days = sorted(done.days)
         print(json.dumps({"days": len(days), "first": days[0] if days else None, "last": days[-1] if days else None,

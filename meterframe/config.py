@@ -28,6 +28,10 @@ MEASURE_UNIT_MAX = 3
 RESOLUTION_MAX = 10
 # ---------------------------------------------------------------------------
 
+# Not of the reference: a reading beyond this (or no finite number, as a quantity over the 32-bit range becomes) can't be
+# summed exactly with any price below 920 per kWh, and would end the job that sums it; it is rejected.
+VALUE_LIMIT = 1e8
+
 SIDES = {"consumption": MEASURE_CONSUMPTION, "production": MEASURE_PRODUCTION}
 GRAINS = ("15min", "hour", "day", "month", "year")
 

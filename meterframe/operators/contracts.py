@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.config import CONTRACT_TYPE_CODES, Settings
-from meterframe.operators.sizing import measured
 from meterframe.schemas import CONTRACT_ATTRS
 
 
@@ -54,21 +54,23 @@ def segments(contracts: DataFrame) -> DataFrame:
 
 
 class ContractTable:
-    """Segments of a contract dimension, persisted and counted once.
+    """Segments of a contract dimension, kept from their first use until ``release``.
 
     The dimension is configuration (a contract history per side, as in the
-    reference), so the sweep's windows run per side.
-
-    The same small table serves the range join (narrow projection) and the
-    later attribute join on ``(side, seg_from)``.
+    reference), so the sweep's windows run per side.  No job runs here; a lost
+    block is recomputed from lineage.
     """
 
     def __init__(self, contracts: DataFrame):
-        self.segments, self.n = measured(segments(contracts))
+        self.segments = segments(contracts).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.segments.unpersist()
 
 
-def as_table(contracts) -> ContractTable:
-    return contracts if isinstance(contracts, ContractTable) else ContractTable(contracts)
+def _segments_of(contracts) -> DataFrame:
+    """A kept table's segments, or those of a plain DataFrame, planned where they are used."""
+    return contracts.segments if isinstance(contracts, ContractTable) else segments(contracts)
 
 
 def _day(ts):
@@ -89,7 +91,7 @@ def attach_contract(readings: DataFrame, contracts, settings: Settings = Setting
     segments of a side never overlap, so their days add up to the covered span.
     At most one segment of a side is open: it is held against the rest.
     """
-    segs = as_table(contracts).segments
+    segs = _segments_of(contracts)
     cols = list(CONTRACT_ATTRS) if attrs else ["contract_type"]
     span = ["side", "seg_from", "seg_to"]
     days = F.sequence(_day(F.col("seg_from")), _day(F.col("seg_to") - _micro()), F.make_dt_interval(F.lit(1)))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from meterframe.config import VALUE_LIMIT
 from meterframe.schemas import ENERGY_KEY
 
 REASON_NO_TIME = "no_time"
 REASON_DST = "dst_ambiguous_or_missing"
 REASON_NO_QUANTITY = "no_quantity"
+REASON_OUT_OF_RANGE = "quantity_out_of_range"
 REASON_NO_CONTRACT = "no_single_contract"
 REASON_NO_TARIFF = "contract_type_none"
 
@@ -20,7 +22,8 @@ def reject_reason(df: DataFrame):
     dst = F.col("dst_reject") if "dst_reject" in df.columns else F.lit(False)
     return (F.when(F.col("time").isNull(), F.lit(REASON_NO_TIME))
             .when(dst, F.lit(REASON_DST))
-            .when(F.col("value").isNull(), F.lit(REASON_NO_QUANTITY)))
+            .when(F.col("value").isNull(), F.lit(REASON_NO_QUANTITY))
+            .when(~(F.abs(F.col("value")) < VALUE_LIMIT), F.lit(REASON_OUT_OF_RANGE)))
 
 
 def accepted(df: DataFrame) -> DataFrame:

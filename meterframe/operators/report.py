@@ -13,6 +13,8 @@ def daily_report(day_rollup: DataFrame, date_from=None, date_to=None,
     """Date, consumption and money columns in EUR, closed date range, ascending.
 
     The dashboard's source columns map onto the day roll-up as SURVEY §2.8.
+    Rows are sorted by date, then meter, so a day's meters are spread over
+    several sort tasks.
     """
     d = day_rollup
     if metering_point_code is not None:
@@ -30,4 +32,4 @@ def daily_report(day_rollup: DataFrame, date_from=None, date_to=None,
         (F.col("energy_fee_spot_no_margin") / 100).alias("spot_cost_no_margin_eur"),
         (F.col("energy_fee_avg") / 100).alias("avg_energy_price_eur"),
         (spot_avg / 100).alias("avg_spot_price_no_margin_eur"),
-    ).orderBy("date")
+    ).orderBy("date", d["metering_point_code"])

@@ -13,6 +13,7 @@ from meterframe.plans.catalog import SETTINGS, contract_table, energies, events,
 from meterframe.plans.payload_queries import landed_months
 from meterframe.session import work_path
 from meterframe.sinks.energies_table import EnergiesTable
+from meterframe.sinks.price_points import PricePointStore
 from meterframe.sinks.publish import RejectedBatch
 from meterframe.sinks.rollup_store import RollupStore
 from meterframe.sinks.wide_table import WideTable
@@ -102,9 +103,15 @@ def q_backfill_range(spark, sf_dir):
 def new_loads(spark, sf_dir, contracts, points=True) -> Loads:
     """Sinks of a fresh set of tables, priced from ``events``."""
     root = work_path(spark, "tables")
+    store = PricePointStore(spark, f"{root}/price_points")
+    if points:
+        # The hourly points are written twice: first with other prices, then as they are.
+        given = testdata.price_points(events(spark, sf_dir))
+        store.upsert(given.where(F.minute("time") == 0).withColumn("price", F.col("price") + 7))
+        store.upsert(given)
     return Loads(spark, f"{root}/_outbox", f"{root}/_rejects", EnergiesTable(spark, f"{root}/energies", SETTINGS.tz).create(),
                  RollupStore(spark, f"{root}/rollups", SETTINGS), contracts, prices(spark, sf_dir), SETTINGS,
-                 WideTable(spark, f"{root}/wide"), testdata.price_points(events(spark, sf_dir)) if points else None)
+                 WideTable(spark, f"{root}/wide"), store if points else None)
 
 
 def _sound(report) -> None:

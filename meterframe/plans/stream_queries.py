@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterframe.config import GRAINS, MEASURE_PRODUCTION, SIDES
 from meterframe.functions.timeutil import ntz_lit
 from meterframe.operators.readings import accepted, last_write_wins
+from meterframe.operators.report import daily_report
 from meterframe.plans import oracles as O
 from meterframe.plans.catalog import SETTINGS, contract_table, events, register
 from meterframe.plans.documents import documents_from_readings
@@ -87,6 +88,22 @@ def q_stream_incremental_refresh_production_month(spark, sf_dir):
     return streamed(spark, sf_dir).rollups.read("production", "month")
 
 
+#: First and last local midnight of the ranged report, as UTC.
+REPORT_FROM, REPORT_TO = "2023-12-26 22:00:00", "2024-01-07 22:00:00"
+
+
+@register("report_range", O.with_base(
+    "SELECT time AS date, energy_consumption AS consumption, energy_fee / 100 AS energy_cost_eur, "
+    "energy_fee_spot_no_margin / 100 AS spot_cost_no_margin_eur, energy_fee_avg / 100 AS avg_energy_price_eur, "
+    "(CASE WHEN energy_consumption <> 0 THEN energy_fee_spot_no_margin / energy_consumption END) / 100 AS avg_spot_price_no_margin_eur "
+    f"FROM ({O.rollup_sql('consumption', 'day', source='penergies')}) "
+    f"WHERE time BETWEEN TIMESTAMP '{REPORT_FROM}' AND TIMESTAMP '{REPORT_TO}'", _DOCS, _PENERGIES))
+def q_report_range(spark, sf_dir):
+    """The report over a closed range of days of the stored roll-up: only that range's folders are opened (O-33, R-1)."""
+    days = streamed(spark, sf_dir).rollups.read("consumption", "day", REPORT_FROM, REPORT_TO)
+    return daily_report(days, REPORT_FROM, REPORT_TO)
+
+
 @register("stream_wide_productions", _wide_sql(MEASURE_PRODUCTION, landed_only=True))
 def q_stream_wide_productions(spark, sf_dir):
     return streamed(spark, sf_dir).wide.read("productions").select(*[f.name for f in WIDE.fields])

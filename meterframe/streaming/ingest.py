@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from meterframe.config import MEASURE_CONSUMPTION, MEASURE_PRODUCTION, Settings
 from meterframe.sinks.energies_table import EnergiesTable
 from meterframe.sinks.files import Files
+from meterframe.sinks.price_points import PricePointStore
 from meterframe.sinks.rollup_store import RollupStore
 from meterframe.sinks.wide_table import WideTable
 from meterframe.sources import payloads as P
@@ -77,7 +78,7 @@ def make_batch_handler(loads: Loads, report: IngestReport):
 def run_ingest(spark: SparkSession, landing_root: str, table: EnergiesTable, rollups: RollupStore,
                contracts, prices: DataFrame, checkpoint: str, rejects_path: str,
                settings: Settings = Settings(), max_files_per_trigger: int | None = None,
-               wide_path: str | None = None, points: DataFrame | None = None, outbox: str | None = None) -> IngestReport:
+               wide_path: str | None = None, points: DataFrame | PricePointStore | None = None, outbox: str | None = None) -> IngestReport:
     """Process everything landed so far and stop (``availableNow``); first what earlier runs left in the outbox.
 
     Rejected documents go to ``<rejects_path>/documents``, rejected readings to

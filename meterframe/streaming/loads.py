@@ -28,6 +28,7 @@ from meterframe.operators.quality import tagged
 from meterframe.operators.readings import REASON_NO_QUANTITY, REASON_NO_TARIFF
 from meterframe.sinks.energies_table import EnergiesTable, day_of
 from meterframe.sinks.files import Files
+from meterframe.sinks.price_points import PricePointStore
 from meterframe.sinks.rollup_store import RollupStore
 from meterframe.sinks.wide_table import KINDS, WideTable
 
@@ -46,11 +47,14 @@ class Report:
 
 
 class Loads:
-    """The sinks of one set of tables.  ``points`` price the wide points; without them ``prices`` do."""
+    """The sinks of one set of tables.
+
+    ``points`` (a store, read anew by each load, or a DataFrame) price the wide points; without them ``prices`` do.
+    """
 
     def __init__(self, spark: SparkSession, outbox: str, rejects: str, table: EnergiesTable, rollups: RollupStore,
                  contracts, prices: DataFrame, settings: Settings = Settings(), wide: WideTable | None = None,
-                 points: DataFrame | None = None):
+                 points: DataFrame | PricePointStore | None = None):
         self.spark, self.outbox, self.rejects = spark, outbox.rstrip("/"), rejects.rstrip("/")
         self.table, self.rollups, self.wide = table, rollups, wide
         self.contracts, self.prices, self.points, self.settings = contracts, prices, points, settings
@@ -156,6 +160,7 @@ class Loads:
         # Consumption under contract type none has no fact but a point without a fee.
         fit = rows.where(F.col("reason").isNull() | (F.col("reason") == REASON_NO_TARIFF)).drop("reason")
         prices = self.prices if self.points is None else self.points
+        prices = prices.read() if isinstance(prices, PricePointStore) else prices
         self.wide.upsert(wide_points(fit, self.contracts, prices, side, settings=self.settings, versions=True), KINDS[side])
 
     def _consumptions(self, rows: DataFrame, name: str) -> None:

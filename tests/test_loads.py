@@ -259,3 +259,36 @@ def test_wide_points_come_from_price_points(spark, loads):
     loads.apply("a", readings(spark, (T0, 1.0), (T0 + HOUR, 2.0)))
     assert {r.time: r.price for r in loads.wide.read().collect()} == {T0: 0.08, T0 + HOUR: 0.0}
     assert {r.time: r.spot_price for r in loads.table.read().collect()} == {T0: 5.0, T0 + HOUR: 5.1}
+
+
+def test_price_point_store_replaces_by_time_and_tags(spark, loads):
+    """Points written between two loads price the second one; a point written again replaces the stored one."""
+    from meterframe.schemas import PRICE_POINTS
+    from meterframe.sinks.price_points import PricePointStore
+    from meterframe.sinks.publish import RejectedBatch
+
+    def point(price, kind="A44", stamp="s1", time=T0, domain=None):
+        return (time, kind, domain, "x", kind, "x", "x", "EUR", "MWH", "A01", stamp, price, None)
+
+    def table(*rows):
+        return spark.createDataFrame(list(rows), PRICE_POINTS)
+
+    store = loads.points = PricePointStore(spark, work_path(spark, "points"))
+    assert store.read().count() == 0
+    loads.apply("0", readings(spark, (T0, 1.0)))
+    store.upsert(table(point(10.0), point(20.0, "A65"), point(30.0, time=T0 + HOUR * 24)))
+    store.upsert(table(point(40.0), point(50.0, stamp="s2")))
+    assert sorted(r.price for r in store.read().collect()) == [20.0, 30.0, 40.0, 50.0]
+    loads.apply("1", readings(spark, (T0, 2.0), file="f2", at=2))
+    assert [(r.value, r.price) for r in loads.wide.read().collect()] == [(2.0, 0.04)]
+    with pytest.raises(RejectedBatch):
+        store.upsert(table(point(None)))
+    assert store.read().count() == 4
+
+
+def test_quantities_that_no_sum_can_hold_are_rejected(spark, loads):
+    rows = readings(spark, (T0, 1.0), (T0 + HOUR, 1e12), (T0 + 2 * HOUR, float("inf")), (T0 + 3 * HOUR, float("nan")), (T0 + 4 * HOUR, -5e8))
+    assert loads.apply("a", rows).errors == []
+    assert facts(loads) == {(T0, 1): 1.0}
+    got = read_rejects(spark, loads.rejects).groupBy("reason").count().collect()
+    assert [(r.reason, r["count"]) for r in got] == [("quantity_out_of_range", 4)]

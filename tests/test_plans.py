@@ -59,3 +59,35 @@ def test_events_scan_prunes_columns(spark, sf_small):
     text = plan(catalog.readings(spark, sf_small))
     read_schema = text[text.index("ReadSchema"):].split("\n")[0]
     assert "props" not in read_schema
+
+
+def test_merge_plan_reads_and_rewrites_touched_days_only(spark, energies, monkeypatch):
+    """The published partitions are those of the batch, and no other folder changes."""
+    from meterframe.sinks.publish import Publisher
+    table = EnergiesTable(spark, work_path(spark, "plan-merge")).create(energies)
+    kept, replace = [], Publisher.replace
+    monkeypatch.setattr(Publisher, "replace", lambda self, *a, **k: kept.append(replace(self, *a, **k)) or kept[-1])
+    days = table.merge(energies.where("day(time) = 5 and hour(time) < 20"))
+    assert kept == [[f"day={d}" for d in days]] and days == ["2024-01-05"]
+
+
+def test_ranged_report_prunes_and_spreads_a_day(spark, energies):
+    from meterframe.operators.report import daily_report
+    from meterframe.sinks.rollup_store import RollupStore
+    store = RollupStore(spark, work_path(spark, "plan-report"))
+    store.refresh_full(energies, sides=("consumption",))
+    lo, hi = "2024-01-03 22:00:00", "2024-01-05 22:00:00"
+    report = daily_report(store.read("consumption", "day", lo, hi), lo, hi)
+    text = plan(report)
+    assert "PartitionFilters: [isnotnull(period" in text
+    assert "rangepartitioning(date" in text and "metering_point_code" in text[text.index("rangepartitioning"):].split("\n")[0]
+    assert sorted({str(r.date) for r in report.collect()}) == ["2024-01-03 22:00:00", "2024-01-04 22:00:00", "2024-01-05 22:00:00"]
+
+
+def test_contracts_run_no_job_and_can_be_released(spark):
+    from meterframe.operators.contracts import ContractTable
+    from meterframe.sources import testdata
+    table = ContractTable(testdata.contracts(spark))
+    assert table.segments.storageLevel.useMemory
+    table.release()
+    assert not table.segments.storageLevel.useMemory
