@@ -1,23 +1,23 @@
 """Line dedup by pairwise alignment.
 
-A document overlaps an earlier one if they share lines. Partners are found by
-keys: the hash of each line, and of the shortest runs of lines that hold
-``min_block_words`` words and begin or end at a line (every line of a common
-block lies in such a run). Every later holder of a key is paired with the
-earliest one, so a key gives one pair for each holder however common it is; a pair
-found through several keys is aligned once. Where the earliest holder has
-passages in another order, that pair leaves some of them: a document with a
-shared run that is not wholly deleted is then paired with all other earlier
-holders of the run. Holders whose shared lines stand alike are aligned alike, so the
-earliest of them is enough. Together the deletions are those of the pairs of all
-documents.
+A document overlaps an earlier one if they share a run of lines. Partners are
+found by keys: the hashes of the shortest runs of lines that hold
+``min_block_words`` words and begin or end at a line (a line with so many words
+is a run by itself; every line of a common block lies in such a run). Every
+later holder of a key is paired with the earliest one, so a key gives one pair
+for each holder however common it is; a pair found through several keys is
+aligned once.
 
 Each pair is aligned with patience diff over line hashes: common ends, then the
 longest ascending run of lines that are unique in both, then the gaps between
 them. Runs of aligned lines that hold at least ``min_block_words`` words are
-common blocks; they are deleted from the later document. The deletions of all
-its pairs add up. A run that no pair aligns stays, and the number of its pairs
-follows its holders that differ in their shared lines.
+common blocks and are deleted from the later document. Where this leaves a
+shared run (it stands in another order in the earlier document, or holds no line
+that is unique), the pair is aligned again with that run as its anchor, until no
+common block is left. So a pair deletes all lines of the later document that lie
+in a run of ``min_block_words`` words which the earlier one has too, and as each
+run is met with its earliest holder, the deletions of all pairs add up to those
+of the pairs of all documents.
 
 Order of documents: by doc_id (null last), then by the hash of the text. Rows
 that agree in doc_id and text are one document: each of them gets its result.
@@ -28,7 +28,6 @@ table gives no rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 
 import numpy as np
@@ -85,16 +84,33 @@ def _unique_run(a, alo, ahi, b, blo, bhi) -> list[tuple[int, int]]:
     return run[::-1]
 
 
-def blocks_to_delete(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, min_words: int) -> list[int]:
+def blocks_to_delete(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
     """Lines of ``later`` that lie in common blocks of at least ``min_words`` words."""
-    out, block = [], []
+    gone = np.zeros(len(later), bool)
+    block: list = []
     for i, j in [*common_lines(later, earlier), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(int(words[x]) for x, _ in block) >= min_words:
-                out += [x for x, _ in block]
+                gone[block[0][0]:block[-1][0] + 1] = True
             block = []
         block.append((i, j))
-    return out
+    first, end = shared_runs(later, earlier, words, min_words)
+    kept = np.r_[0, np.cumsum(~gone)]
+    for i, j in zip(first, end):  # aligned again, with a run that was left as the anchor
+        if kept[j] > kept[i]:
+            gone[i:j] = True
+    return np.flatnonzero(gone)
+
+
+def shared_runs(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the shortest runs of ``later`` that stand in ``earlier`` too."""
+    first, end = runs(words, min_words)
+    known, at = np.unique(later, return_index=True)
+    near = np.minimum(np.searchsorted(known, earlier), len(known) - 1)
+    # A line that the later document lacks is in no shared run, whatever its words.
+    there = runs(np.where(known[near] == earlier, words[at[near]], min_words), min_words)
+    hit = np.isin(run_keys(later, first, end), run_keys(earlier, *there))
+    return first[hit], end[hit]
 
 
 def runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,50 +142,6 @@ def _arrays(batch: pa.RecordBatch, *names: str):
         yield tuple(c[r].values.to_numpy(zero_copy_only=False) for c in cols)
 
 
-def _uncovered(hits: DataFrame, one: DataFrame, gone: DataFrame, doc_type: str, min_words: int) -> DataFrame:
-    """(doc, key, first) of shared runs that the pairs with the earliest holders have not wholly deleted."""
-    later = hits.where(F.col("doc") != F.col("first")).groupBy("doc").agg(F.collect_list(F.struct("key", "first")).alias("hit"))
-    none = F.array().cast("array<int>")
-    state = (later.select("doc", F.col("hit.key").alias("keys")).join(one, "doc").join(gone, "doc", "left")
-             .select("doc", "keys", "hash", "words", "line", F.coalesce("removed", none).alias("removed")))
-
-    def missed(batches):
-        for batch in batches:
-            found = []
-            for keys, h, w, line, removed in _arrays(batch, "keys", "hash", "words", "line", "removed"):
-                first, end = runs(w, min_words)
-                kept = np.r_[0, np.cumsum(~np.isin(line, removed))]
-                open_ = kept[end] > kept[first]
-                found.append(np.intersect1d(run_keys(h, first[open_], end[open_]), keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "keys"])
-
-    open_keys = state.mapInArrow(missed, f"doc {doc_type}, keys array<bigint>").select("doc", F.explode("keys").alias("key"))
-    return open_keys.join(hits, ["doc", "key"])
-
-
-def _classes(holders: DataFrame, hits: DataFrame, one: DataFrame, doc_type: str) -> DataFrame:
-    """(key, other): the earliest of the holders that every other document is aligned with alike.
-
-    Lines of one document only match nothing, so a document is to others what its
-    shared lines are, with a mark where such lines stand between them.
-    """
-    lines = (hits.join(holders.select("doc").distinct(), "doc", "left_semi")
-             .groupBy("doc").agg(F.collect_list("key").alias("keys")).join(one.select("doc", "hash"), "doc"))
-
-    def outline(batches):
-        for batch in batches:
-            found = []
-            for keys, h in _arrays(batch, "keys", "hash"):
-                own = ~np.isin(h, keys)
-                stay = ~own | np.r_[True, ~own[:-1]]
-                found.append(hashlib.blake2b(np.where(own, 0, h)[stay].tobytes() + own[stay].tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "outline"])
-
-    outlines = lines.mapInArrow(outline, f"doc {doc_type}, outline binary")
-    least = holders.select("doc", "key").join(outlines, "doc").groupBy("key", "outline").agg(F.min("doc").alias("other"))
-    return least.select("key", "other")
-
-
 def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, text): lines numbered from 0, text without the removed ones."""
     lines = F.split("text", "\n", -1)
@@ -186,7 +158,7 @@ def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
         for batch in batches:
             keys = []
             for h, w in _arrays(batch, "hash", "words"):
-                keys.append(np.unique(np.r_[h, run_keys(h, *runs(w, min_block_words))]))
+                keys.append(np.unique(run_keys(h, *runs(w, min_block_words))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
     doc_type = slim.schema["doc"].dataType.simpleString()
@@ -195,31 +167,20 @@ def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     held = slim.select("doc", F.explode("keys").alias("key"))
     shared = (held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .where(F.col("first") != F.col("last")).drop("last"))
-    hits, _ = stage(held.join(shared, "key"), "line-hits")
+    pairs, _ = stage(held.join(shared, "key").where(F.col("doc") != F.col("first")).select("doc", "first").distinct(), "line-pairs")
     one = slim.select("doc", "hash", "words", "line").dropDuplicates(["doc"])
 
     def align(batches):
         for batch in batches:
-            found = [[int(line[i]) for i in blocks_to_delete(b, a, words, min_block_words)]
+            found = [line[blocks_to_delete(b, a, words, min_block_words)]
                      for a, b, words, line in _arrays(batch, "a", "b", "words", "line")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc", "removed"])
 
-    def deletions(pairs: DataFrame) -> DataFrame:
-        later = one.select("doc", F.col("hash").alias("b"), "words", "line")
-        earlier = one.select(F.col("doc").alias("first"), F.col("hash").alias("a"))
-        both = pairs.join(later, "doc").join(earlier, "first").select("doc", "a", "b", "words", "line")
-        return both.mapInArrow(align, f"doc {doc_type}, removed array<int>").where(F.size("removed") > 0)
-
-    def union(gone: DataFrame) -> DataFrame:
-        return gone.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
-
-    gone, _ = stage(union(deletions(hits.where(F.col("doc") != F.col("first")).select("doc", "first").distinct())), "line-gone")
-    rest, _ = stage(_uncovered(hits, one, gone, doc_type, min_block_words), "line-rest")
-    if not rest.isEmpty():
-        others = _classes(hits.join(rest.select("key").distinct(), "key", "left_semi"), hits, one, doc_type)
-        more = (rest.join(others, "key").where((F.col("other") < F.col("doc")) & (F.col("other") != F.col("first")))
-                .select("doc", F.col("other").alias("first")).distinct())
-        gone = union(gone.unionByName(deletions(more)))
+    later = one.select("doc", F.col("hash").alias("b"), "words", "line")
+    earlier = one.select(F.col("doc").alias("first"), F.col("hash").alias("a"))
+    both = pairs.join(later, "doc").join(earlier, "first").select("doc", "a", "b", "words", "line")
+    found = both.mapInArrow(align, f"doc {doc_type}, removed array<int>").where(F.size("removed") > 0)
+    gone = found.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
     gone = gone.select(*(F.col(f"doc.{c}").alias(c) for c in KEY), "removed")
     out = rows.select("doc_id", "text", *row_key()).join(gone, KEY, "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))

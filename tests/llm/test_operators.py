@@ -387,6 +387,27 @@ def test_line_dedup_finds_every_partner(spark):
         n = np.array([len(x.split()) for x in t.split("\n")])
         want = {x for j in lines if j < i for x in line_dedup.blocks_to_delete(lines[i], lines[j], n, 10)}
         assert got[i] == sorted(want), i
+        # Every line in a run of ten words that an earlier document has too, by plain comparison of all runs.
+        covered = set()
+        for x in range(len(n)):
+            for y in range(x + 1, len(n) + 1):
+                if n[x:y].sum() >= 10 and any(j < i and any((lines[j][z:z + y - x] == lines[i][x:y]).all()
+                                                            for z in range(len(lines[j]) - (y - x) + 1)) for j in lines):
+                    covered |= set(range(x, y))
+        assert got[i] == sorted(covered), i
+
+
+def test_line_dedup_pairs_grow_with_holders(spark, monkeypatch):
+    """A line that stands twice in many documents, which differ besides: one pair a holder, not all pairs."""
+    hot = " ".join(f"h{i}" for i in range(12))
+    counts = []
+    keep = line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: (lambda r: (counts.append(r[0].count()) if name == "line-pairs" else None, r)[1])(keep(df, name)))
+    for n in (50, 200):
+        docs = spark.createDataFrame([(i, f"own{i} a\n{hot}\nmid{i} b\n{hot}") for i in range(n)], "doc_id long, text string")
+        got = {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(docs).collect()}
+        assert got[0] == [] and all(got[i] == [1, 3] for i in range(1, n))
+    assert counts == [49, 199]
 
 
 def test_pii_long_runs(spark):
