@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -421,6 +422,31 @@ def test_pii_long_runs(spark):
         ("card", 0, 199_999, False), ("card", 1, 100_001, False), ("email", 0, 100_003, True)]
 
 
+def test_pii_unbroken_million(spark):
+    """Long unbroken texts next to a sign are read once, not from each of their characters."""
+    n = 1_000_000
+    texts = [(1, "a" * n + " @"), (2, "b" * n + " (at) " + "c" * n), (3, "é" * n + "@" + "x" * n), (4, "a@" + "b-" * (n // 2)),
+             (5, "%" * n + "@d.e"), (6, "7" * n + " [at")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    began = time.time()
+    found = pii.spans(pii.find(docs)).where("kind in ('email', 'address')").select("kind", "start", "end").collect()
+    assert sorted(map(tuple, found)) == sorted([
+        ("address", 0, 2 * n + 6), ("address", 0, 2 * n + 1), ("address", 0, n + 2), ("address", 0, n + 4), ("email", 0, n + 4)])
+    assert time.time() - began < 120
+
+
+def test_pii_emails_equal_plain_search(spark):
+    rng = np.random.default_rng(12)
+    texts = [(i, "".join(rng.choice(list("ab.@_%-é 1"), int(rng.integers(0, 60)), p=[.2, .1, .15, .15, .1, .05, .05, .05, .1, .05])))
+             for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    parts = pii.find(docs)
+    placed = pii.spans(parts).where("kind = 'email'").join(parts.where("kind is null").select("uid", "doc_id"), "uid")
+    got = sorted((r.doc_id, r.start, r.end) for r in placed.select("doc_id", "start", "end").collect())
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert got == sorted((i, m.start(), m.end()) for i, t in texts for m in plain.finditer(t)) and len(got) > 100
+
+
 def test_pii_adds_forms_the_base_rules_miss(spark):
     rng = np.random.default_rng(8)
     rows = []
