@@ -129,14 +129,94 @@ def test_lm_base_and_model(spark):
     assert lm_scoring.score_documents(empty_docs(spark)).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    """Over all continuations the model adds up to one: the known words, the end and one unknown symbol."""
-    train = [(i, "a b a c") for i in range(40)] + [(i, "b b c") for i in range(40, 60)]
-    held = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
-    probe = [(held[0], "a"), (held[1], "a a"), (held[2], "a b"), (held[3], "a c")]
-    got = {r.doc_id: r.score for r in lm_scoring.score_documents(
-        spark.createDataFrame(train + probe, "doc_id long, text string"), iterations=8).collect()}
-    assert got[held[2]] > got[held[1]] and got[held[3]] > got[held[1]]
+class PlainLM:
+    """Deleted interpolation in plain Python: a probability for each (history, token), weights by EM on the deleted documents."""
+
+    def __init__(self, rows, order, iterations):
+        self.order, self.c = order, [collections.Counter() for _ in range(order)]
+        kept = [collections.Counter() for _ in range(order)]
+        self.docs = kept_docs = 0
+        events = []
+        for i, t in rows:
+            crc = zlib.crc32(str("" if i is None else i).encode())
+            if crc % 7 == 2:
+                continue
+            self.docs += 1
+            deleted = crc // 7 % 10 == 0
+            kept_docs += not deleted
+            for history, w in self.tokens(t):
+                for k in range(order):
+                    gram = (*history[len(history) - k:], w)
+                    self.c[k][gram] += 1
+                    kept[k][gram] += not deleted
+                if deleted:
+                    events.append((history, w))
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        self.weights, self.u = collections.defaultdict(lambda: 0.5), 0.5
+        n_kept, flat = sum(kept[0].values()), 1 / (sum(x > 0 for x in kept[0].values()) + 1)
+        for _ in range(iterations if events else 0):
+            own, rest, uniform, all_ = collections.Counter(), collections.Counter(), 0.0, 0.0
+            for history, w in events:
+                ml = [kept[0][(w,)] / max(n_kept, 1)] + [self.ml(kept, kept_docs, history, w, k)[0] for k in range(1, order)]
+                bucket = [self.ml(kept, kept_docs, history, w, k)[1] for k in range(1, order)]
+                mixed = [(1 - self.u) * ml[0] + self.u * flat]
+                for k in range(1, order):
+                    x = self.weight(k, bucket[k - 1])
+                    mixed.append(x * ml[k] + (1 - x) * mixed[-1])
+                here = 1.0  # chance that the token came from this order or below
+                for k in range(order - 1, 0, -1):
+                    x = self.weight(k, bucket[k - 1])
+                    own[k, bucket[k - 1]] += here * x * ml[k] / mixed[k]
+                    here *= (1 - x) * mixed[k - 1] / mixed[k]
+                    rest[k, bucket[k - 1]] += here
+                uniform += here * self.u * flat / mixed[0]
+                all_ += here
+            self.u = min(max(uniform / all_, 1e-6), 1.0)
+            for key in own:
+                if key[1] and own[key] + rest[key] > 0:
+                    self.weights[key] = min(own[key] / (own[key] + rest[key]), 1 - 1e-6)
+
+    def tokens(self, text):
+        all_ = ["<s>"] * (self.order - 1) + [*words(text), "</s>"]
+        return [(tuple(all_[:i]), all_[i]) for i in range(self.order - 1, len(all_))]
+
+    def ml(self, counts, docs, history, w, k):
+        context = history[len(history) - k:]
+        seen = docs if context[-1] == "<s>" else counts[k - 1][context]
+        gram = (*context, w)
+        return (counts[k][gram] / seen if seen else 0.0), (seen.bit_length() if seen else 0)
+
+    def weight(self, k, bucket):
+        return self.weights[k, bucket] if bucket else 0.0
+
+    def p(self, history, w):
+        p = (1 - self.u) * self.c[0][(w,)] / max(self.n, 1) + self.u / (self.v + 1)
+        for k in range(1, self.order):
+            ml, bucket = self.ml(self.c, self.docs, history, w, k)
+            x = self.weight(k, bucket)
+            p = x * ml + (1 - x) * p
+        return p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores_against_a_plain_model(spark, order):
+    rng = np.random.default_rng(order)
+    docs = [(i, " ".join(f"t{int(x)}" for x in rng.zipf(1.5, int(rng.integers(0, 40))) % 60)) for i in range(200)]
+    docs += [(None, "t1 t2 t1"), (7, None), (8, ""), (9, "never seen words"), (9, "never seen words")]
+    plain = PlainLM(docs, order, 6)
+    want = collections.defaultdict(list)
+    for i, t in docs:
+        want[i].append(sum(math.log10(plain.p(h, w)) for h, w in plain.tokens(t)))
+    got = collections.defaultdict(list)
+    for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), order=order, iterations=6).collect():
+        got[r.doc_id].append(r.score)
+    assert set(got) == set(want)
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-9, atol=1e-9), i
+    # Over the known words, the end and one unknown symbol, each history's probabilities add up to one.
+    histories = {h for _, t in docs[:40] for h, _ in plain.tokens(t)}
+    for h in histories:
+        assert abs(sum(plain.p(h, w) for (w,) in plain.c[0]) + plain.p(h, object()) - 1) < 1e-9
 
 
 def test_viterbi_counts(spark):
