@@ -32,6 +32,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,16 +147,17 @@ def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, text): lines numbered from 0, text without the removed ones."""
     lines = F.split("text", "\n", -1)
     rows = docs.select("doc_id", "text")
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
+    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
     full = F.filter(F.transform(trimmed, lambda x, i: F.struct(
-        i.alias("line"), F.xxhash64(x).alias("hash"), F.size(F.split(x, r"[\x09-\x0D\x20]+")).alias("words"),
+        i.alias("line"), F.xxhash64(x).alias("hash"), F.regexp_count(x, F.lit(r"[^\x09-\x0D\x20]+")).alias("words"),
         (F.length(x) > 0).alias("full"))), lambda s: s["full"])
     slim = (rows.where(F.col("text").isNotNull()).select(F.struct(*row_key()).alias("doc"), full.alias("f"))
-            .select("doc", F.col("f.line").alias("line"), F.col("f.hash").alias("hash"), F.col("f.words").alias("words"))
-            .where(F.size("hash") > 0))
+            .select("doc", F.col("f.line").alias("line"), F.col("f.hash").alias("hash"), F.col("f.words").alias("words")))
 
     def with_keys(batches):
         for batch in batches:
+            # Here and not as a condition of the plan, which would work the lines out once more.
+            batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0))
             keys = []
             for h, w in _arrays(batch, "hash", "words"):
                 keys.append(np.unique(run_keys(h, *runs(w, min_block_words))))
