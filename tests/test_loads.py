@@ -209,20 +209,20 @@ def test_stream_re_fetches_in_several_batches(spark, full, tmp_path, monkeypatch
     _land(spark, root, document("a", "2024-01-02", [1.0, 1.0, None]), document("a", "2024-01-03", [1.0]), '{"broken')
     land(spark.createDataFrame([(document("a", "2024-01-02", [9.0]), 6)], "value string, measure_type int"), root)
 
-    def run():
-        return run_ingest(spark, root, full.table, full.rollups, full.contracts, full.prices, str(tmp_path / "ck"),
+    def run(rollups):
+        return run_ingest(spark, root, full.table, rollups, full.contracts, full.prices, str(tmp_path / "ck"),
                           full.rejects, max_files_per_trigger=1, wide_path=full.wide.path, outbox=full.outbox)
 
     with monkeypatch.context() as m:
         m.setattr(WideTable, "upsert", fail)
-        report = run()
+        report = run(NoRollups())
     assert report.batches > 1 and report.rejected_documents == 1 and report.waiting == report.batches
     day = dt.datetime(2024, 1, 1, 22)
     quarter = dt.timedelta(minutes=15)
     assert facts(full) == {(day, 1): 1.0, (day + quarter, 1): 1.0, (day + dt.timedelta(days=1), 1): 1.0, (day, 6): 9.0}
     assert points(full) == {}
     _land(spark, root, document("a", "2024-01-02", [5.0, None, 5.0]))
-    report = run()
+    report = run(full.rollups)
     assert report.errors == [] and report.waiting == 0
     assert facts(full) == points(full) == {
         (day, 1): 5.0, (day + quarter, 1): 1.0, (day + 2 * quarter, 1): 5.0, (day + dt.timedelta(days=1), 1): 1.0, (day, 6): 9.0}
