@@ -8,7 +8,7 @@ import sys
 import pytest
 
 from meterframe.plans import registry  # noqa: F401
-from meterframe.plans.catalog import prices
+from meterframe.plans.catalog import energies, prices
 from meterframe.plans.payload_queries import landed
 from meterframe.session import work_path
 
@@ -33,7 +33,8 @@ def test_ingest_refresh_report(spark, sf_small):
     summary = json.loads(_run("ingest", "--root", root, "--landing", landing, "--contracts", CONTRACTS,
                               "--prices", price_path)[-1])
     assert summary["batches"] >= 1 and summary["errors"] == []
-    point = "mp-1"
+    facts = energies(spark, sf_small).where("measure_type = 1 and resolution_duration = 'PT15M' and time >= '2024-01-01'")
+    point = facts.first().metering_point_code
     report = [json.loads(x) for x in _run("report", "--root", root, "--point", point)]
     assert report and set(report[0]) == {"date", "consumption", "energy_cost_eur", "spot_cost_no_margin_eur",
                                          "avg_energy_price_eur", "avg_spot_price_no_margin_eur"}
