@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 1 << 19
+#: Keys that a counting task sorts at a time.
+SLICE_KEYS = 1 << 19
 #: Distinct words a task remembers the hash of, before it starts afresh.
 CACHE_WORDS = 1 << 18
 
@@ -207,31 +209,55 @@ def count_keys(blocks: DataFrame, request: Request, n_counts: int, ranges: int,
     def answer(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
         n = group.column("n").to_pylist()
-        keys = np.concatenate([decode_sorted(k.as_py(), m) for k, m in zip(group.column("keys"), n)])
-        counts = np.concatenate([np.stack(split_counts(c.as_py(), n_counts), axis=1) for c in group.column("counts")])
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        new = np.r_[True, ranked[1:] != ranked[:-1]]
-        start = np.flatnonzero(new)
-        sums = np.stack([np.add.reduceat(counts[order, c], start) for c in range(n_counts)], axis=1)
-        place = np.empty(len(keys), dtype=np.int64)
-        place[order] = np.cumsum(new) - 1
-        distinct, total = int((sums[:, 0] > 0).sum()), int(sums[:, 0].sum())
-        sums[sums < least] = 0
-        full, at, out = sums[place], 0, []
-        for m in n:
-            out.append(b"".join(len(e).to_bytes(4, "little") + e for e in (encode(full[at:at + m, c]) for c in range(n_counts))))
-            at += m
-        head = [distinct] + [0] * (len(n) - 1)
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "n": group.column("n"),
-                         "counts": pa.array(out, pa.binary()), "distinct": pa.array(head, pa.int64()),
-                         "total": pa.array([total] + [0] * (len(n) - 1), pa.int64())})
+        keys = [decode_sorted(k.as_py(), m) for k, m in zip(group.column("keys"), n)]
+        counts = [[narrow(c) for c in split_counts(v.as_py(), n_counts)] for v in group.column("counts")]
+        head = group.select(["block", "part", "n"])
+        del group
+        # The range is added up in slices of the key space, one at a time; a block's
+        # counts are overwritten by the sums.
+        low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+        slices = max(1, sum(n) // SLICE_KEYS)
+        width = (high - low) // slices + 1
+        distinct = total = 0
+        at = [0] * len(n)
+        for s in range(slices):
+            top = min(low + (s + 1) * width - 1, high)
+            ends = [int(np.searchsorted(k, np.uint64(top), side="right")) for k in keys]
+            some = np.concatenate([k[a:b] for k, a, b in zip(keys, at, ends)])
+            uniq, place = np.unique(some, return_inverse=True)
+            for c in range(n_counts):
+                sums = np.zeros(len(uniq), dtype=np.int64)
+                np.add.at(sums, place, np.concatenate([v[c][a:b] for v, a, b in zip(counts, at, ends)]).astype(np.int64))
+                if not c:
+                    distinct, total = distinct + int((sums > 0).sum()), total + int(sums.sum())
+                sums[sums < least] = 0
+                full, done = narrow(sums)[place], 0
+                for v, a, b in zip(counts, at, ends):
+                    if v[c].itemsize < full.itemsize:
+                        v[c] = v[c].astype(full.dtype)
+                    v[c][a:b] = full[done:done + b - a]
+                    done += b - a
+            at = ends
+        del keys
+        out = []
+        for i, v in enumerate(counts):
+            out.append(b"".join(len(e).to_bytes(4, "little") + e for e in map(encode, v)))
+            counts[i] = None
+        rest = [0] * (len(n) - 1)
+        return (head.append_column("counts", pa.array(out, pa.binary()))
+                .append_column("distinct", pa.array([distinct, *rest], pa.int64()))
+                .append_column("total", pa.array([total, *rest], pa.int64())))
 
     asked = blocks.mapInArrow(ask, "block long, part int, n long, keys binary, counts binary")
     return asked.groupBy("part").applyInArrow(
         answer, "block long, part int, n long, counts binary, distinct long, total long")
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return values.astype(np.int32) if not len(values) or int(values.max()) < 1 << 31 else values
+
+
 def split_counts(blob: bytes, n_counts: int) -> list[np.ndarray]:
     out, at = [], 0
     for _ in range(n_counts):

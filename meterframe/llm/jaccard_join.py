@@ -13,11 +13,15 @@ at least ``num / den``. Sets are 64-bit hashes of n-grams, sorted.
    visits the next band's tile). No tile is paired among itself at first: each
    class is held against the tile's smallest one, and links give components.
 3. Tiles that still hold several components are cut into blocks of at most
-   ``TILE_ROWS`` classes, block against block. Two passes test only a spanning
-   forest of a block's components (the most alike first), a last one all that is left. Each class has a hashed bitmap of its
-   set: ``|A ^ B| >= popcount(a ^ b)``, so bit counts bound the overlap from
-   above. Pairs of different components that the bound and the sizes leave are
-   intersected exactly, as sorted arrays.
+   ``TILE_ROWS`` classes, block against block. A pair is looked at in one tile
+   only, that of its first shared prefix member: each row carries the members
+   that come before the tile's, and the place of that member bounds the overlap.
+   Two passes test only a spanning forest of a block's components (the most
+   alike first), a last one all that is left. Each class has a hashed bitmap
+   of its set, a bit being the parity of the members that fall on it, of one to
+   four bits a member: ``|A ^ B| >= popcount(a ^ b)``, so bit counts bound the
+   overlap from above. Pairs of different components that the bounds leave
+   are intersected exactly, as sorted arrays.
 
 Pairs inside a component are not looked at again: they cannot change the
 result. A group of near copies costs one comparison a member, and no pair of
@@ -44,7 +48,8 @@ from meterframe.llm.blocks import Block, answered, count_keys, mix, rows_of, tok
 from meterframe.llm.common import discard, stage
 from meterframe.llm.components import components, join_components
 
-SIGNATURE_BITS = 1024
+#: Bits of the smallest bitmap; larger sets have the power of two at or above twice their size.
+LEAST_BITS = 256
 TILE_ROWS = 1024
 #: Bits of the hash by which frequencies are counted.
 KEY_BITS = 44
@@ -79,9 +84,14 @@ def _short(keys: np.ndarray) -> np.ndarray:
 
 
 def _signature(keys: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_BITS, dtype=np.uint8)
-    bits[(keys % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    size = max(LEAST_BITS, 1 << (2 * len(keys) - 1).bit_length())
+    bits = np.bincount((keys & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _folded(signature: bytes, size: int) -> np.ndarray:
+    """The bitmap of ``size`` bytes for the same set: parities of bits that fall together."""
+    return np.bitwise_xor.reduce(np.frombuffer(signature, dtype=np.uint8).reshape(-1, size), axis=0)
 
 
 def least_overlap(total: int, num: int, den: int) -> int:
@@ -90,7 +100,11 @@ def least_overlap(total: int, num: int, den: int) -> int:
 
 
 def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(uid, doc_id, tag, n_shingles) of all documents, and of those that may link: set_key, keys, signature, prefix."""
+    """(uid, doc_id, tag, n_shingles) of all documents, and of those that may link: set_key, keys, signature, prefix, alone.
+
+    ``prefix`` holds the prefix members that other documents have, in the common
+    order; the ``alone`` members of the set that no other document has come before them.
+    """
     blocks, blocks_at = stage(token_blocks(docs), "shingle-blocks")
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
 
@@ -104,7 +118,7 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         "shingle-counts")
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()),
                         ("set_key", pa.binary()), ("keys", pa.binary()), ("signature", pa.binary()),
-                        ("prefix", pa.list_(pa.int64()))])
+                        ("prefix", pa.list_(pa.int64())), ("alone", pa.int64())])
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left.slice(0, 1).to_pylist()[0])
@@ -125,6 +139,7 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 shared = first[d[first] >= 2]
                 prefix = s[shared].view(np.int64).tolist() if len(shared) else None
             cols["uid"].append(b.block + i), cols["n_shingles"].append(m), cols["prefix"].append(prefix)
+            cols["alone"].append(int((d < 2).sum()))
             raw = s.tobytes() if prefix else None
             cols["set_key"].append(xxhash.xxh3_128_digest(raw) if prefix else None)
             cols["keys"].append(raw), cols["signature"].append(_signature(s) if prefix else None)
@@ -133,7 +148,7 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     out, _ = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         candidates, "uid long, doc_id long, tag long, n_shingles long, set_key binary, keys binary, signature binary, "
-                    "prefix array<long>"), "shingle-sets")
+                    "prefix array<long>, alone long"), "shingle-sets")
     discard(docs.sparkSession, blocks_at, answers_at)
     return out
 
@@ -156,27 +171,40 @@ def exact_links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
 
 
 def tile_pairs(rows: dict, num: int, den: int, forest: bool) -> np.ndarray:
-    """Pairs of one tile that sizes and bit counts leave: different components, one at home, not yet tested.
+    """Pairs of one tile that sizes, places and bit counts leave: different components, one at home, not yet
+    tested, and no shared prefix member before the tile's.
 
     With ``forest`` only those of a spanning forest of the components, the most
     alike first: fewer than the tile has rows.
     """
-    sig = np.frombuffer(b"".join(rows["signature"]), dtype="<u8").reshape(len(rows["uid"]), -1)
-    uid, size, comp, home, side, first = (np.array(rows[c]) for c in ("uid", "n_shingles", "comp", "home", "side", "first"))
+    least = min(map(len, rows["signature"]))
+    sig = np.stack([_folded(x, least) for x in rows["signature"]]).view("<u8")
+    uid, size, comp, home, side, first, place = (
+        np.array(rows[c]) for c in ("uid", "n_shingles", "comp", "home", "side", "first", "place"))
+    rest = size - place  # members from the tile's on: all that a pair first met here can share
+    sets: dict = {}
+
+    def before(i):
+        if i not in sets:
+            sets[i] = set(rows["before"][i].tolist())
+        return sets[i]
     left, right, room = [], [], []
     for i in range(len(uid)):
         if uid[i] == first[i]:
             continue
         other = np.flatnonzero((comp != comp[i]) & (uid > uid[i]) & (home | home[i]) & (uid != first) &
                                ((side != side[i]) | (side == 2)))
+        total = size[other] + size[i]
+        need = -(-num * total // (num + den))
+        ok = np.minimum(rest[other], rest[i]) >= need
+        other, total, need = other[ok], total[ok], need[ok]
         if not len(other):
             continue
         bits = np.bitwise_count(sig[other] ^ sig[i]).sum(axis=1).astype(np.int64)
-        total = size[other] + size[i]
-        need = -(-num * total // (num + den))
-        most = np.minimum((total - bits) // 2, np.minimum(size[other], size[i]))
-        ok = most >= need
-        left.append(np.full(int(ok.sum()), i)), right.append(other[ok]), room.append((most - need)[ok])
+        most = np.minimum((total - bits) // 2, np.minimum(rest[other], rest[i]))
+        ok = np.flatnonzero(most >= need)
+        ok = ok[[before(i).isdisjoint(before(j)) for j in other[ok].tolist()]] if len(ok) else ok
+        left.append(np.full(len(ok), i)), right.append(other[ok]), room.append((most - need)[ok])
     if not left:
         return np.zeros((0, 2), dtype=np.int64)
     left, right, room = np.concatenate(left), np.concatenate(right), np.concatenate(room)
@@ -210,20 +238,25 @@ def _tiles_to_pairs(placed: DataFrame, found: DataFrame, classes: DataFrame, num
         F.least(i, F.col("mine")).alias("one"), F.greatest(i, F.col("mine")).alias("two"),
         F.when(i == F.col("mine"), 2).when(F.col("mine") < i, 0).otherwise(1).alias("side")))
     todo = (known.join(mixed, ["token", "band"]).withColumn("mine", mine).withColumn("meet", F.explode(meets))
-            .select("token", "band", "meet.one", "meet.two", "meet.side", "uid", "n_shingles", "comp", "home", "first")
-            .join(classes.select("uid", "signature"), "uid"))
+            .select("token", "band", "meet.one", "meet.two", "meet.side", "uid", "n_shingles", "comp", "home", "first", "at")
+            .join(classes.select("uid", "signature", "prefix", "alone"), "uid")
+            .withColumn("place", F.col("alone") + F.col("at")).withColumn("before", F.slice("prefix", F.lit(1), F.col("at")))
+            .drop("prefix", "alone", "at"))
     keys = ["token", "band", "one", "two"]
 
     def compare(batches):
         held: dict = {}
-        names = ["uid", "n_shingles", "comp", "home", "first", "side", "signature"]
+        names = ["uid", "n_shingles", "comp", "home", "first", "side", "place", "signature", "before"]
 
         def flush():
             pairs = tile_pairs(held, num, den, forest)
             return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
         now = None
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in [*keys, *names]}
+            cols = {c: batch.column(c).to_pylist() for c in [*keys, *names[:-1]]}
+            lists = batch.column("before")
+            ends, members = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cols["before"] = [members[x:y] for x, y in zip(ends[:-1], ends[1:])]
             for r, key in enumerate(zip(*(cols[k] for k in keys))):
                 if key != now:
                     if now is not None:
@@ -238,7 +271,10 @@ def _tiles_to_pairs(placed: DataFrame, found: DataFrame, classes: DataFrame, num
 
 
 def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(uid, doc_id, tag, n_shingles, component_id) for each row of ``docs``."""
+    """(uid, doc_id, tag, n_shingles, component_id, component) for each row of ``docs``.
+
+    ``component`` numbers the component itself; it is null for rows that cannot link.
+    """
     if not (n >= 1 and 0 < num <= den):
         raise ValueError("n must be positive and the similarity above 0 and at most 1")
     sets = document_sets(docs, n, num, den)
@@ -247,14 +283,14 @@ def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     member = may.select("uid", "doc_id", "set_key").join(classes_of, "set_key").select("uid", "doc_id", "class")
     member, _ = stage(member, "set-members")
     classes = may.join(member.where(F.col("uid") == F.col("class")).select("uid"), "uid", "left_semi")
-    classes, _ = stage(classes.select("uid", "n_shingles", "keys", "signature", "prefix"), "set-classes")
+    classes, _ = stage(classes.select("uid", "n_shingles", "keys", "signature", "prefix", "alone"), "set-classes")
 
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n_shingles").cast("int")
-    places = classes.select("uid", "n_shingles", "signature", F.explode("prefix").alias("token"), band.alias("own"))
+    places = classes.select("uid", "n_shingles", F.posexplode("prefix").alias("at", "token"), band.alias("own"))
     visits = F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")),
                      F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))
-    slim = places.select("uid", "n_shingles", "token", F.explode(visits).alias("x")).select(
-        "uid", "n_shingles", "token", F.col("x.band").alias("band"), F.col("x.home").alias("home"))
+    slim = places.select("uid", "n_shingles", "at", "token", F.explode(visits).alias("x")).select(
+        "uid", "n_shingles", "at", "token", F.col("x.band").alias("band"), F.col("x.home").alias("home"))
     tiles = slim.groupBy("token", "band").agg(
         F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("home"), F.col("uid"))).alias("first")).where(
         (F.col("rows") > 1) & F.col("first").isNotNull())
@@ -272,7 +308,8 @@ def link_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     named = member.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     named = named.withColumn("comp", F.coalesce("component", "class"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("least_id"))
-    names = named.join(least, "comp").select("uid", F.col("least_id"), F.lit(True).alias("known"))
+    names = named.join(least, "comp").select("uid", "least_id", F.col("comp").alias("component"))
     return (sets.select("uid", "doc_id", "tag", "n_shingles").join(names, "uid", "left")
             .select("uid", "doc_id", "tag", "n_shingles",
-                    F.when(F.col("known"), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                    F.when(F.col("component").isNotNull(), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    "component"))
