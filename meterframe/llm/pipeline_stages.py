@@ -42,13 +42,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id."""
+    """One document of each group of near duplicates: the smallest id, or without any the smallest text hash."""
     found, _ = stage(jaccard_join.link_components(docs, SHINGLE, *SIMILARITY), "near-duplicates")
     found = found.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long")),
                                "text_hash": F.col("tag")})
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(*KEY).distinct()
-    # A null id goes if its group has another; rows that repeat entirely leave one.
-    gone = gone.unionByName(found.where(F.col("no_id") & F.col("component_id").isNotNull()).select(*KEY)).distinct()
+    # Of each component the smallest key stays: rows with an id before those without.
+    kept = found.where("component is not null").groupBy("component").agg(F.min(F.struct(*KEY)).alias("kept"))
+    gone = found.join(kept, "component").where(F.struct(*KEY) != F.col("kept")).select(*KEY).distinct()
     many = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY).join(gone, KEY, "left_anti")
     gone, _ = stage(gone, "near-duplicates-gone")
     many, _ = stage(many, "near-duplicates-repeated")
