@@ -86,6 +86,34 @@ def test_jaccard_tiles_in_blocks(spark, monkeypatch):
     test_jaccard_components(spark, 4, 85, 100)
 
 
+def test_bitmaps_bound_the_overlap_at_every_size():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 300, 6000):
+        both = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for apart in (0, 1, size):
+            a, b = (np.r_[both, rng.integers(0, 1 << 63, apart).astype(np.uint64)] for _ in "ab")
+            a, b = jaccard_join._signature(a), jaccard_join._signature(b)
+            for least in {32, len(a), len(b)}:
+                if least <= min(len(a), len(b)):
+                    x, y = jaccard_join._folded(a, least), jaccard_join._folded(b, least)
+                    assert np.bitwise_count(x ^ y).sum() <= 2 * apart
+    a, b = (jaccard_join._signature(rng.integers(0, 1 << 63, 6000).astype(np.uint64)) for _ in "ab")
+    assert np.bitwise_count(jaccard_join._folded(a, len(a)) ^ jaccard_join._folded(b, len(a))).sum() > 4000
+
+
+def test_a_pair_is_looked_at_in_one_tile():
+    common = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def tile(at, shared):
+        before = common[:at].view(np.int64)
+        return {"uid": [1, 2, 3], "n_shingles": [100] * 3, "comp": [1, 2, 3], "home": [True] * 3, "side": [2] * 3,
+                "first": [1] * 3, "place": [at] * 3, "signature": [jaccard_join._signature(common)] * 3,
+                "before": [before, before, before if shared else before + 1]}
+    assert jaccard_join.tile_pairs(tile(0, True), 85, 100, False).tolist() == [[2, 3]]
+    assert jaccard_join.tile_pairs(tile(5, True), 85, 100, False).tolist() == []
+    assert jaccard_join.tile_pairs(tile(5, False), 85, 100, False).tolist() == [[2, 3]]
+    assert jaccard_join.tile_pairs(tile(9, False), 85, 100, False).tolist() == []  # 91 members left, 92 needed
+
+
 def test_jaccard_odd(spark):
     got = jaccard_join.link_components(odd_docs(spark), 4, 85, 100).collect()
     by = collections.Counter((r.doc_id, r.component_id, r.n_shingles) for r in got)

@@ -144,3 +144,13 @@ def test_odd_rows_and_clashing_columns(spark, corpus_dir):
             assert name == "mixing" or set(got) == set(given), name
             assert not given or name != "near_duplicates" or got.count(given[0]) == 1
         assert P.shard(spark, docs, corpus_dir).count() == len(given)
+
+
+def test_near_duplicates_without_ids_or_with_equal_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = lambda at: " ".join([*base[:at], "other", *base[at + 1:]])
+    rows = [(None, near(5)), (None, near(60)), (None, near(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert P.drop_near_duplicates(spark, docs, "").count() == 1
+    docs = spark.createDataFrame([(7, near(5)), (7, near(60)), (None, near(90)), (8, "left alone")], "doc_id long, text string")
+    assert [r.doc_id for r in P.drop_near_duplicates(spark, docs, "").orderBy("doc_id").collect()] == [7, 8]
