@@ -568,3 +568,22 @@ def test_pii_adds_forms_the_base_rules_miss(spark):
     got = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(docs)).collect()}
     assert [got[i] for i, _, _ in missed] == [want for _, _, want in missed]
     assert all(got[i] == "" for i in range(400) if i % 4 > 1)
+
+
+def test_pii_learns_from_every_proposal(spark, monkeypatch):
+    """No cap on what the trees and their thresholds are learned from."""
+    docs = spark.range(2600).selectExpr(
+        "id as doc_id", "concat('mail a', id, '@b.fi or +358 40 ', 1000000 + id, concat_ws(' x ', transform(sequence(1, 5), "
+        "i -> concat(' no ', 1234567 + 5 * id + i)))) as text")
+    rows, own = {}, pii.stage
+
+    def counted(df, name):
+        out = own(df, name)
+        rows[name] = out[0]
+        return out
+
+    monkeypatch.setattr(pii, "stage", counted)
+    assert pii.personal_data(docs).count() == 2600
+    train = {(r.answer, r.rewritten): r["count"] for r in rows["pii-train"].groupBy("answer", "rewritten").count().collect()}
+    assert train[(0.0, False)] == 13_000 and train[(1.0, False)] == 2 * 2600
+    assert train[(1.0, True)] >= 13_000  # five forms of each address alone
