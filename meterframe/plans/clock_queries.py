@@ -123,7 +123,7 @@ def _explode_query(season):
         """Documents of local days of 23, 24 and 25 hours, read back by position."""
         ok = accepted(testdata.readings(events(spark, sf_dir), SEASONS[season])).select(*ENERGY_KEY, "value", "measure_unit", "seq")
         root = work_path(spark, f"landing-{season}")
-        landing.land(landing.as_lines(documents_from_readings(last_write_wins(ok), SETTINGS.tz)), root)
+        landing.land(landing.as_lines(documents_from_readings(last_write_wins(ok), SETTINGS.tz)), root, clustered=True)
         rows = P.explode_readings(P.split_documents(landing.read_landed(spark, root))[0], SETTINGS.tz)
         return rows.select("metering_point_code", "measure_type", "resolution_duration", "pos", "time", "value")
 

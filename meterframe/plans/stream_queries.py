@@ -57,7 +57,7 @@ def refetched(spark: SparkSession, sf_dir: str) -> Loads:
                                 (F.col("ts") >= ntz_lit(SECOND_LOAD_FROM), repriced_table(spark))):
             root = work_path(spark, "landing-refetch")
             ok = accepted(testdata.readings(ev.where(part))).select(*ENERGY_KEY, "value", "measure_unit", "seq")
-            landing.land(landing.as_lines(documents_from_readings(last_write_wins(ok), SETTINGS.tz)), root)
+            landing.land(landing.as_lines(documents_from_readings(last_write_wins(ok), SETTINGS.tz)), root, clustered=True)
             yield root, contracts
     return _run(spark, sf_dir, "refetch", steps)
 
