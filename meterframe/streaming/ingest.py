@@ -60,18 +60,16 @@ class IngestReport:
 
 def make_batch_handler(loads: Loads, report: IngestReport):
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        docs = batch.persist()
-        try:
-            good, rejected = P.split_documents(docs)
-            # One folder per epoch, replaced as a whole: a replayed batch leaves one copy.
-            (rejected.select("measure_type", "_file", "reason", P.RAW)
-             .write.mode("overwrite").option("partitionOverwriteMode", "static")
-             .parquet(f"{loads.rejects}/documents/epoch={epoch_id}"))
-            report.add(loads.apply(f"{epoch_id:020d}", P.explode_readings(good, loads.settings.tz)))
-            report.rejected_documents += rejected.count()
-            report.batches += 1
-        finally:
-            docs.unpersist()
+        # Documents are read once for the rejects and once for the readings, never kept: parsed, they take many times
+        # the room of their files.
+        good, rejected = P.split_documents(batch)
+        # One folder per epoch, replaced as a whole: a replayed batch leaves one copy.
+        folder = f"{loads.rejects}/documents/epoch={epoch_id}"
+        rejected = rejected.select("measure_type", "_file", "reason", P.RAW)
+        rejected.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+        report.add(loads.apply(f"{epoch_id:020d}", P.explode_readings(good, loads.settings.tz)))
+        report.rejected_documents += loads.spark.read.schema(rejected.schema).parquet(folder).count()
+        report.batches += 1
     return handle
 
 

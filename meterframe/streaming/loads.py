@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from meterframe.config import Settings
 from meterframe.operators.pricing import build_energies, wide_points
 from meterframe.operators.quality import tagged
-from meterframe.operators.readings import REASON_NO_QUANTITY, REASON_NO_TARIFF
+from meterframe.operators.readings import REASON_NO_QUANTITY, REASON_NO_TARIFF, reject_reason
 from meterframe.sinks.energies_table import EnergiesTable, day_of
 from meterframe.sinks.files import Files
 from meterframe.sinks.price_points import PricePointStore
@@ -70,12 +70,13 @@ class Loads:
     def apply(self, name: str, readings: DataFrame) -> Report:
         """Put a load into the outbox and run; a load of the same name is replaced."""
         self.files.delete(f"{self.outbox}/{name}")
-        rows = tagged(readings, self.contracts, self.settings)
-        # Empty slots are most of a document that is fetched early: they are counted, not kept. (A lost executor's
-        # repeated tasks may count them twice.)
-        empty, counts = F.col("reason").eqNullSafe(REASON_NO_QUANTITY), Observation()
-        kept = rows.observe(counts, F.count_if(empty).alias("empty"), F.count(F.lit(1)).alias("all")).where(~empty)
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.outbox}/{name}/readings")
+        # Empty slots are most of a document that is fetched early: they are counted and dropped before the contracts
+        # are joined, not kept. (A lost executor's repeated tasks may count them twice.)
+        empty, counts = reject_reason(readings).eqNullSafe(REASON_NO_QUANTITY), Observation()
+        seen_slots = readings.withColumn("_empty", empty).observe(
+            counts, F.count_if("_empty").alias("empty"), F.count(F.lit(1)).alias("all"))
+        rows = tagged(seen_slots.where(~F.col("_empty")).drop("_empty"), self.contracts, self.settings)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.outbox}/{name}/readings")
         seen = counts.get
         self.files.write(f"{self.outbox}/{name}/{READY}", json.dumps({"schema": rows.schema.jsonValue(), "readings": seen}))
         report = self.run()

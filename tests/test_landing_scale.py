@@ -1,5 +1,6 @@
 """Landing and ingest keep no wide copy of documents: on disk, in a shuffle or in an executor's memory."""
 
+import datetime as dt
 import glob
 import os
 
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from meterframe.plans.documents import documents_from_readings
 from meterframe.sources import landing
-from test_loads import T0
+from meterframe.streaming import loads as loads_module
+from meterframe.streaming.ingest import IngestReport, make_batch_handler
+from test_loads import T0, NoRollups, _loads, readings
 
 
 def _many(spark, n):
@@ -38,3 +41,29 @@ def test_documents_are_shuffled_before_their_slots_are_made(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     above, below = plan.split("REBALANCE", 1)
     assert "StructsToJson" in above and "sequence" in above and "sequence" not in below
+
+
+def test_ingest_keeps_no_parsed_documents(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/landing"
+    bad = F.regexp_replace("value", '"resolution":"PT15M",', "")
+    lines = landing.as_lines(documents_from_readings(_many(spark, 12)))
+    landing.land(lines.withColumn("value", F.when(F.col("value").contains('"mp-3"'), bad).otherwise(F.col("value"))), root)
+    loads, report = _loads(spark, lambda r: NoRollups()), IngestReport()
+    batch = landing.read_landed(spark, root)
+
+    def persisted(*_):
+        raise AssertionError("documents are kept")
+
+    monkeypatch.setattr(batch, "persist", persisted)
+    make_batch_handler(loads, report)(batch, 0)
+    assert (report.batches, report.rejected_documents, report.readings, report.empty) == (1, 1, 11 * 96, 11 * 95)
+    assert not report.errors and loads.table.read().count() == 11
+
+
+def test_empty_slots_meet_no_contract(spark, monkeypatch):
+    loads, seen, own = _loads(spark, lambda r: NoRollups()), [], loads_module.tagged
+    monkeypatch.setattr(loads_module, "tagged", lambda rows, *a: (seen.append(rows), own(rows, *a))[1])
+    rows = readings(spark, (T0, 1.0), (T0 + dt.timedelta(minutes=15), None), (T0 + dt.timedelta(minutes=30), None), (None, 2.0))
+    report = loads.apply("a", rows)
+    assert (report.readings, report.empty) == (4, 2) and not report.errors
+    assert seen[0].count() == 2 and loads.table.read().count() == 1
