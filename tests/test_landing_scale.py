@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -67,3 +68,33 @@ def test_empty_slots_meet_no_contract(spark, monkeypatch):
     report = loads.apply("a", rows)
     assert (report.readings, report.empty) == (4, 2) and not report.errors
     assert seen[0].count() == 2 and loads.table.read().count() == 1
+
+
+def test_slot_times_are_worked_out_once_a_period(spark):
+    df = landing.as_lines(documents_from_readings(_many(spark, 50)))
+    each_document = df._jdf.queryExecution().sparkPlan().toString().split("BroadcastHashJoin", 1)[0]
+    assert "StructsToJson" in each_document and "convert_timezone" not in each_document
+
+
+def test_documents_with_many_readings_few_readings_and_odd_texts(spark):
+    midnight, day = dt.datetime(2024, 1, 9, 22), "2024-01-10"
+
+    def at(minutes):
+        return (midnight + dt.timedelta(minutes=minutes)).isoformat(sep=" ")
+
+    full = [(at(15 * i), "full", 1, "PT15M", float(i), "kWh") for i in range(96)]
+    few = [(at(45), 'q"ü', 6, "PT15M", 0.5, 'k"\\h'), (at(0), 'q"ü', 6, "PT15M", None, 'k"\\h'), (at(60), "no unit", 1, None, 2.0, None)]
+    rows = spark.createDataFrame([*full, *few], "time string, metering_point_code string, measure_type int, "
+                                 "resolution_duration string, value double, measure_unit string")
+    docs = {}
+    for (text,) in landing.as_lines(documents_from_readings(rows.withColumn("time", F.col("time").cast("timestamp_ntz")))).select("value").collect():
+        series = json.loads(text)["getconsumptionsresult"]["consumptiondata"]
+        assert text == json.dumps(json.loads(text), separators=(",", ":"), ensure_ascii=False)
+        docs[series["meteringpointcode"]] = series
+    tsv = {code: series["timeseries"]["values"]["tsv"] for code, series in docs.items()}
+    assert {code: len(e) for code, e in tsv.items()} == {"full": 96, 'q"ü': 96, "no unit": 24}
+    assert {code: [(i, e["quantity"]) for i, e in enumerate(v) if "quantity" in e] for code, v in tsv.items()} == {
+        "full": [(i, float(i)) for i in range(96)], 'q"ü': [(3, 0.5)], "no unit": [(1, 2.0)]}
+    assert tsv['q"ü'][3] == {"quantity": 0.5, "time": f"{day}T00:45:00", "start": f"{day}T00:00:00",
+                             "stop": "2024-01-11T00:00:00", "unit": 'k"\\h'}
+    assert "unit" not in tsv["no unit"][0] and "resolution" not in docs["no unit"]["timeseries"]
