@@ -226,3 +226,30 @@ def test_clip_keeps_the_range(spark):
     rows = spark.createDataFrame([(x,) for x in times], "time timestamp_ntz")
     got = [r.time for r in clip(rows, "2024-01-02T00:00:00", "2024-01-03T00:00:00").collect()]
     assert got == [times[1], times[2], None]
+
+
+def test_a_start_is_worked_out_once_a_document_and_own_starts_count(spark, tmp_path):
+    a, b, gap, twice = "2023-03-01T00:00:00", "2023-03-05T00:00:00", "2023-03-26T03:30:00", "2023-10-29T03:30:00"
+    tsv = [_tsv(1, "x", start=s) for s in (a, a, b, None, gap, twice, "soon", a)]
+    docs = [_doc("1", "PT1H", tsv), _doc("2", "PT1H", tsv[3:] + tsv[:3]), _doc("3", "PT1H", tsv[4:5] + tsv[:2])]
+    rows, _ = _readings(spark, _land(tmp_path, docs))
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode", 1)[1]
+    assert "convert_timezone" in below
+    first, later = dt.datetime(2023, 2, 28, 22), dt.datetime(2023, 3, 4, 22)
+    own = {a: first, b: later, None: None, gap: dt.datetime(2023, 3, 26, 1, 30), twice: dt.datetime(2023, 10, 29, 0, 30), "soon": None}
+    got = {(r.metering_point_code, r.pos): (r.time, r.dst_reject) for r in rows.collect()}
+    for d in docs:
+        cd = d["getconsumptionsresult"]["consumptiondata"]
+        for i, e in enumerate(cd["timeseries"]["values"]["tsv"]):
+            s = e.get("start")
+            want = own[s] and own[s] + dt.timedelta(hours=i)
+            assert got[cd["meteringpointcode"], i] == (want, None if own[s] is None else s in (gap, twice)), (cd["meteringpointcode"], i)
+
+
+def test_suspects_are_the_documents_with_a_text_field_that_holds_no_text(spark):
+    plain = ['{"time":"1:2","unit":null,"quantity":1}', '{"day":1,"Time":5,"x":{"sum":{"start" : "a"}}}', '{"time":"a\\":5"}', '{"unit":  null }']
+    odd = ['{"time":5}', '{"unit" :\n true}', '{"start":["a"]}', '{"stop":{}}', '{"resolution":nul}', '{"meteringpointcode":-1}', '{"tim\\u0065":5}']
+    old = r'"(?:meteringpointcode|time|start|stop|unit|resolution)"\s*:\s*(?:[^"\sn]|n(?!ull))|\\u'
+    rows = spark.createDataFrame([(t,) for t in plain + odd], "t string").select(
+        "t", P._suspect(F.col("t")).alias("now"), F.col("t").rlike(old).alias("old")).collect()
+    assert [r.t for r in rows if r.now] == [r.t for r in rows if r.old] == odd
