@@ -43,7 +43,7 @@ def documents_in_range(docs: DataFrame, start_local: str, stop_local: str,
 
 
 def clip(readings: DataFrame, start_local: str, stop_local: str, settings: Settings = Settings()) -> DataFrame:
-    """Readings of ``[start, stop)`` local; those without a time stay, to be rejected as such."""
+    """Readings of ``[start, stop)`` local; those without a time (and rejected documents among them) stay, to be rejected as such."""
     lo, hi = (local_text_to_utc(F.lit(x), settings.tz) for x in (start_local, stop_local))
     return readings.where(F.col("time").isNull() | ((F.col("time") >= lo) & (F.col("time") < hi)))
 
@@ -70,8 +70,6 @@ def run_backfill(loads: Loads, landing: str, start_local: str, stop_local: str,
     _bound(start_local), _bound(stop_local)  # the request's format is checked first
     last = (_bound(stop_local) - _dt.timedelta(seconds=1)).date().isoformat()
     docs = read_landed(loads.spark, landing, start_local[:10], last)
-    readings, rejected = readings_in_range(docs, start_local, stop_local, resolution, loads.settings)
+    rows = P.explode_checked(documents_in_range(docs, start_local, stop_local, resolution), loads.settings.tz)
     name = f"{time.time_ns() // 1000:020d}-backfill"
-    (rejected.select("measure_type", "_file", "reason", P.RAW)
-     .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{loads.rejects}/documents/epoch={name}"))
-    return loads.apply(name, readings)
+    return loads.apply(name, clip(rows, start_local, stop_local, loads.settings), f"{loads.rejects}/documents/epoch={name}")

@@ -60,15 +60,11 @@ class IngestReport:
 
 def make_batch_handler(loads: Loads, report: IngestReport):
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        # Documents are read once for the rejects and once for the readings, never kept: parsed, they take many times
-        # the room of their files.
-        good, rejected = P.split_documents(batch)
-        # One folder per epoch, replaced as a whole: a replayed batch leaves one copy.
-        folder = f"{loads.rejects}/documents/epoch={epoch_id}"
-        rejected = rejected.select("measure_type", "_file", "reason", P.RAW)
-        rejected.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
-        report.add(loads.apply(f"{epoch_id:020d}", P.explode_readings(good, loads.settings.tz)))
-        report.rejected_documents += loads.spark.read.schema(rejected.schema).parquet(folder).count()
+        # Documents are read once, for the rejects and the readings, and never kept: parsed, they take many times the room
+        # of their files. One folder of rejects per epoch, replaced as a whole: a replayed batch leaves one copy.
+        folder, rows = f"{loads.rejects}/documents/epoch={epoch_id}", P.explode_checked(batch, loads.settings.tz)
+        report.add(loads.apply(f"{epoch_id:020d}", rows, folder))
+        report.rejected_documents += loads.spark.read.schema(rows.schema[P.DOCUMENT].dataType).parquet(folder).count()
         report.batches += 1
     return handle
 

@@ -26,6 +26,7 @@ from meterframe.config import Settings
 from meterframe.operators.pricing import build_energies, wide_points
 from meterframe.operators.quality import tagged
 from meterframe.operators.readings import REASON_NO_QUANTITY, REASON_NO_TARIFF, reject_reason
+from meterframe.sources.payloads import DOCUMENT
 from meterframe.sinks.energies_table import EnergiesTable, day_of
 from meterframe.sinks.files import Files
 from meterframe.sinks.price_points import PricePointStore
@@ -67,22 +68,37 @@ class Loads:
     def files(self) -> Files:
         return Files(self.spark, self.outbox)
 
-    def apply(self, name: str, readings: DataFrame) -> Report:
-        """Put a load into the outbox and run; a load of the same name is replaced."""
+    def apply(self, name: str, readings: DataFrame, documents: str | None = None) -> Report:
+        """Put a load into the outbox and run; a load of the same name is replaced.
+
+        Rejected documents among the readings (``payloads.explode_checked``) go to the folder ``documents``, replaced as a
+        whole: one pass over the documents writes both down, and the rest is done from there.
+        """
         self.files.delete(f"{self.outbox}/{name}")
         # Empty slots are most of a document that is fetched early: they are counted and dropped before the contracts
         # are joined, not kept. (A lost executor's repeated tasks may count them twice.)
-        empty, counts = reject_reason(readings).eqNullSafe(REASON_NO_QUANTITY), Observation()
+        reading, counts = F.col(DOCUMENT).isNull() if documents is not None else F.lit(True), Observation()
+        empty = reading & reject_reason(readings).eqNullSafe(REASON_NO_QUANTITY)
         seen_slots = readings.withColumn("_empty", empty).observe(
-            counts, F.count_if("_empty").alias("empty"), F.count(F.lit(1)).alias("all"))
-        rows = tagged(seen_slots.where(~F.col("_empty")).drop("_empty"), self.contracts, self.settings)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.outbox}/{name}/readings")
+            counts, F.count_if("_empty").alias("empty"), F.count_if(reading).alias("all"))
+        kept = seen_slots.where(~F.col("_empty")).drop("_empty")
+        if documents is not None:
+            parsed = f"{self.outbox}/{name}/parsed"
+            self._write(kept, parsed)
+            kept = self.spark.read.schema(kept.schema).parquet(parsed)
+            self._write(kept.where(~reading).select(f"{DOCUMENT}.*"), documents)
+            kept = kept.where(reading).drop(DOCUMENT)
+        rows = tagged(kept, self.contracts, self.settings)
+        self._write(rows, f"{self.outbox}/{name}/readings")
         seen = counts.get
         self.files.write(f"{self.outbox}/{name}/{READY}", json.dumps({"schema": rows.schema.jsonValue(), "readings": seen}))
         report = self.run()
         report.readings, report.empty = seen.get("all", 0), seen.get("empty", 0)
         return report
 
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
     def waiting(self) -> list[str]:
         """Loads that some sink has yet to take, in order; those that were not written to the end are dropped."""
         names = []
@@ -150,8 +166,7 @@ class Loads:
 
     def _rejects(self, rows: DataFrame, name: str) -> None:
         """One folder a load, replaced as a whole: a replayed load leaves one copy."""
-        (rows.where(F.col("reason").isNotNull()).write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .parquet(f"{self.rejects}/readings/load={name}"))
+        self._write(rows.where(F.col("reason").isNotNull()), f"{self.rejects}/readings/load={name}")
 
     def _facts(self, rows: DataFrame, name: str) -> None:
         accepted = rows.where(F.col("reason").isNull()).drop("reason")

@@ -246,10 +246,36 @@ def test_a_start_is_worked_out_once_a_document_and_own_starts_count(spark, tmp_p
             assert got[cd["meteringpointcode"], i] == (want, None if own[s] is None else s in (gap, twice)), (cd["meteringpointcode"], i)
 
 
-def test_suspects_are_the_documents_with_a_text_field_that_holds_no_text(spark):
-    plain = ['{"time":"1:2","unit":null,"quantity":1}', '{"day":1,"Time":5,"x":{"sum":{"start" : "a"}}}', '{"time":"a\\":5"}', '{"unit":  null }']
-    odd = ['{"time":5}', '{"unit" :\n true}', '{"start":["a"]}', '{"stop":{}}', '{"resolution":nul}', '{"meteringpointcode":-1}', '{"tim\\u0065":5}']
-    old = r'"(?:meteringpointcode|time|start|stop|unit|resolution)"\s*:\s*(?:[^"\sn]|n(?!ull))|\\u'
-    rows = spark.createDataFrame([(t,) for t in plain + odd], "t string").select(
-        "t", P._suspect(F.col("t")).alias("now"), F.col("t").rlike(old).alias("old")).collect()
-    assert [r.t for r in rows if r.now] == [r.t for r in rows if r.old] == odd
+def test_few_sound_documents_are_parsed_twice_and_no_mistyped_one_is_missed(spark, tmp_path):
+    entry = {"quantity": 1.0, "time": "2024-01-01T00:00:00", "start": "2024-01-01T00:00:00", "stop": "2024-01-02T00:00:00", "unit": "kWh"}
+    day = {"start": entry["start"], "stop": entry["stop"]}
+
+    def doc(point="mp-1", spot=None, **entry_fields):
+        return _doc(point, "PT1H", [entry, entry | entry_fields], **day, spot=spot)
+
+    def spot(**fields):
+        return {"sum": {**day, "unit": "EUR/MWh", **fields}, "timeseries": {**day, "resolution": "PT1H", "values": {"tsv": [entry]}}}
+
+    sound = [doc(), doc("643007574000000001"), doc(spot=spot()), doc(unit=None, start=None), doc("mp-2", day=1, night=0)]
+    hidden = doc(643007574000000001)
+    hidden["getconsumptionsresult"]["other"] = {"meteringpointcode": "643007574000000001"}
+    odd = [hidden, doc(5), doc(True), doc({"a": 1}), *(doc(**{f: x}) for f in ("time", "start", "stop", "unit") for x in (5, -1.5, False, {"xxxxxx": "T"}, ["xxxxxxxT"])),
+           doc(spot=spot(unit=7)), doc(spot=spot(start=[1]))]
+    docs = P.read_payloads(spark, _land(tmp_path, [*sound, *odd]), 1)
+    rows = docs.select(P._suspect("getconsumptionsresult").alias("suspect"), P.MISTYPED, P.mistyped(F.try_parse_json(P.RAW)).alias("whole")).collect()
+    assert [r.suspect for r in rows] == [False] * len(sound) + [True] * len(odd)
+    assert [r[P.MISTYPED] for r in rows] == [r.whole for r in rows] and sum(r.whole is not None for r in rows) == len(odd)
+
+
+def test_one_pass_gives_readings_and_rejected_documents(spark, tmp_path):
+    tsv = [_tsv(q, f"2024-01-01T{i:02d}:00:00", start="2024-01-01T00:00:00") for i, q in enumerate((1.0, None, 2.0))]
+    docs = [_doc("1", "PT1H", tsv), _doc("2", "PT1H", []), _doc("3", "PT1H", tsv, drop=("sum", "unit")), _doc("4", "PT1H", tsv)]
+    path = _land(tmp_path, docs)
+    read = P.read_payloads(spark, path, 1)
+    rows = P.explode_checked(read)
+    good, rejected = P.split_documents(read)
+    reading = F.col(P.DOCUMENT).isNull()
+    assert sorted(map(str, rows.where(reading).drop(P.DOCUMENT).collect())) == sorted(map(str, P.explode_readings(good).collect()))
+    assert rows.where(reading).count() == 6
+    assert rows.where(~reading).select(f"{P.DOCUMENT}.*").collect() == rejected.select("measure_type", "_file", "reason", P.RAW).collect()
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("FileScan text") == 1
