@@ -26,7 +26,7 @@ from meterframe.config import Settings
 from meterframe.operators.pricing import build_energies, wide_points
 from meterframe.operators.quality import tagged
 from meterframe.operators.readings import REASON_NO_QUANTITY, REASON_NO_TARIFF, reject_reason
-from meterframe.sources.payloads import DOCUMENT
+from meterframe.sources.payloads import DOCUMENT, labelled
 from meterframe.sinks.energies_table import EnergiesTable, day_of
 from meterframe.sinks.files import Files
 from meterframe.sinks.price_points import PricePointStore
@@ -83,7 +83,7 @@ class Loads:
             counts, F.count_if("_empty").alias("empty"), F.count_if(reading).alias("all"))
         kept = seen_slots.where(~F.col("_empty")).drop("_empty")
         if documents is not None:
-            parsed = f"{self.outbox}/{name}/parsed"
+            parsed, kept = f"{self.outbox}/{name}/parsed", labelled(kept, self.settings.tz)
             self._write(kept, parsed)
             kept = self.spark.read.schema(kept.schema).parquet(parsed)
             self._write(kept.where(~reading).select(f"{DOCUMENT}.*"), documents)

@@ -98,3 +98,20 @@ def test_documents_with_many_readings_few_readings_and_odd_texts(spark):
     assert tsv['q"ü'][3] == {"quantity": 0.5, "time": f"{day}T00:45:00", "start": f"{day}T00:00:00",
                              "stop": "2024-01-11T00:00:00", "unit": 'k"\\h'}
     assert "unit" not in tsv["no unit"][0] and "resolution" not in docs["no unit"]["timeseries"]
+
+
+def test_labels_of_empty_slots_are_not_worked_out(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/landing"
+    landing.land(landing.as_lines(documents_from_readings(_many(spark, 12))), root)
+    loads, seen, own = _loads(spark, lambda r: NoRollups()), [], loads_module.labelled
+    monkeypatch.setattr(loads_module, "labelled", lambda rows, *a: (seen.append(rows.count()), own(rows, *a))[1])
+    make_batch_handler(loads, IngestReport())(landing.read_landed(spark, root), 0)
+    assert seen == [12]
+
+
+def test_small_clustered_landings_are_made_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    root = f"{tmp_path}/landing"
+    landing.land(landing.as_lines(documents_from_readings(_many(spark, 30_000))), root, clustered=True)
+    parts = {f.split("part-")[1][:5] for f in glob.glob(f"{root}/**/part-*", recursive=True)}
+    assert len(parts) > 1 and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before

@@ -272,7 +272,7 @@ def test_one_pass_gives_readings_and_rejected_documents(spark, tmp_path):
     docs = [_doc("1", "PT1H", tsv), _doc("2", "PT1H", []), _doc("3", "PT1H", tsv, drop=("sum", "unit")), _doc("4", "PT1H", tsv)]
     path = _land(tmp_path, docs)
     read = P.read_payloads(spark, path, 1)
-    rows = P.explode_checked(read)
+    rows = P.labelled(P.explode_checked(read))
     good, rejected = P.split_documents(read)
     reading = F.col(P.DOCUMENT).isNull()
     assert sorted(map(str, rows.where(reading).drop(P.DOCUMENT).collect())) == sorted(map(str, P.explode_readings(good).collect()))
